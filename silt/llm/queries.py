@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silt.llm import bpe, packing, rules, secrets, toxicity
+from silt.llm import bpe, cws, licenses, packing, rules, secrets, toxicity
 from silt.llm.common import documents, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,16 @@ def op8_quality_rules(spark, sf_dir):
 @query
 def op9_best_fit(spark, sf_dir):
     return packing.pack_documents(documents(spark, sf_dir), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+@query
+def op3_license_digest(spark, sf_dir):
+    return licenses.match(documents(spark, sf_dir), "doc_id", "text")
+
+
+ORACLES["op3_license_digest"] = licenses.oracle_sql()
+
+
+@query
+def op7_weighted_sampling(spark, sf_dir):
+    return cws.fingerprints(documents(spark, sf_dir), "doc_id", "text")

@@ -2,8 +2,9 @@
 
 Features are the presence of a text's words and of their leading 4, 5 and 6 letters, hashed. The loss is logistic with
 an L1 term, plus ``counterfactual`` times the mean square of how far a labelled text's score moves when its identity
-terms are swapped for their counterparts; so neutral mentions of a group carry little weight. Training is by
-accelerated proximal gradient in numpy, on a bounded sample of labelled rows.
+terms are swapped for their counterparts, and when they are swapped for no term at all (or counterparts could all
+grow alike); so neutral mentions of a group carry little weight. Training is by accelerated proximal gradient in
+numpy, on a bounded sample of labelled rows.
 
 Null and empty texts get the score of a text without features. With no labels of both kinds the score is the share of
 toxic labels (0 where there are none). Rows with a null id are scored like any other.
@@ -25,6 +26,7 @@ from silt.llm.common import map_texts
 WORD = re.compile(r"\w+")
 BITS = 20
 PREFIXES = (4, 5, 6)
+PARTS = ("own", "gone", "added", "bare")
 
 #: Counterparts; each term is swapped for the next of its group, the last for the first.
 IDENTITY_GROUPS = (
@@ -61,15 +63,15 @@ def _words(text: str) -> set[str]:
     return set(WORD.findall(text.lower()))
 
 
-def _features(known: Features, text: str) -> tuple[bytes, bytes, bytes]:
-    """Ids of the text; ids that a swap of its identity terms takes away, and those it adds."""
+def _features(known: Features, text: str) -> tuple[bytes, bytes, bytes, bytes]:
+    """Ids of the text; those that a swap of its identity terms takes away and adds, and those that go with the terms."""
     words = _words(text)
     own = known.of(words)
-    gone = added = b""
+    moved: tuple[set[int], ...] = (set(), set(), set())
     if not words.isdisjoint(SWAP):
         other = known.of({SWAP.get(w, w) for w in words})
-        gone, added = (np.array(sorted(s), np.int32).tobytes() for s in (own - other, other - own))
-    return np.array(sorted(own), np.int32).tobytes(), gone, added
+        moved = own - other, other - own, own - known.of(words.difference(SWAP))
+    return tuple(np.array(sorted(s), np.int32).tobytes() for s in (own, *moved))
 
 
 @dataclass(frozen=True)
@@ -100,62 +102,66 @@ class Model:
 class Sparse:
     """Rows of ids with values; products with a vector and with its transpose."""
 
-    def __init__(self, rows: list[np.ndarray], values: list[np.ndarray], width: int):
+    def __init__(self, rows: list[np.ndarray], values: list[np.ndarray] | None, width: int):
         self.n, self.width = len(rows), width
-        self.ids = np.concatenate(rows) if rows else np.empty(0, np.int64)
-        self.values = np.concatenate(values) if rows else np.empty(0)
-        self.row = np.repeat(np.arange(self.n), [len(r) for r in rows])
+        sizes = np.array([len(r) for r in rows], np.int64)
+        self.ids = np.concatenate(rows).astype(np.int32) if rows else np.empty(0, np.int32)
+        self.values = np.concatenate(values) if values else None
+        self.sizes, self.ends = sizes, np.cumsum(sizes)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.values * w[self.ids], self.n)
+        v = w[self.ids] if self.values is None else self.values * w[self.ids]
+        total = np.concatenate([[0.0], np.cumsum(v)])
+        return total[self.ends] - total[self.ends - self.sizes]
 
     def back(self, r: np.ndarray) -> np.ndarray:
-        return np.bincount(self.ids, self.values * r[self.row], self.width)
+        v = np.repeat(r, self.sizes)
+        return np.bincount(self.ids, v if self.values is None else v * self.values, self.width)
 
 
-def train(own: list[np.ndarray], gone: list[np.ndarray], added: list[np.ndarray], toxic: np.ndarray, l1: float = 1e-3, counterfactual: float = 1.0, rounds: int = 250, least_rows: int = 3) -> Model:
+def train(own: list[np.ndarray], gone: list[np.ndarray], added: list[np.ndarray], bare: list[np.ndarray], toxic: np.ndarray, l1: float = 1e-3, counterfactual: float = 1.0, rounds: int = 200, least_rows: int = 4) -> Model:
     n = len(toxic)
     share = float(toxic.mean()) if n else 0.0
     if share in (0.0, 1.0):
         return Model(50.0 if share else -50.0, {})
-    ids, seen = np.unique(np.concatenate([*own, *gone, *added]), return_counts=True)
+    ids, seen = np.unique(np.concatenate([*own, *added]), return_counts=True)
     ids = ids[seen >= least_rows]
 
     def kept(rows: list[np.ndarray]) -> list[np.ndarray]:
         at = [np.searchsorted(ids, r) for r in rows]
         return [a[(a < len(ids)) & (ids[np.minimum(a, len(ids) - 1)] == r)] if len(ids) else a[:0] for a, r in zip(at, rows, strict=True)]
 
-    k_own, k_gone, k_added = kept(own), kept(gone), kept(added)
-    x = Sparse(k_own, [np.ones(len(r)) for r in k_own], len(ids))
-    moved = [i for i in range(n) if len(k_gone[i]) or len(k_added[i])]
-    d = Sparse([np.concatenate([k_gone[i], k_added[i]]) for i in moved], [np.concatenate([-np.ones(len(k_gone[i])), np.ones(len(k_added[i]))]) for i in moved], len(ids))
+    k_own, k_gone, k_added, k_bare = kept(own), kept(gone), kept(added), kept(bare)
+    x = Sparse(k_own, None, len(ids))
+    moves = [m for i in range(n) for m in ((k_gone[i], k_added[i]), (k_bare[i], k_bare[i][:0])) if len(m[0]) or len(m[1])]
+    d = Sparse([np.concatenate(m) for m in moves], [np.repeat([-1.0, 1.0], [len(a), len(b)]) for a, b in moves], len(ids))
     bias, w = np.log(share / (1 - share)), np.zeros(len(ids))
-    at_w, at_b, t = w.copy(), bias, 1.0
-    step = 1.0
+    at_w, at_b, t, step = w, bias, 1.0, 1.0
     lam = counterfactual / max(1, d.n)
+    # products with the weights are kept beside them, so that a round costs one product and one transposed product
+    zx, zd = np.full(n, bias), np.zeros(d.n)
+    at_zx, at_zd = zx, zd
 
-    def loss(w: np.ndarray, b: float) -> float:
-        z = x.dot(w) + b
-        return float(np.mean(np.logaddexp(0, z) - toxic * z) + (lam * np.sum(d.dot(w) ** 2) if d.n else 0.0))
+    def loss(zx: np.ndarray, zd: np.ndarray) -> float:
+        return float(np.mean(np.logaddexp(0, zx) - toxic * zx) + lam * np.sum(zd**2))
 
     for _ in range(rounds):
-        z = x.dot(at_w) + at_b
-        r = (1 / (1 + np.exp(-z)) - toxic) / n
-        g, gb = x.back(r), r.sum()
-        if d.n:
-            g = g + 2 * lam * d.back(d.dot(at_w))
-        here = loss(at_w, at_b)
+        r = (1 / (1 + np.exp(-at_zx)) - toxic) / n
+        g, gb = x.back(r) + 2 * lam * d.back(at_zd), r.sum()
+        here = loss(at_zx, at_zd)
         while True:  # backtracking
             v = at_w - step * g
             nw, nb = np.sign(v) * np.maximum(np.abs(v) - step * l1, 0), at_b - step * gb
             dw, db = nw - at_w, nb - at_b
-            if loss(nw, nb) <= here + g @ dw + gb * db + (dw @ dw + db * db) / (2 * step) + 1e-12 or step < 1e-8:
+            nzx, nzd = x.dot(nw) + nb, d.dot(nw)
+            if loss(nzx, nzd) <= here + g @ dw + gb * db + (dw @ dw + db * db) / (2 * step) + 1e-12 or step < 1e-8:
                 break
             step /= 2
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        at_w, at_b = nw + (t - 1) / nt * (nw - w), nb + (t - 1) / nt * (nb - bias)
+        m = (t - 1) / nt
+        at_w, at_b, at_zx, at_zd = nw + m * (nw - w), nb + m * (nb - bias), nzx + m * (nzx - zx), nzd + m * (nzd - zd)
         still = np.abs(nw - w).max(initial=0) < 1e-4 and abs(nb - bias) < 1e-4
-        w, bias, t, step = nw, nb, nt, step * 1.3
+        w, bias, zx, zd, t, step = nw, nb, nzx, nzd, nt, step * 1.1
         if still:
             break
     return Model(float(bias), {int(i): float(v) for i, v in zip(ids, w, strict=True) if v})
@@ -169,11 +175,11 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: str
 
     def fn(texts: list[str]) -> dict[str, list]:
         known = Features()
-        return dict(zip(("own", "gone", "added"), map(list, zip(*(_features(known, t) for t in texts), strict=True)), strict=True))
+        return dict(zip(PARTS, map(list, zip(*(_features(known, t) for t in texts), strict=True)), strict=True))
 
-    got = map_texts(rows, ["label"], "text_", fn, dict.fromkeys(("own", "gone", "added"), pa.binary()), "label int, own binary, gone binary, added binary").toPandas()
-    parts = {c: [np.frombuffer(b, np.int32) for b in got[c]] for c in ("own", "gone", "added")}
-    return train(parts["own"], parts["gone"], parts["added"], got["label"].to_numpy(np.float64), **options)
+    got = map_texts(rows, ["label"], "text_", fn, dict.fromkeys(PARTS, pa.binary()), "label int" + "".join(f", {c} binary" for c in PARTS)).toPandas()
+    parts = [[np.frombuffer(b, np.int32) for b in got[c]] for c in PARTS]
+    return train(*parts, got["label"].to_numpy(np.float64), **options)
 
 
 def score(df: DataFrame, keep: list[str], text_col: str, model: Model) -> DataFrame:
