@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silt.llm import bpe, cws, licenses, packing, rules, secrets, toxicity
+from silt.llm import bpe, cws, licenses, lm, minhash, packing, rules, secrets, toxicity
 from silt.llm.common import documents, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,13 @@ ORACLES["op3_license_digest"] = licenses.oracle_sql()
 @query
 def op7_weighted_sampling(spark, sf_dir):
     return cws.fingerprints(documents(spark, sf_dir), "doc_id", "text")
+
+
+@query
+def op1_masked_scores(spark, sf_dir):
+    return lm.pseudo_likelihood(documents(spark, sf_dir), "doc_id", "text")
+
+
+@query
+def op4_prob_minhash(spark, sf_dir):
+    return minhash.near_duplicates(documents(spark, sf_dir), "doc_id", "text")
