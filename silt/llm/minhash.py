@@ -8,9 +8,9 @@ shingles. Registers are banded; texts that share a band are candidates; candidat
 texts, and verified pairs (similarity 0.8 or more) are linked. A class is a connected component.
 
 Equal texts are merged first, so a group of copies is one node however large. In a band's bucket every node is compared
-with the least node (a star, not all pairs). Only where a bucket still spans several components are further pairs
-looked for: its nodes' registers are compared in blocks, and pairs of different components whose estimate is within
-``MARGIN`` of the threshold are verified too. So no link between components is lost to the star.
+with the least node (a star, not all pairs). Only where a bucket still spans several components are its nodes compared
+across components: exactly, inside block tasks of bounded bytes, which give no more links than join components. So no
+link between components is lost to the star, and pairs that fail are never rows.
 
 Null texts count as empty. Texts without words have no shingles and no links, but equal texts are one class. Nodes are
 texts, so repeated rows fall into one class. The class id is the least id of the class's texts (null if all are null).
@@ -30,8 +30,7 @@ from silt.llm.common import MIX, WordHash, components, map_texts, mix64, shingle
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
-MARGIN = 0.16  # 4.5 standard deviations of the estimate at the threshold
-BLOCK = 1024
+BLOCK_BYTES = 8_000_000  # of shingles in a block of a bucket
 
 
 def weighted_shingles(text: str, known: WordHash) -> tuple[np.ndarray, np.ndarray]:
@@ -125,35 +124,78 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def cross_pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): pairs of nodes of one bucket, but of different roots, whose registers come near the threshold.
+def shingled(texts: DataFrame) -> DataFrame:
+    """(node, h, c): distinct shingle hashes and counts, as little-endian 64- and 32-bit values."""
+    kept: dict[str, WordHash] = {}
 
-    ``rows`` has bkey, band, node, root, sig, n (nodes of the bucket). Buckets are cut into blocks and block pairs are
-    tasks of their own; a pair is given in the first band that it shares only.
+    def fn(part: list[str]) -> dict[str, list]:
+        known = kept.get("hash") or kept.setdefault("hash", WordHash())
+        sets = [weighted_shingles(t, known) for t in part]
+        return {"h": [h.astype("<u8").tobytes() for h, _ in sets], "c": [c.astype("<u4").tobytes() for _, c in sets]}
+
+    return map_texts(texts, ["node"], "text_", fn, {"h": pa.binary(), "c": pa.binary()}, "node long, h binary, c binary")
+
+
+class Block:
+    """Nodes of a bucket with their shingles as numbers; compares one node with many."""
+
+    def __init__(self, hashes: list[np.ndarray], counts: list[np.ndarray]):
+        self.hashes, self.counts = hashes, counts
+        self.size = np.array([len(h) for h in hashes])
+        self.end = np.cumsum(self.size)
+        self.total = np.array([c.sum() for c in counts], np.float64)
+        self.plain = np.array([c.max() == 1 for c in counts])
+        _, self.code = np.unique(np.concatenate(hashes), return_inverse=True)
+        self.share = np.concatenate(counts) / np.repeat(self.total, self.size)
+        self.mark = np.zeros(self.code.max() + 1)
+
+    def linked(self, i: int, others: np.ndarray, threshold: float) -> np.ndarray:
+        """Those of ``others`` (ascending) that are similar enough to i."""
+        own = slice(self.end[i] - self.size[i], self.end[i])
+        self.mark[self.code[own]] = self.share[own]
+        at = np.concatenate([np.arange(self.end[j] - self.size[j], self.end[j]) for j in others])
+        starts = np.concatenate([[0], np.cumsum(self.size[others])[:-1]])
+        overlap = np.add.reduceat(np.minimum(self.mark[self.code[at]], self.share[at]), starts)  # bounds the similarity
+        self.mark[self.code[own]] = 0
+        out = []
+        for j, s in zip(others[overlap >= threshold - 1e-9], overlap[overlap >= threshold - 1e-9], strict=True):
+            if self.plain[i] and self.plain[j]:  # the similarity is then the Jaccard similarity of the sets
+                both = round(s * max(self.size[i], self.size[j]))
+                near = both / (self.size[i] + self.size[j] - both)
+            else:
+                near = similarity((self.hashes[i], self.counts[i]), (self.hashes[j], self.counts[j]))
+            if near >= threshold:
+                out.append(j)
+        return np.array(out, np.int64)
+
+
+def cross_links(rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links between nodes of one bucket and different roots, enough to join all roots that any link joins.
+
+    ``rows`` has bkey, band, node, root, h, c, bytes (of h over the bucket). Buckets are cut into blocks by bytes, and
+    block pairs are tasks of their own.
     """
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
-    cut = rows.withColumn("blocks", blocks).withColumn("own", F.expr("CAST(pmod(xxhash64(node), blocks) AS int)"))
-    other = F.explode(F.expr("sequence(0, blocks - 1)"))
-    dealt = cut.withColumn("other", other).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    cut = rows.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")).withColumn("own", F.expr("CAST(pmod(xxhash64(node), blocks) AS int)"))
+    dealt = cut.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        node, root = table["node"].to_numpy(), table["root"].to_numpy()
-        own = table["own"].to_numpy()
-        band, lo, hi = key[1].as_py(), key[2].as_py(), key[3].as_py()
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), "<u4").reshape(len(node), REGISTERS)
-        first, second = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        node, root, own = (table[c].to_numpy().copy() for c in ("node", "root", "own"))
+        lo, hi = key[2].as_py(), key[3].as_py()
         a, b = [], []
-        for i in first:
-            j = second[(root[second] != root[i]) & ((node[second] > node[i]) if lo == hi else True)]
-            same = sig[j] == sig[i]
-            near = same.mean(axis=1) >= threshold - MARGIN
-            if near.any():
-                early = same[near].reshape(-1, BANDS, ROWS).all(axis=2)[:, :band].any(axis=1)
-                j = j[near][~early]
-                a += [node[i]] * len(j)
-                b += node[j].tolist()
-        x, y = np.array(a, np.int64), np.array(b, np.int64)
-        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+        if len(np.unique(root)) > 1:
+            block = Block([np.frombuffer(x, "<u8") for x in table["h"].to_pylist()], [np.frombuffer(x, "<u4").astype(np.int64) for x in table["c"].to_pylist()])
+            roots, sizes = np.unique(root, return_counts=True)
+            main = roots[sizes.argmax()]
+            for i in np.flatnonzero(root != main):  # a pair of different roots has a node outside the main one
+                across = (own != own[i]) if lo != hi else np.ones(len(node), bool)
+                others = np.flatnonzero(across & (root != root[i]))
+                if len(others):
+                    for j in block.linked(i, others, threshold):
+                        if root[j] != root[i]:
+                            a.append(min(node[i], node[j]))
+                            b.append(max(node[i], node[j]))
+                            root[root == root[j]] = root[i]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return dealt.groupBy("bkey", "band", "lo", "hi").applyInArrow(run, "a long, b long")
 
@@ -174,24 +216,26 @@ def classes(df: DataFrame, id_col: str, text_col: str, threshold: float = THRESH
     buckets = banded.groupBy("bkey", "band").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1")
     members = stored(banded.join(buckets, ["bkey", "band"]), "buckets")
 
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    def texts_of(ids: DataFrame) -> DataFrame:
         wanted = ids.join(nodes.select("node", "key", "first_id"), "node")
         # one row of each text: those with its least id; rows that repeat even that are dropped by key
         rows = own.join(wanted, (own["key"] == wanted["key"]) & own["id"].eqNullSafe(wanted["first_id"]))
-        return stored(rows.select("node", "text_").dropDuplicates(["node"]), "texts")
+        return rows.select("node", "text_").dropDuplicates(["node"])
 
     star = stored(members.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links = stored(verify(star, texts_of(star), threshold), "links")
+    ends = star.select(F.col("a").alias("node")).union(star.select("b")).distinct()
+    links = stored(verify(star, stored(texts_of(ends), "texts"), threshold), "links")
     roots = components(links, "minhash")
 
     rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rooted.groupBy("bkey", "band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("bkey", "band")
-    rows = rooted.join(mixed, ["bkey", "band"]).join(nodes.select("node", "sig"), "node").select("bkey", "band", "node", "root", "sig", "n")
-    more = stored(cross_pairs(rows, threshold).join(star, ["a", "b"], "left_anti").distinct(), "pairs")
-    if not more.isEmpty():
-        links = links.union(verify(more, texts_of(more), threshold))
-        roots = components(links, "minhash")
+    rows = stored(rooted.join(mixed, ["bkey", "band"]).select("bkey", "band", "node", "root"), "mixed")
+    if not rows.isEmpty():
+        sets = stored(shingled(texts_of(rows.select("node").distinct())), "shingles")
+        size = rows.join(sets.select("node", F.length("h").alias("bytes")), "node").groupBy("bkey", "band").agg(F.sum("bytes").alias("bytes"))
+        more = stored(cross_links(rows.join(size, ["bkey", "band"]).join(sets, "node"), threshold).distinct(), "links")
+        if not more.isEmpty():
+            roots = components(links.union(more), "minhash")
 
     rooted = nodes.select("node", "key", "first_id", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = stored(rooted, "classes")

@@ -94,3 +94,20 @@ def test_empty_and_null_rows(spark):
     df = spark.createDataFrame([(None, None), (None, ""), (None, "a b c d e f")], "doc_id long, text string")
     assert mh.near_duplicates(df, "doc_id", "text").count() == 3
     assert mh.near_duplicates(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_blocks_link_what_brute_force_links(spark, monkeypatch):
+    """All nodes in one bucket with roots of their own, cut into many blocks."""
+    monkeypatch.setattr(mh, "BLOCK_BYTES", 20_000)
+    known = WordHash()
+    texts = sorted({t for t in corpus(5) if t and t.strip()} | {"a b c d e " * 9, "a b c d e " * 8})
+    sets = [mh.weighted_shingles(t, known) for t in texts]
+    total = sum(h.nbytes for h, _ in sets)
+    assert total > 3 * mh.BLOCK_BYTES
+    rows = [(1, 0, i, i, h.astype("<u8").tobytes(), c.astype("<u4").tobytes(), total) for i, (h, c) in enumerate(sets)]
+    df = spark.createDataFrame(rows, "bkey long, band int, node long, root long, h binary, c binary, bytes long")
+    root = list(range(len(texts)))
+    for r in mh.cross_links(df, 0.8).collect():
+        assert mh.similarity(sets[r.a], sets[r.b]) >= 0.8
+        root = [min(root[r.a], root[r.b]) if x in (root[r.a], root[r.b]) else x for x in root]
+    assert root == slow_classes(texts)
