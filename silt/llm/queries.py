@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silt.llm import bpe, cws, licenses, lm, minhash, packing, rules, secrets, toxicity
+from silt.llm import bpe, cws, licenses, lm, minhash, packing, rules, secrets, suffix, toxicity
 from silt.llm.common import documents, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,8 @@ def op1_masked_scores(spark, sf_dir):
 @query
 def op4_prob_minhash(spark, sf_dir):
     return minhash.near_duplicates(documents(spark, sf_dir), "doc_id", "text")
+
+
+@query
+def op10_suffix_repeats(spark, sf_dir):
+    return suffix.repeats(documents(spark, sf_dir), "doc_id", "text")

@@ -98,7 +98,7 @@ def test_empty_and_null_rows(spark):
 
 def test_blocks_link_what_brute_force_links(spark, monkeypatch):
     """All nodes in one bucket with roots of their own, cut into many blocks."""
-    monkeypatch.setattr(mh, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(mh, "BLOCK_BYTES", 8_000)
     known = WordHash()
     texts = sorted({t for t in corpus(5) if t and t.strip()} | {"a b c d e " * 9, "a b c d e " * 8})
     sets = [mh.weighted_shingles(t, known) for t in texts]
