@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from silt.llm.common import MIX, WordHash, components, map_texts, mix64, shingle_hashes, stored, unit
 
@@ -248,3 +249,13 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float
     found = classes(df, id_col, text_col, threshold)
     rows = df.select(id_col, F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("key"))
     return rows.join(found.select("key", "class_id"), "key").select(id_col, "class_id")
+
+
+def one_of_each(df: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
+    """``df`` with one row of each class: of the least id, then of the least key; of repeated rows, one."""
+    found = classes(df, id_col, text_col, threshold)
+    chosen = found.groupBy("root").agg(F.min(F.struct("first_id", "key")).alias("m")).select(F.col("m.first_id").alias("first_"), F.col("m.key").alias("key_"))
+    rows = df.withColumn("k_", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    kept = rows.join(chosen, (F.col("k_") == F.col("key_")) & F.col(id_col).eqNullSafe(F.col("first_")))
+    first = F.row_number().over(Window.partitionBy("k_", id_col).orderBy(F.lit(0)))
+    return kept.withColumn("n_", first).filter("n_ = 1").select(*df.columns)

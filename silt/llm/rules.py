@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from silt.llm.common import map_texts
+from silt.llm.common import map_texts, stored
 
 # Word and symbol classes, window and limits of the base.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -180,3 +180,11 @@ def verdict(rules: list[Rule]) -> Column:
             cond = cond & test.column()
         out = out.when(cond, F.lit(False))
     return out.otherwise(F.lit(True))
+
+
+def kept_rows(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
+    """The rows of ``df`` that the base and the learnt rules keep. Texts are measured once; the measured rows are stored."""
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row_"), F.col(text_col).alias("text_"))
+    measured = stored(measure(rows, ["row_"], "text_"), "measured")
+    learnt = fit(measured.select(F.col(f"row_.`{id_col}`").alias(id_col), *COUNTS), labels, id_col, **options)
+    return measured.filter(verdict(learnt)).select("row_.*")

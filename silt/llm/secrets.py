@@ -15,6 +15,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,8 +35,8 @@ TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 TOKEN_CHARS = 512
 PLACEHOLDER = re.compile(r"example|sample|dummy|changeme|placeholder|your|xxxx|1234|abcd|0000", re.IGNORECASE)
 
-SPAN = pa.struct([("start", pa.int64()), ("order", pa.int32()), ("stop", pa.int64()), ("digest", pa.binary()), ("random", pa.bool_())])
-SPAN_SQL = "array<struct<start:bigint,order:int,stop:bigint,digest:binary,random:boolean>>"
+SPAN = pa.struct([("start", pa.int64()), ("order", pa.int32()), ("stop", pa.int64()), ("value", pa.int64()), ("digest", pa.binary()), ("random", pa.bool_())])
+SPAN_SQL = "array<struct<start:bigint,order:int,stop:bigint,value:bigint,digest:binary,random:boolean>>"
 
 
 def random_looking(value: str) -> bool:
@@ -63,7 +64,7 @@ def other_spans(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[
 
 
 def _rows(spans: list[tuple[int, int, int, str]]) -> list[dict]:
-    return [{"start": a, "order": k, "stop": b, "digest": hashlib.sha256(v.encode("utf-8", "surrogatepass")).digest()[:16], "random": k == 3 or random_looking(v)} for a, k, b, v in spans]
+    return [{"start": a, "order": k, "stop": b, "value": b - len(v), "digest": hashlib.sha256(v.encode("utf-8", "surrogatepass")).digest()[:16], "random": k == 3 or random_looking(v)} for a, k, b, v in spans]
 
 
 def candidates(df: DataFrame, keep: list[str], text: str) -> DataFrame:
@@ -86,22 +87,22 @@ def ownership(found: DataFrame, owner: str, repo: str) -> DataFrame:
 
 
 def scan(df: DataFrame, id_col: str, text_col: str, owner: str, repo: str, example_owners: int = 3, extra: list[str] | None = None) -> DataFrame:
-    """One row per input row: ``id_col``, ``base`` and ``spans`` (arrays of start, order, stop, live), ``n_live``, ``n_example``.
+    """One row per input row: ``id_col``, ``base``, ``spans`` (start, order, stop, value: where the value starts, live, copied), ``n_live``, ``n_example``.
 
-    A value held by ``example_owners`` owners or more is an example. ``extra`` names columns to carry.
+    A value held by ``example_owners`` owners or more is a copied example. ``extra`` names columns to carry.
     """
     carried = extra or []
     own = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text_"), F.col(owner).cast("string").alias("owner_"), F.concat_ws("/", F.col(owner).cast("string"), F.col(repo).cast("string")).alias("repo_"), *carried)
     found = stored(candidates(own, ["id", "owner_", "repo_", *carried], "text_").withColumn("rid", F.monotonically_increasing_id()), "secrets")
     counts = ownership(found, "owner_", "repo_")
     uses = found.select("rid", F.explode(F.concat("base", "other")).alias("c")).select("rid", "c.*")
-    judged = uses.join(counts, "digest").withColumn("live", F.col("random") & (F.col("owners") < example_owners))
+    judged = uses.join(counts, "digest").withColumn("copied", F.col("owners") >= example_owners).withColumn("live", F.expr("random AND NOT copied"))
     spans = judged.filter("order < 3 OR live").groupBy("rid").agg(
-        F.array_sort(F.collect_list(F.struct("start", "order", "stop", "live"))).alias("spans"),
+        F.array_sort(F.collect_list(F.struct("start", "order", "stop", "value", "live", "copied"))).alias("spans"),
         F.count_if("live").alias("n_live"),
-        F.count_if(F.col("owners") >= example_owners).alias("n_example"),
+        F.count_if("copied").alias("n_example"),
     )
-    none = F.expr("CAST(array() AS array<struct<start:bigint,order:int,stop:bigint,live:boolean>>)")
+    none = F.expr("CAST(array() AS array<struct<start:bigint,order:int,stop:bigint,value:bigint,live:boolean,copied:boolean>>)")
     joined = found.join(spans, "rid", "left")
     return joined.select(F.col("id").alias(id_col), *carried, "base", F.coalesce("spans", none).alias("spans"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"))
 
@@ -110,3 +111,32 @@ def listed(spans: str) -> Column:
     """kind:start:end, comma-joined."""
     kinds = "array('" + "','".join(KINDS) + "')"
     return F.expr(f"array_join(transform({spans}, s -> concat(element_at({kinds}, s.order + 1), ':', s.start, ':', s.stop)), ',')")
+
+
+MASK = "[SECRET]"
+
+
+def masked(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text with each run of spans (start, stop) replaced by ``MASK``."""
+    out, at, end = [], 0, -1
+    for a, b in sorted(spans):
+        if a >= end:
+            out += [text[at:a], MASK]
+        at = end = max(end, b)
+    return "".join([*out, text[at:]])
+
+
+def redact(df: DataFrame, id_col: str, text_col: str, owner: str, repo: str, **options) -> DataFrame:
+    """``df`` with the values of all findings masked in its texts, but for copied examples; other texts stay as they are."""
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row_"), *[F.col(c).alias(f"{k}_") for k, c in (("i", id_col), ("t", text_col), ("o", owner), ("r", repo))])
+    found = scan(rows, "i_", "t_", "o_", "r_", extra=["row_"], **options).withColumn("hide", F.expr("filter(spans, s -> NOT s.copied)"))
+    kind = rows.schema["row_"].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, spans = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            new = [masked(t, [(s["value"], s["stop"]) for s in found]) if found else t for t, found in zip(texts, spans, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string())], names=["row_", "new_"])
+
+    done = found.select("row_", F.col(f"row_.`{text_col}`").alias("t_"), "hide").mapInArrow(run, f"row_ {kind}, new_ string")
+    return done.select(*[F.col("new_").alias(c) if c == text_col else F.col(f"row_.`{c}`").alias(c) for c in df.columns])

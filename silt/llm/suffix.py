@@ -292,4 +292,4 @@ def without_repeats(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     changed = some.join(nodes.select("node", "key"), "node").select("key", "new_").union(nodes.filter(f"copies > 1 AND n_bytes >= {LENGTH}").select("key", F.lit("").alias("new_")))
     rows = df.withColumn("key_", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
     joined = rows.join(changed.withColumnRenamed("key", "key_"), "key_", "left")
-    return joined.withColumn(text_col, F.coalesce("new_", text_col)).select(*df.columns)
+    return joined.withColumn(text_col, F.coalesce("new_", F.col(text_col))).select(*df.columns)
