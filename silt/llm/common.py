@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts handled at once inside an Arrow batch, and the characters after which a slice is cut early.
-SLICE_ROWS, SLICE_CHARS = 512, 4_000_000
+SLICE_ROWS, SLICE_CHARS = 256, 2_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,12 +53,16 @@ def map_texts(df: DataFrame, keep: list[str], text: str, fn: Callable[[list[str]
     """Columns ``keep`` plus what ``fn`` makes of each text (null: empty); ``fn`` gets a slice of texts and returns lists of that length."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
-            for a, b in slices(texts):
-                out = fn(texts[a:b])
-                cols = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays(cols + [pa.array(out[k], t) for k, t in fields.items()], names=[*keep, *fields])
+        for whole in batches:
+            for batch in (whole.slice(i, SLICE_ROWS) for i in range(0, whole.num_rows, SLICE_ROWS)):
+                yield from sliced(batch)
+
+    def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
+        for a, b in slices(texts):
+            out = fn(texts[a:b])
+            cols = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays(cols + [pa.array(out[k], t) for k, t in fields.items()], names=[*keep, *fields])
 
     return df.select(*keep, text).mapInArrow(run, schema)
 
@@ -66,7 +70,7 @@ def map_texts(df: DataFrame, keep: list[str], text: str, fn: Callable[[list[str]
 class WordHash(dict):
     """word -> 64-bit hash, the same on every machine; forgets all once it holds too many."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.LIMIT:

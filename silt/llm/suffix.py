@@ -31,7 +31,9 @@ from silt.llm.common import map_texts, mix64, stored
 
 LENGTH, GRAM, CHUNK = 400, 64, 33
 PART = 1 << 19  # starts that are handled at once in a very long text
-ROWS = 100_000  # records that are compared at once
+ROWS = 40_000  # records that are compared at once
+
+HOT = 1000
 
 SPANS = "array<struct<start:int,stop:int>>"
 
@@ -177,23 +179,23 @@ def texts_and_spans(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFram
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "anchors")
 
     each = nodes.select("node", F.inline(F.arrays_zip("gram", "pos", "lo", "hi")))
-    often = each.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
-    runs = each.join(often, "gram").groupBy("node").agg(F.collect_list(F.struct("pos", "lo", "hi")).alias("runs"))
+    often = stored(each.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "grams")
+    total = often.agg(F.sum("n")).first()[0] or 0
+    # a run of bytes that many anchors share would meet in one task of the join: there are fewer than HOT of those, so they are broadcast
+    hot = F.broadcast(often.filter(F.col("n") > total / HOT).select("gram"))
+    rest = each.join(hot, "gram", "left_anti").join(often.filter(F.col("n") <= total / HOT).select("gram"), "gram", "left_semi")
+    runs = each.join(hot, "gram", "left_semi").union(rest).groupBy("node").agg(F.collect_list(F.struct("pos", "lo", "hi")).alias("runs"))
     wanted = runs.join(nodes.select("node", "key", "first_id"), "node")
     texts = own.join(wanted, (own["key"] == wanted["key"]) & own["id"].eqNullSafe(wanted["first_id"]))
     held = stored(texts.select("node", "text_", "runs").dropDuplicates(["node"]), "texts")
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.int32())
         for batch in batches:
-            node, out = [], []
-            for i, (n, text, runs) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
-                for r in records(text.encode("utf-8", "surrogatepass"), runs):
-                    out.append(r)
-                    node.append(n)
-                if len(out) >= 50_000 or i + 1 == batch.num_rows:
-                    cols = [list(c) for c in zip(*out, strict=True)] if out else [[]] * 5
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((cols[0], cols[1], node, cols[2], cols[3], cols[4]), (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.int32()), strict=True)], names=["lead", "core", "node", "at", "wings", "left"])
-                    node, out = [], []
+            for part in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
+                out = [(*r, n) for n, text, runs in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True) for r in records(text.encode("utf-8", "surrogatepass"), runs)]
+                lead, core, at, wings, left, node = zip(*out, strict=True) if out else [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((lead, core, node, at, wings, left), kinds, strict=True)], names=["lead", "core", "node", "at", "wings", "left"])
 
     def bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

@@ -47,7 +47,7 @@ def feature_ids(word: str) -> tuple[int, ...]:
 class Features(dict):
     """word -> feature ids; forgets all once it holds too many."""
 
-    LIMIT = 300_000
+    LIMIT = 150_000
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= self.LIMIT:
