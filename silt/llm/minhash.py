@@ -217,22 +217,20 @@ def classes(df: DataFrame, id_col: str, text_col: str, threshold: float = THRESH
     buckets = banded.groupBy("bkey", "band").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1")
     members = stored(banded.join(buckets, ["bkey", "band"]), "buckets")
 
-    def texts_of(ids: DataFrame) -> DataFrame:
-        wanted = ids.join(nodes.select("node", "key", "first_id"), "node")
-        # one row of each text: those with its least id; rows that repeat even that are dropped by key
-        rows = own.join(wanted, (own["key"] == wanted["key"]) & own["id"].eqNullSafe(wanted["first_id"]))
-        return rows.select("node", "text_").dropDuplicates(["node"])
+    # the texts of all nodes that share a band: one row of each, with its least id; rows that repeat even that go by key
+    wanted = members.select("node").distinct().join(nodes.select("node", "key", "first_id"), "node")
+    rows = own.join(wanted, (own["key"] == wanted["key"]) & own["id"].eqNullSafe(wanted["first_id"]))
+    texts = stored(rows.select("node", "text_").dropDuplicates(["node"]), "texts")
 
     star = stored(members.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    ends = star.select(F.col("a").alias("node")).union(star.select("b")).distinct()
-    links = stored(verify(star, stored(texts_of(ends), "texts"), threshold), "links")
+    links = stored(verify(star, texts, threshold), "links")
     roots = components(links, "minhash")
 
     rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rooted.groupBy("bkey", "band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("bkey", "band")
     rows = stored(rooted.join(mixed, ["bkey", "band"]).select("bkey", "band", "node", "root"), "mixed")
     if not rows.isEmpty():
-        sets = stored(shingled(texts_of(rows.select("node").distinct())), "shingles")
+        sets = stored(shingled(texts.join(rows.select("node").distinct(), "node", "left_semi")), "shingles")
         size = rows.join(sets.select("node", F.length("h").alias("bytes")), "node").groupBy("bkey", "band").agg(F.sum("bytes").alias("bytes"))
         more = stored(cross_links(rows.join(size, ["bkey", "band"]).join(sets, "node"), threshold).distinct(), "links")
         if not more.isEmpty():
