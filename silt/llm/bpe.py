@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from silt.llm.common import map_texts, mix64
 
 #: Memoised pre-tokens per worker, and the longest one (in characters) that is memoised.
-MEMO, MEMO_CHARS = 200_000, 48
+MEMO, MEMO_CHARS = 700_000, 48
 
 
 class PerfectHash:
