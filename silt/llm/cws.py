@@ -19,20 +19,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silt.llm.common import MIX, WordHash, mix64, slices, unit
+from silt.llm.common import MIX, WordHash, mix64, slices
 
 SAMPLES = 64
 
 
 class Sampler:
     def __init__(self, samples: int = SAMPLES):
-        self.salt = mix64(np.arange(1, 5 * samples + 1, dtype=np.uint64) * MIX).reshape(5, samples)
+        self.salt = mix64(np.arange(1, 3 * samples + 1, dtype=np.uint64) * MIX).reshape(3, samples)
         self.hash = WordHash()
 
     def variates(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """r, ln c and b of each term and sample."""
-        u = lambda i: unit(mix64(h[:, None] ^ self.salt[i][None, :])).astype(np.float32)
-        return -np.log(u(0) * u(1) + np.float32(1e-38)), np.log(-np.log(u(2) * u(3) + np.float32(1e-38)) + np.float32(1e-30)), u(4)
+        # each hash gives two uniform numbers of 32 bits
+        u = [((x := mix64(h[:, None] ^ s[None, :])) >> np.uint64(32), x & np.uint64(0xFFFFFFFF)) for s in self.salt]
+        (u0, u1), (u2, u3), (u4, _) = (((a.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-32), (b.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-32)) for a, b in u)
+        return -np.log(u0 * u1), np.log(np.maximum(-np.log(u2 * u3), np.float32(1e-30))), u4
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         """A row of 32-bit samples for each text."""
@@ -43,7 +45,7 @@ class Sampler:
         for i, c in enumerate(counts):  # terms that texts share get their variates once; not too many at a time
             for w in c:
                 at.setdefault(w, len(at))
-            if len(at) > 20_000 or i + 1 == len(texts):
+            if len(at) > 60_000 or i + 1 == len(texts):
                 self._sample(counts[first : i + 1], at, out[first : i + 1])
                 first, at = i + 1, {}
         return out
@@ -161,22 +163,27 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, samples: int = SAMPL
             texts = [t or "" for t in batch.column(3).to_pylist()]
             dest, extra, ids = (batch.column(i).to_pylist() for i in range(3))
             for a, b in slices(texts):
-                rows = list(zip(dest[a:b], extra[a:b], ids[a:b], texts[a:b], sample(texts[a:b]), strict=True))
-                out = []
-                for d, e, i, t, sig in rows:
-                    if last is not None and last[0] == d:
-                        out.append((last, t, sig))
-                        last = None
-                    if not e:
-                        last = (d, i, t, sig)
-                if not out:
+                pairs, before, wait = [], last, None  # pairs of (row, next row); rows are numbers, -1 the one that waited
+                at = -1 if last is not None else None
+                d_at = last[0] if last is not None else None
+                for k in range(a, b):
+                    if at is not None and d_at == dest[k]:
+                        pairs.append((at, k))
+                        at = None
+                    if not extra[k]:
+                        at, d_at = k, dest[k]
+                row = lambda k: before if k < 0 else (dest[k], ids[k], texts[k])
+                new = [edited(row(x)[2], texts[y]) for x, y in pairs]
+                sig = sample(texts[a:b] + new)  # together: they share most of their terms
+                wait = before if at == -1 else None if at is None else (dest[at], ids[at], texts[at], sig[at - a])
+                last = wait
+                if not pairs:
                     continue
-                new = [edited(x[2], t) for x, t, _ in out]
-                new_sig = sample(new)
-                own_sig, next_sig = np.array([x[3] for x, _, _ in out]), np.array([s for _, _, s in out])
+                new_sig = sig[b - a :]
+                own_sig, next_sig = np.array([before[3] if x < 0 else sig[x - a] for x, _ in pairs]), np.array([sig[y - a] for _, y in pairs])
                 cols = [
-                    pa.array([x[1] for x, _, _ in out], batch.schema.field(2).type),
-                    pa.array([len(x[2]) for x, _, _ in out], pa.int64()),
+                    pa.array([row(x)[1] for x, _ in pairs], batch.schema.field(2).type),
+                    pa.array([len(row(x)[2]) for x, _ in pairs], pa.int64()),
                     pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in new]),
                     pa.array([s.astype(">u4").tobytes().hex() for s in own_sig]),
                     pa.array([s.astype(">u4").tobytes().hex() for s in new_sig]),
