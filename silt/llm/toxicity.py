@@ -167,14 +167,16 @@ def train(own: list[np.ndarray], gone: list[np.ndarray], added: list[np.ndarray]
     return Model(float(bias), {int(i): float(v) for i, v in zip(ids, w, strict=True) if v})
 
 
-def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: str, learn_from, max_rows: int = 12_000, **options) -> Model:
+def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: str, learn_from, max_rows: int = 8_000, **options) -> Model:
     """A model from at most ``max_rows`` labelled rows for which ``learn_from`` holds, those of the least id hashes."""
     one = labels.filter(F.col(label).isNotNull()).groupBy(F.col(id_col).alias("key")).agg(F.max(label).cast("int").alias("label")).filter(learn_from(F.col("key")))
     sample = one.orderBy(F.xxhash64("key"), "key").limit(max_rows)  # bounded, so it may be broadcast
     rows = df.select(F.col(id_col).alias("key"), F.col(text_col).alias("text_")).join(F.broadcast(sample), "key")
 
+    kept: dict[str, Features] = {}
+
     def fn(texts: list[str]) -> dict[str, list]:
-        known = Features()
+        known = kept.setdefault("features", Features())
         return dict(zip(PARTS, map(list, zip(*(_features(known, t) for t in texts), strict=True)), strict=True))
 
     got = map_texts(rows, ["label"], "text_", fn, dict.fromkeys(PARTS, pa.binary()), "label int" + "".join(f", {c} binary" for c in PARTS)).toPandas()
