@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: Modules that register queries when imported.
-MODULES = ("catalog",)
+MODULES = ("catalog", "statistics", "texts", "similar")
 
 
 def load_all() -> None:
