@@ -91,17 +91,15 @@ class Codec:
     def merge(self, word: bytes) -> tuple[int, ...]:
         """Ids of one pre-token that is not itself a token."""
         rank, n = self.ranks.get, len(word)
+        pop, push = heapq.heappop, heapq.heappush
         end, before = list(range(1, n + 1)) + [0], list(range(-1, n))
-        base = n + 1
-        heap = []
-        for i in range(n - 1):
-            r = rank(word[i : i + 2])
-            if r is not None:
-                heap.append((r * base + i) * base + i + 2)
+        bits = n.bit_length()
+        mask = (1 << bits) - 1  # an entry is rank, start of the left piece, end of the right one
+        heap = [(r << bits | i) << bits | i + 2 for i in range(n - 1) if (r := rank(word[i : i + 2])) is not None]
         heapq.heapify(heap)
         while heap:
-            at, e = divmod(heapq.heappop(heap), base)
-            i = at % base
+            entry = pop(heap)
+            e, i = entry & mask, entry >> bits & mask
             j = end[i]
             if not j or j >= n or end[j] != e:
                 continue  # one of the two pieces has merged since
@@ -110,16 +108,17 @@ class Codec:
                 before[e] = i
                 r = rank(word[i : end[e]])
                 if r is not None:
-                    heapq.heappush(heap, (r * base + i) * base + end[e])
+                    push(heap, (r << bits | i) << bits | end[e])
             p = before[i]
             if p >= 0:
                 r = rank(word[p:e])
                 if r is not None:
-                    heapq.heappush(heap, (r * base + p) * base + e)
-        ids, i = [], 0
+                    push(heap, (r << bits | p) << bits | e)
+        ids, i, of = [], 0, self.ranks
         while i < n:
-            ids.append(self.ranks[word[i : end[i]]])
-            i = end[i]
+            j = end[i]
+            ids.append(of[word[i:j]])
+            i = j
         return tuple(ids)
 
     def learn(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
