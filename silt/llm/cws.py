@@ -26,59 +26,72 @@ SAMPLES = 64
 
 class Sampler:
     def __init__(self, samples: int = SAMPLES):
-        self.salt = mix64(np.arange(1, 3 * samples + 1, dtype=np.uint64) * MIX).reshape(3, samples)
+        self.salt = (mix64(np.arange(1, 3 * samples + 1, dtype=np.uint64) * MIX) | np.uint64(1)).reshape(3, samples)
         self.hash = WordHash()
 
     def variates(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """r, ln c and b of each term and sample."""
-        # each hash gives two uniform numbers of 32 bits
-        u = [((x := mix64(h[:, None] ^ s[None, :])) >> np.uint64(32), x & np.uint64(0xFFFFFFFF)) for s in self.salt]
-        (u0, u1), (u2, u3), (u4, _) = (((a.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-32), (b.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-32)) for a, b in u)
-        return -np.log(u0 * u1), np.log(np.maximum(-np.log(u2 * u3), np.float32(1e-30))), u4
+        """r, ln c and b of each term and sample; made in blocks that stay in the cache."""
+        shape = (len(h), self.salt.shape[1])
+        r, ln_c, b = (np.empty(shape, np.float32) for _ in range(3))
+        for s in range(0, len(h), 256):
+            part = h[s : s + 256, None]
+            u = []
+            for salt in self.salt:  # each product of the hash, folded and multiplied again, gives two uniform numbers of 24 bits
+                x = part * salt[None, :]
+                x ^= x >> np.uint64(32)
+                x *= MIX
+                halves = (x.view(np.uint32) >> np.uint32(8)).view(np.int32).reshape(*x.shape, 2)
+                u.append([halves[..., i].astype(np.float32) * np.float32(2.0**-24) + np.float32(2.0**-25) for i in (1, 0)])
+            (u0, u1), (u2, u3), (u4, _) = u
+            r[s : s + 256] = -np.log(u0 * u1) + np.float32(1e-12)
+            ln_c[s : s + 256] = np.log(-np.log(u2 * u3) + np.float32(1e-30))
+            b[s : s + 256] = u4
+        return r, ln_c, b
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         """A row of 32-bit samples for each text."""
-        counts = [Counter(t.split()) for t in texts]
         out = np.zeros((len(texts), self.salt.shape[1]), np.uint32)
         at: dict[str, int] = {}
-        first = 0
-        for i, c in enumerate(counts):  # terms that texts share get their variates once; not too many at a time
-            for w in c:
-                at.setdefault(w, len(at))
+        counts: list[Counter] = []
+        rows: list[np.ndarray] = []
+        number = at.setdefault
+        for i, t in enumerate(texts):  # terms that texts share get their variates once; not too many at a time
+            c = Counter(t.split())
+            counts.append(c)
+            rows.append(np.array([number(w, len(at)) for w in c], np.int64))
             if len(at) > 60_000 or i + 1 == len(texts):
-                self._sample(counts[first : i + 1], at, out[first : i + 1])
-                first, at = i + 1, {}
+                self._sample(counts, rows, at, out[i + 1 - len(counts) : i + 1])
+                counts, rows, at = [], [], {}
+                number = at.setdefault
         return out
 
-    def _sample(self, counts: list[Counter], at: dict[str, int], out: np.ndarray) -> None:
+    def _sample(self, counts: list[Counter], rows: list[np.ndarray], at: dict[str, int], out: np.ndarray) -> None:
         if not at:
             return
         h = np.array(list(map(self.hash.__getitem__, at)), np.uint64)
         if len(h) > 200_000:  # one very long text: in blocks of terms, keeping the least so far
             return self._long(counts, at, h, out)
         r, ln_c, b = self.variates(h)
-        one = np.floor(b)  # t at weight 1
-        ln_a1 = ln_c - r * (one - b) - r
+        ln_a1 = ln_c - r * (np.floor(b) - b + 1)  # at weight 1
         cols = np.arange(out.shape[1])
-        for i, c in enumerate(counts):
+        for i, (c, idx) in enumerate(zip(counts, rows, strict=True)):
             if not c:
                 continue
-            idx = np.fromiter(map(at.__getitem__, c), np.int64, len(c))
-            w = np.fromiter(c.values(), np.float32, len(c))
+            w = np.array(list(c.values()), np.float32)
             a = ln_a1[idx]
             more = np.flatnonzero(w > 1)
             if len(more):
                 rm, bm = r[idx[more]], b[idx[more]]
                 t = np.floor(np.log(w[more])[:, None] / rm + bm)
-                a[more] = ln_c[idx[more]] - rm * (t - bm) - rm
-            k = a.argmin(axis=0)
+                a[more] = ln_c[idx[more]] - rm * (t - bm + 1)
+            k = np.ascontiguousarray(a.T).argmin(axis=1)
             t = np.floor(np.log(w[k]) / r[idx[k], cols] + b[idx[k], cols])
             out[i] = self._sign(h[idx[k]], t)
 
     def _long(self, counts: list[Counter], at: dict[str, int], h: np.ndarray, out: np.ndarray) -> None:
         if len(counts) > 1:
             for i, c in enumerate(counts):
-                self._sample([c], {w: j for j, w in enumerate(c)}, out[i : i + 1])
+                self._sample([c], [np.arange(len(c))], {w: j for j, w in enumerate(c)}, out[i : i + 1])
             return
         w = np.fromiter(counts[0].values(), np.float32, len(h))
         best, sign = np.full(out.shape[1], np.inf), np.zeros(out.shape[1], np.uint32)
