@@ -20,9 +20,11 @@ def summary(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
 
 
 def percentiles_by_rank(df: DataFrame, keys: Sequence[str], x: str, ps: Sequence[int]) -> DataFrame:
-    """The value at rank ceil(n p / 100), a row for each p."""
-    aggs = [F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY {x})").alias(f"p{p}") for p in ps]
-    wide = df.groupBy(*keys).agg(*aggs)
+    """The value at rank ceil(n p / 100), a row for each p. Equal values are counted before the shuffle; counts are ranked, not rows."""
+    counts = df.filter(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy(x).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = counts.withColumn("_upto", upto).withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
+    wide = ranked.groupBy(*keys).agg(*[F.min(F.when(F.col("_upto") * 100 >= F.col("_n") * p, F.col(x))).alias(f"p{p}") for p in ps])
     return wide.select(*keys, F.inline(F.array(*[F.struct(F.lit(p).alias("p"), F.col(f"p{p}").alias("value")) for p in ps])))
 
 
