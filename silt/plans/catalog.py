@@ -27,16 +27,22 @@ def redundancy_scoped(spark, sf_dir):
     return op.redundancy(table(spark, sf_dir, "documents"), [F.col("lang"), F.md5("text").alias("md5")], "source", 2, ["src0", "src3", "src5"])
 
 
+# The later state of the catalogue: every row is on both sides. French documents have moved (to another id), and those of
+# one source have grown.
+MOVED = "CASE WHEN lang = 'fr' THEN -1 - doc_id ELSE doc_id END"
+GROWN = "CASE WHEN source = 'src2' THEN n_chars + 1 ELSE n_chars END"
+
+
 def _old(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter("doc_id % 10 <> 0")
+    return table(spark, sf_dir, "documents")
 
 
 def _new(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter("doc_id % 7 <> 0").withColumn("n_chars", F.expr("n_chars + CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END"))
+    return table(spark, sf_dir, "documents").withColumns({"doc_id": F.expr(MOVED), "n_chars": F.expr(GROWN)})
 
 
-OLD = "(SELECT * FROM documents WHERE doc_id % 10 <> 0)"
-NEW = "(SELECT * REPLACE (n_chars + CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END AS n_chars) FROM documents WHERE doc_id % 7 <> 0)"
+OLD = "documents"
+NEW = f"(SELECT * REPLACE ({MOVED} AS doc_id, {GROWN} AS n_chars) FROM documents)"
 
 
 @query(
@@ -71,8 +77,9 @@ def protected_delete(spark, sf_dir):
     return op.protected_deletes(paths(_old(spark, sf_dir)), paths(_new(spark, sf_dir)), "path", ["src3", "src0/d1"])
 
 
-DIGEST = "CASE WHEN doc_id % 13 = 0 THEN NULL ELSE md5(text) END"
-FOUND = "CASE WHEN doc_id % 13 = 0 THEN NULL WHEN doc_id % 17 = 0 THEN md5(lang) ELSE md5(text) END"
+# Documents of one source could not be read; others have changed.
+DIGEST = "CASE WHEN source = 'src4' THEN NULL ELSE md5(text) END"
+FOUND = "CASE WHEN source = 'src4' THEN NULL WHEN source = 'src5' THEN md5(lang) ELSE md5(text) END"
 
 
 @query(
@@ -97,22 +104,26 @@ def needed_work(spark, sf_dir):
 @query(
     "content_join",
     """SELECT n.doc_id AS new_id, o.old_id, n.n_chars, md5(n.text) AS md5 FROM documents n
-       JOIN (SELECT min(doc_id) AS old_id, n_chars, md5(text) AS m FROM documents WHERE doc_id % 2 = 0 GROUP BY ALL) o ON o.n_chars = n.n_chars AND o.m = md5(n.text) WHERE n.doc_id % 2 = 1""",
+       JOIN (SELECT min(doc_id) AS old_id, n_chars, md5(text) AS m FROM documents GROUP BY ALL) o ON o.n_chars = n.n_chars AND o.m = md5(n.text)""",
 )
 def content_join(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.md5("text").alias("md5"))
-    return op.content_join(docs.filter("doc_id % 2 = 1").withColumnRenamed("doc_id", "new_id"), docs.filter("doc_id % 2 = 0").withColumnRenamed("doc_id", "old_id"), ["n_chars", "md5"], "new_id", "old_id")
+    return op.content_join(docs.withColumnRenamed("doc_id", "new_id"), docs.withColumnRenamed("doc_id", "old_id"), ["n_chars", "md5"], "new_id", "old_id")
 
 
-_GROWTH = """SELECT n.o_orderkey, CASE WHEN b.o_orderkey IS NULL THEN '[N]' ELSE '[C]' END AS mark, n.size - coalesce(b.size, 0) AS delta
-       FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) + o_orderkey % 3 AS size FROM orders WHERE o_orderkey % 9 <> 0) n
-       LEFT JOIN (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS size FROM orders WHERE o_orderkey % 8 <> 0) b ON n.o_orderkey = b.o_orderkey WHERE b.o_orderkey IS NULL OR n.size <> b.size"""
+# The later snapshot: urgent orders have another key, open ones have grown.
+_ORDER = "CASE WHEN o_orderpriority = '1-URGENT' THEN -1 - o_orderkey ELSE o_orderkey END"
+_MORE = "CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END"
+_GROWTH = f"""SELECT n.o_orderkey, CASE WHEN b.o_orderkey IS NULL THEN '[N]' ELSE '[C]' END AS mark, n.size - coalesce(b.size, 0) AS delta
+       FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) + {_MORE} AS size FROM (SELECT * REPLACE ({_ORDER} AS o_orderkey) FROM orders)) n
+       LEFT JOIN (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS size FROM orders) b ON n.o_orderkey = b.o_orderkey WHERE b.o_orderkey IS NULL OR n.size <> b.size"""
 
 
 @query("snapshot_growth", _GROWTH)
 def snapshot_growth(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.floor("o_totalprice").alias("size"))
-    return op.growth(orders.filter("o_orderkey % 8 <> 0"), orders.filter("o_orderkey % 9 <> 0").withColumn("size", F.expr("size + o_orderkey % 3")), "o_orderkey", "size")
+    orders = table(spark, sf_dir, "orders")
+    now = orders.select(F.expr(_ORDER).alias("o_orderkey"), F.expr(f"floor(o_totalprice) + {_MORE}").alias("size"))
+    return op.growth(orders.select("o_orderkey", F.floor("o_totalprice").alias("size")), now, "o_orderkey", "size")
 
 
 @query("growth_totals", f"SELECT mark, count(*) AS n, CAST(sum(delta) AS BIGINT) AS total FROM ({_GROWTH}) GROUP BY mark")
@@ -123,23 +134,24 @@ def growth_totals(spark, sf_dir):
 @query(
     "upsert",
     """SELECT coalesce(u.p_partkey, b.p_partkey) AS p_partkey, CASE WHEN u.p_partkey IS NULL THEN b.p_name ELSE u.p_name END AS p_name, CASE WHEN u.p_partkey IS NULL THEN b.p_size ELSE u.p_size END AS p_size
-       FROM (SELECT p_partkey, p_name, p_size FROM part WHERE p_partkey % 4 <> 0) b FULL JOIN (SELECT p_partkey, upper(p_name) AS p_name, p_size + 1 AS p_size FROM part WHERE p_partkey % 3 = 0) u ON b.p_partkey = u.p_partkey""",
+       FROM part b FULL JOIN (SELECT CASE WHEN p_type = 'SMALL' THEN -1 - p_partkey ELSE p_partkey END AS p_partkey, upper(p_name) AS p_name, p_size + 1 AS p_size FROM part) u ON b.p_partkey = u.p_partkey""",
 )
 def upsert(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
-    return op.upsert(part.filter("p_partkey % 4 <> 0"), part.filter("p_partkey % 3 = 0").select("p_partkey", F.upper("p_name").alias("p_name"), (F.col("p_size") + 1).alias("p_size")), ["p_partkey"])
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_type")
+    key = F.expr("CASE WHEN p_type = 'SMALL' THEN -1 - p_partkey ELSE p_partkey END").alias("p_partkey")
+    return op.upsert(part.drop("p_type"), part.select(key, F.upper("p_name").alias("p_name"), (F.col("p_size") + 1).alias("p_size")), ["p_partkey"])
 
 
-@query("pruned_root", "SELECT doc_id, source FROM documents WHERE source <> 'src1' OR doc_id % 2 = 0")
+@query("pruned_root", "SELECT doc_id, source FROM documents WHERE source IS DISTINCT FROM 'src1' OR doc_id IN (SELECT doc_id FROM labels)")
 def pruned_root(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"))
-    return op.pruned(docs, docs.filter("doc_id % 2 = 0"), "path", "src1").select("doc_id", "source")
+    return op.pruned(docs, docs.join(table(spark, sf_dir, "labels"), "doc_id", "left_semi"), "path", "src1").select("doc_id", "source")
 
 
-@query("same_place_duplicates", "SELECT CAST(b.doc_id AS VARCHAR) AS path FROM documents b WHERE b.doc_id % 3 = 0 AND b.doc_id % 5 <> 0 AND b.text IS NOT NULL")
+@query("same_place_duplicates", "SELECT CAST(doc_id AS VARCHAR) AS path FROM documents WHERE source IS DISTINCT FROM 'src2' AND text IS NOT NULL AND n_chars IS NOT NULL")
 def same_place_duplicates(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "doc_id", "n_chars", F.md5("text").alias("md5"))
-    b = docs.filter("doc_id % 3 = 0").withColumn("n_chars", F.expr("CASE WHEN doc_id % 5 = 0 THEN n_chars + 1 ELSE n_chars END"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "source", "n_chars", F.md5("text").alias("md5"))
+    b = docs.withColumn("n_chars", F.expr(GROWN))
     return op.same_place_duplicates(docs, b, "path", ["n_chars", "md5"])
 
 
@@ -148,9 +160,9 @@ def set_subtract(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id").subtract(table(spark, sf_dir, "labels").select("doc_id"))
 
 
-@query("set_union", "SELECT doc_id FROM documents WHERE doc_id % 3 = 0 UNION SELECT doc_id FROM labels WHERE quality = 0")
+@query("set_union", "SELECT c_nationkey AS nation FROM customer UNION SELECT s_nationkey FROM supplier")
 def set_union(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter("doc_id % 3 = 0").select("doc_id").union(table(spark, sf_dir, "labels").filter("quality = 0").select("doc_id")).distinct()
+    return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")).union(table(spark, sf_dir, "supplier").select("s_nationkey")).distinct()
 
 
 @query("ordered_distinct", "SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events) WHERE k = 1")

@@ -32,15 +32,23 @@ _H = f"h AS (SELECT doc_id, {_hash_sql('doc_id')} AS front, {_hash_sql('(doc_id
 _PAIRS = "SELECT x.doc_id AS a, y.doc_id AS b, CAST(bit_count(xor(x.front, y.front)) AS INTEGER) AS distance FROM h x JOIN h y ON x.doc_id < y.doc_id AND bit_count(xor(x.front, y.front)) <= 10"
 
 
+_CHANGED = "SELECT doc_id FROM labels WHERE toxic = 1"
+
+
+def _changed(spark, sf_dir):
+    """Rows that changed since the last run: here, the documents that were marked since."""
+    return table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
+
+
 @query("hamming_pairs", f"WITH {_H} {_PAIRS}")
 def hamming_pairs(spark, sf_dir):
     return sim.hamming_pairs(_hashed(spark, sf_dir), "doc_id", "front", 10)
 
 
-@query("hamming_delta", f"WITH {_H}, p AS ({_PAIRS}) SELECT a, b, distance FROM p WHERE a % 9 = 0 OR b % 9 = 0")
+@query("hamming_delta", f"WITH {_H}, p AS ({_PAIRS}) SELECT a, b, distance FROM p WHERE a IN ({_CHANGED}) OR b IN ({_CHANGED})")
 def hamming_delta(spark, sf_dir):
     h = _hashed(spark, sf_dir)
-    return sim.hamming_pairs(h, "doc_id", "front", 10, h.filter("doc_id % 9 = 0"))
+    return sim.hamming_pairs(h, "doc_id", "front", 10, h.join(_changed(spark, sf_dir), "doc_id", "left_semi"))
 
 
 @query("disjunctive_pairs", f"WITH {_H} SELECT x.doc_id AS a, y.doc_id AS b FROM h x JOIN h y ON x.doc_id < y.doc_id AND (bit_count(xor(x.front, y.front)) <= 10 OR bit_count(xor(x.back, y.back)) <= 10)")
@@ -57,10 +65,10 @@ def components(spark, sf_dir):
     return graph.groups(sim.hamming_pairs(_hashed(spark, sf_dir), "doc_id", "front", 10))
 
 
-@query("kept_edges", f"WITH {_H}, p AS ({_PAIRS}) SELECT a, b FROM p WHERE a % 9 <> 0 AND b % 9 <> 0")
+@query("kept_edges", f"WITH {_H}, p AS ({_PAIRS}) SELECT a, b FROM p WHERE a NOT IN ({_CHANGED}) AND b NOT IN ({_CHANGED})")
 def kept_edges(spark, sf_dir):
     h = _hashed(spark, sf_dir)
-    return graph.kept_edges(sim.hamming_pairs(h, "doc_id", "front", 10).select("a", "b"), h.filter("doc_id % 9 = 0"), "doc_id")
+    return graph.kept_edges(sim.hamming_pairs(h, "doc_id", "front", 10).select("a", "b"), _changed(spark, sf_dir), "doc_id")
 
 
 @query("band_pairs", "SELECT x.o_orderkey AS a, y.o_orderkey AS b FROM orders x JOIN orders y ON x.o_orderkey < y.o_orderkey AND abs(x.o_totalprice - y.o_totalprice) <= 3.0")
@@ -79,10 +87,10 @@ def edit_distance_pairs(spark, sf_dir):
 
 
 def _named(spark, sf_dir):
-    names = table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("k"))
-    left, right = names.filter("k % 2 = 0").withColumnRenamed("p_name", "name"), names.filter("k % 2 = 1").withColumnRenamed("p_name", "name")
-    tokens = T.tokens(F.col("name"))
-    return left, right, tokens
+    part = table(spark, sf_dir, "part")
+    left = part.select(F.col("p_name").alias("name")).distinct()
+    right = part.select(F.concat_ws(" ", "p_type", "p_name").alias("name")).distinct()
+    return left, right, T.tokens(F.col("name"))
 
 
 @query("best_match")

@@ -108,10 +108,10 @@ def group_count(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n")).withColumn("bar", op.bar(F.floor(F.col("n") / 100)))
 
 
-@query("cond_counts", "SELECT user_id % 10 AS part, count(*) FILTER (WHERE event_type = 'error') AS errors, count(*) FILTER (WHERE event_type IN ('view', 'click')) AS seen, CAST(sum(CASE WHEN event_type NOT LIKE '%r%' THEN 1 ELSE 0 END) AS BIGINT) AS without_r FROM events GROUP BY 1")
+@query("cond_counts", "SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS errors, count(*) FILTER (WHERE event_type IN ('view', 'click')) AS seen, CAST(sum(CASE WHEN event_type NOT LIKE '%r%' THEN 1 ELSE 0 END) AS BIGINT) AS without_r FROM events GROUP BY 1")
 def cond_counts(spark, sf_dir):
     e = F.col("event_type")
-    return table(spark, sf_dir, "events").groupBy((F.col("user_id") % 10).alias("part")).agg(F.count_if(e == "error").alias("errors"), F.count_if(e.isin("view", "click")).alias("seen"), F.sum(F.when(e.rlike("r"), 0).otherwise(1)).alias("without_r"))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(e == "error").alias("errors"), F.count_if(e.isin("view", "click")).alias("seen"), F.sum(F.when(e.rlike("r"), 0).otherwise(1)).alias("without_r"))
 
 
 @query("request_summary", "SELECT count(*) FILTER (WHERE event_type = 'error') AS failed, count(*) FILTER (WHERE event_type <> 'error') AS done, round(avg(value) FILTER (WHERE event_type <> 'error'), 6) AS mean_value FROM events")

@@ -56,9 +56,9 @@ def codecs(spark, sf_dir):
     return p.select("p_partkey", "hex", T.from_hex(F.concat(F.lit("0x"), "hex")).alias("back"), T.quoted(F.col("p_name")).alias("quoted"), T.without_colours(colour).alias("plain"), T.without_point_zero(F.concat(F.col("p_size").cast("string"), F.lit(".0"))).alias("size"))
 
 
-@query("html_cells", "SELECT page_id, replace(replace(replace(replace(replace(left(html, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS cell FROM pages")
+@query("html_cells", "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS cell FROM pages")
 def html_cells(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.html_escaped(F.left("html", F.lit(200))).alias("cell"))
+    return table(spark, sf_dir, "pages").select("page_id", T.html_escaped(F.col("html")).alias("cell"))
 
 
 @query("data_uris", "SELECT p_partkey, 'data:text/plain;base64,' || base64(encode(repeat(p_name, 5))) AS uri FROM part")
