@@ -1,41 +1,81 @@
-"""Similarity joins as block, equi-join, verify, distinct; none is a cross join."""
+"""Similarity joins as block, equi-join, verify; none is a cross join.
+
+Rows of equal value are one class, so a value that a third of all rows share is one row of the join. Pairs come between
+the classes' least nodes; every other node of a class comes once more with its least node. No link between different
+values is lost, and all pairs follow from the membership.
+"""
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def hamming_pairs(df: DataFrame, node: str, bits: str, at_most: int, other: DataFrame | None = None) -> DataFrame:
-    """(a, b, distance) with a < b whose 64-bit hashes differ in ``at_most`` bits.
+def _members(rows: DataFrame, classes: DataFrame, value: str) -> DataFrame:
+    """(a, b): the least node of a class with each of its other nodes."""
+    return rows.join(classes.select(value, F.col("v").alias("a")), value).filter("v <> a").select("a", F.col("v").alias("b"))
+
+
+def hamming_pairs(df: DataFrame, node: str, bits: str, at_most: int, other: DataFrame | None = None, bands: int | None = None) -> DataFrame:
+    """(a, b, distance) with a < b whose 64-bit hashes differ in ``at_most`` bits, between classes and with membership (distance 0).
 
-    The bits are cut into at_most + 1 bands: a pair that close agrees on one band at least. With ``other`` (the changed
-    rows), only pairs with one of them are looked for.
+    The bits are cut into ``bands``; a pair that close differs in at most at_most // bands bits on one band at least. Both
+    sides flip about half of that in each band, so that they meet; of the ways to meet, and of the bands, the first one
+    counts, so nothing has to be made distinct. With ``other`` (the changed rows), only classes with one of them look for
+    others. Null hashes are skipped.
     """
-    n = at_most + 1
+    n = bands or (max(2, at_most // 3 + 1) if at_most else 1)
+    flips = at_most // n
     cuts = [64 * i // n for i in range(n + 1)]
-    band = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.shiftleft(F.col("h"), 64 - cuts[i + 1]), 64 - cuts[i + 1] + cuts[i]).alias("part")) for i in range(n)])
-    rows = lambda d: d.filter(F.col(bits).isNotNull()).select(F.col(node).alias("v"), F.col(bits).cast("long").alias("h")).select("v", "h", F.inline(band))
-    left = rows(df if other is None else other).select("band", "part", F.col("v").alias("v1"), F.col("h").alias("h1"))
-    right = rows(df).select("band", "part", F.col("v").alias("v2"), F.col("h").alias("h2"))
-    near = left.join(right, ["band", "part"]).withColumn("distance", F.bit_count(F.col("h1").bitwiseXOR(F.col("h2")))).filter(F.col("distance") <= at_most)
-    near = near.filter("v1 < v2") if other is None else near.filter("v1 <> v2")
-    return near.select(F.least("v1", "v2").alias("a"), F.greatest("v1", "v2").alias("b"), "distance").distinct()
+    part = lambda h, i: F.shiftrightunsigned(F.shiftleft(h, 64 - cuts[i + 1]), 64 - cuts[i + 1] + cuts[i])
+
+    def probes(h: Column, most: int) -> Column:
+        """(band, mask, part) for all masks of ``most`` bits or fewer."""
+
+        def band(i: int) -> Column:
+            masks = [sum(1 << b for b in chosen) for k in range(most + 1) for chosen in combinations(range(cuts[i + 1] - cuts[i]), k)]
+            return F.transform(F.lit(masks).cast("array<bigint>"), lambda m: F.struct(F.lit(i).alias("band"), m.alias("mask"), part(h, i).bitwiseXOR(m).alias("part")))
+
+        return F.inline(F.flatten(F.array(*[band(i) for i in range(n)])))
+
+    few, rest = (flips + 1) // 2, flips // 2
+    rows = df.filter(F.col(bits).isNotNull()).select(F.col(node).alias("v"), F.col(bits).cast("long").alias("h"))
+    classes = rows.groupBy("h").agg(F.min("v").alias("v"))
+    if other is None:
+        classes = classes.withColumn("on", F.lit(True))
+    else:
+        changed = other.filter(F.col(bits).isNotNull()).select(F.col(bits).cast("long").alias("h"), F.lit(True).alias("on")).distinct()
+        classes = classes.join(changed, "h", "left").withColumn("on", F.coalesce("on", F.lit(False)))
+    h = F.col("h")
+    left = classes.filter("on").select(F.col("v").alias("v1"), h.alias("h1"), probes(h, few)).withColumnRenamed("mask", "m1")
+    right = classes.select(F.col("v").alias("v2"), h.alias("h2"), F.col("on").alias("on2"), probes(h, rest)).withColumnRenamed("mask", "m2")
+    once = (F.col("m2") == 0) | ((F.bit_count("m1") == few) & (F.col("m1") < F.expr("m2 & -m2")))
+    apart = F.col("h1").bitwiseXOR(F.col("h2"))
+    near = left.join(right, ["band", "part"]).filter(once).withColumn("distance", F.bit_count(apart)).filter(F.col("distance").between(1, at_most))
+    near = near.filter((F.col("v1") < F.col("v2")) | ~F.col("on2"))
+    for i in range(n - 1):
+        near = near.filter((F.col("band") <= i) | (F.bit_count(part(apart, i)) > flips))
+    found = near.select(F.least("v1", "v2").alias("a"), F.greatest("v1", "v2").alias("b"), "distance")
+    return found.unionByName(_members(rows, classes.filter("on"), "h").withColumn("distance", F.lit(0)))
 
 
 def either_pairs(df: DataFrame, node: str, first: str, second: str, at_most: int) -> DataFrame:
-    """Pairs that are close in one of two hashes."""
+    """Pairs that are close in one of two hashes, between classes of either hash and with their memberships."""
     one = hamming_pairs(df, node, first, at_most).select("a", "b")
     return one.union(hamming_pairs(df, node, second, at_most).select("a", "b")).distinct()
 
 
 def band_pairs(df: DataFrame, node: str, value: str, width: float) -> DataFrame:
-    """(a, b) with a < b whose values differ by ``width`` at most: buckets of that width, and the next one."""
-    rows = df.filter(F.col(value).isNotNull()).select(F.col(node).alias("n"), F.col(value).alias("x")).withColumn("bucket", F.floor(F.col("x") / width))
-    left = rows.select(F.col("n").alias("n1"), F.col("x").alias("x1"), "bucket")
-    right = rows.select(F.col("n").alias("n2"), F.col("x").alias("x2"), F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("bucket"), F.col("bucket").alias("home"))
+    """(a, b) with a < b whose values differ by ``width`` at most, between classes and with membership: buckets of that width, and the next one."""
+    rows = df.filter(F.col(value).isNotNull()).select(F.col(node).alias("v"), F.col(value).alias("x"))
+    classes = rows.groupBy("x").agg(F.min("v").alias("v"))
+    dealt = classes.withColumn("bucket", F.floor(F.col("x") / width))
+    left = dealt.select(F.col("v").alias("n1"), F.col("x").alias("x1"), "bucket")
+    right = dealt.select(F.col("v").alias("n2"), F.col("x").alias("x2"), F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("bucket"), F.col("bucket").alias("home"))
     near = left.join(right, "bucket").filter((F.abs(F.col("x1") - F.col("x2")) <= width) & ((F.col("home") != F.col("bucket")) | (F.col("n1") < F.col("n2"))))
-    return near.select(F.least("n1", "n2").alias("a"), F.greatest("n1", "n2").alias("b"))
+    return near.select(F.least("n1", "n2").alias("a"), F.greatest("n1", "n2").alias("b")).union(_members(rows, classes, "x"))
 
 
 def allowed_edits(length: Column, percent: int) -> Column:
@@ -43,15 +83,25 @@ def allowed_edits(length: Column, percent: int) -> Column:
 
 
 def edit_pairs(new: DataFrame, old: DataFrame, name: str, percent: int, size: str | None = None, ratio: int = 10) -> DataFrame:
-    """(new, old, edits): names within the edits that the new name's length allows; sizes over ``ratio`` apart are dropped.
+    """(new, old, edits): names within the edits t that the new name's length allows; sizes over ``ratio`` apart are dropped.
 
-    Blocked on length: a new row looks only at lengths that so many edits can reach. Verification stops at the limit.
+    The old name is cut into t + 1 segments: t edits leave one of them whole, and it stands in the new name at most t places
+    away. So names meet on (t, old length, segment number, segment). Verification stops at the limit. Repeated rows count once.
     """
+    if not 0 <= percent < 100:
+        raise ValueError("percent must be from 0 to 99")
     keep = [size] if size else []
-    n = new.select(F.col(name).alias("new"), *[F.col(k).alias("new_size") for k in keep]).withColumn("t", allowed_edits(F.length("new"), percent))
-    n = n.withColumn("len", F.explode(F.sequence(F.greatest(F.lit(0), F.length("new") - F.col("t")), F.length("new") + F.col("t"))))
-    o = old.select(F.col(name).alias("old"), *[F.col(k).alias("old_size") for k in keep]).withColumn("len", F.length("old"))
-    near = n.join(o, "len").withColumn("edits", F.expr("levenshtein(new, old, t)")).filter("edits >= 0")
+    begin, wide = "CAST(l * i DIV (t + 1) AS int)", "CAST(l * (i + 1) DIV (t + 1) - l * i DIV (t + 1) AS int)"
+    looks = f"""flatten(transform(sequence(greatest(0, length(new) - t), length(new) + t), l -> flatten(transform(sequence(0, t), i ->
+        transform(array_distinct(transform(filter(sequence({begin} - t, {begin} + t), s -> s >= 0 AND s + {wide} <= length(new)), s -> substring(new, s + 1, {wide}))),
+        seg -> struct(t AS t, l AS l, i AS i, seg AS seg))))))"""
+    holds = f"""flatten(transform(sequence(greatest(1, CAST(floor(l * {percent} / {100 + percent}) AS int) - 1), CAST(floor((l + 2) * {percent} / {100 - percent}) AS int) + 2), t ->
+        transform(sequence(0, t), i -> struct(t AS t, l AS l, i AS i, substring(old, {begin} + 1, {wide}) AS seg))))"""
+    n = new.filter(F.col(name).isNotNull()).select(F.col(name).alias("new"), *[F.col(k).alias("new_size") for k in keep]).withColumn("t", allowed_edits(F.length("new"), percent))
+    n = n.select("new", *["new_size" for _ in keep], F.inline(F.expr(looks)))
+    o = old.filter(F.col(name).isNotNull()).select(F.col(name).alias("old"), *[F.col(k).alias("old_size") for k in keep]).withColumn("l", F.length("old"))
+    o = o.select("old", *["old_size" for _ in keep], F.inline(F.expr(holds)))
+    near = n.join(o, ["t", "l", "i", "seg"]).withColumn("edits", F.expr("levenshtein(new, old, t)")).filter("edits >= 0")
     if size:
         near = near.filter(F.greatest("new_size", "old_size") <= ratio * F.greatest(F.lit(1), F.least("new_size", "old_size")))
-    return near.select("new", "old", "edits")
+    return near.select("new", "old", "edits").distinct()

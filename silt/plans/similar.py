@@ -29,9 +29,14 @@ def _hashed(spark, sf_dir):
 
 
 _H = f"h AS (SELECT doc_id, {_hash_sql('doc_id')} AS front, {_hash_sql('(doc_id // 7)')} AS back FROM documents)"
-_PAIRS = "SELECT x.doc_id AS a, y.doc_id AS b, CAST(bit_count(xor(x.front, y.front)) AS INTEGER) AS distance FROM h x JOIN h y ON x.doc_id < y.doc_id AND bit_count(xor(x.front, y.front)) <= 10"
+def _pairs_sql(bits: str, only: str = "true") -> str:
+    """Links between the least documents of different hashes, and of each with the others of its hash."""
+    return f"""SELECT x.v AS a, y.v AS b, CAST(bit_count(xor(x.h, y.h)) AS INTEGER) AS distance FROM (SELECT {bits} AS h, min(doc_id) AS v, bool_or({only}) AS hot FROM h GROUP BY 1) x
+        JOIN (SELECT {bits} AS h, min(doc_id) AS v, bool_or({only}) AS hot FROM h GROUP BY 1) y ON x.v < y.v AND bit_count(xor(x.h, y.h)) <= 10 AND (x.hot OR y.hot)
+        UNION ALL SELECT v AS a, doc_id AS b, 0 AS distance FROM h JOIN (SELECT {bits} AS k, min(doc_id) AS v, bool_or({only}) AS hot FROM h GROUP BY 1) c ON h.{bits} = c.k WHERE doc_id <> v AND hot"""
 
 
+_PAIRS = _pairs_sql("front")
 _CHANGED = "SELECT doc_id FROM labels WHERE toxic = 1"
 
 
@@ -45,13 +50,13 @@ def hamming_pairs(spark, sf_dir):
     return sim.hamming_pairs(_hashed(spark, sf_dir), "doc_id", "front", 10)
 
 
-@query("hamming_delta", f"WITH {_H}, p AS ({_PAIRS}) SELECT a, b, distance FROM p WHERE a IN ({_CHANGED}) OR b IN ({_CHANGED})")
+@query("hamming_delta", f"WITH {_H} {_pairs_sql('front', f'doc_id IN ({_CHANGED})')}")
 def hamming_delta(spark, sf_dir):
     h = _hashed(spark, sf_dir)
     return sim.hamming_pairs(h, "doc_id", "front", 10, h.join(_changed(spark, sf_dir), "doc_id", "left_semi"))
 
 
-@query("disjunctive_pairs", f"WITH {_H} SELECT x.doc_id AS a, y.doc_id AS b FROM h x JOIN h y ON x.doc_id < y.doc_id AND (bit_count(xor(x.front, y.front)) <= 10 OR bit_count(xor(x.back, y.back)) <= 10)")
+@query("disjunctive_pairs", f"WITH {_H} SELECT a, b FROM ({_pairs_sql('front')}) UNION SELECT a, b FROM ({_pairs_sql('back')})")
 def disjunctive_pairs(spark, sf_dir):
     return sim.either_pairs(_hashed(spark, sf_dir), "doc_id", "front", "back", 10)
 
@@ -71,7 +76,11 @@ def kept_edges(spark, sf_dir):
     return graph.kept_edges(sim.hamming_pairs(h, "doc_id", "front", 10).select("a", "b"), _changed(spark, sf_dir), "doc_id")
 
 
-@query("band_pairs", "SELECT x.o_orderkey AS a, y.o_orderkey AS b FROM orders x JOIN orders y ON x.o_orderkey < y.o_orderkey AND abs(x.o_totalprice - y.o_totalprice) <= 3.0")
+@query(
+    "band_pairs",
+    """WITH c AS (SELECT o_totalprice AS x, min(o_orderkey) AS v FROM orders GROUP BY 1) SELECT least(p.v, q.v) AS a, greatest(p.v, q.v) AS b FROM c p JOIN c q ON p.x < q.x AND q.x - p.x <= 3.0
+       UNION ALL SELECT v AS a, o_orderkey AS b FROM orders JOIN c ON o_totalprice = x WHERE o_orderkey <> v""",
+)
 def band_pairs(spark, sf_dir):
     return sim.band_pairs(table(spark, sf_dir, "orders"), "o_orderkey", "o_totalprice", 3.0)
 

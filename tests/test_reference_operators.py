@@ -119,20 +119,62 @@ def test_captions_files_and_reports(spark, tmp_path):
     assert [(r.kind, r.detail) for r in readers.routed_events(ev).collect()] == [("tool", "ls")]
 
 
+def expanded(pairs, values):
+    """All pairs that follow from pairs between classes of equal values and their memberships."""
+    same, out = {}, set()
+    for i, v in enumerate(values):
+        same.setdefault(v, []).append(i)
+    least = {i: min(g) for g in same.values() for i in g}
+    assert len(pairs) == len(set(pairs)) and all(a < b for a, b in pairs)
+    inside = {(a, b) for a, b in pairs if least[a] == least[b]}
+    assert inside == {(min(g), i) for g in same.values() for i in g if i != min(g)}
+    for a, b in set(pairs) - inside:
+        assert a == least[a] and b == least[b]
+        out |= {(min(i, j), max(i, j)) for i in same[values[a]] for j in same[values[b]]}
+    return out | {p for g in same.values() for p in combinations(sorted(g), 2)}
+
+
 def test_hamming_and_bands_equal_brute_force(spark):
     import random
 
     rng = random.Random(1)
     base = [rng.getrandbits(64) for _ in range(30)]
     hs = [b ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(12))) % 2**64 for b in base for _ in range(4)]
+    hs += hs[:5]
     signed = [h - 2**64 if h >= 2**63 else h for h in hs]
-    df = spark.createDataFrame(list(enumerate(signed)), "n long, h long")
-    want = {(i, j) for i, j in combinations(range(len(hs)), 2) if (hs[i] ^ hs[j]).bit_count() <= 10}
-    assert {(r.a, r.b) for r in similarity.hamming_pairs(df, "n", "h", 10).collect()} == want and want
+    df = spark.createDataFrame([*enumerate(signed), (999, None)], "n long, h long")
+    for most in (0, 2, 10):
+        want = {(i, j) for i, j in combinations(range(len(hs)), 2) if (hs[i] ^ hs[j]).bit_count() <= most}
+        got = similarity.hamming_pairs(df, "n", "h", most).collect()
+        assert expanded([(r.a, r.b) for r in got], hs) == want and want
+        assert all((hs[r.a] ^ hs[r.b]).bit_count() == r.distance for r in got)
+    changed = {3, 7, 50}
+    some = similarity.hamming_pairs(df, "n", "h", 10, df.filter(F.col("n").isin(*changed))).collect()
+    hot = {hs[i] for i in changed}
+    assert sorted((r.a, r.b) for r in some) == sorted((r.a, r.b) for r in got if {hs[r.a], hs[r.b]} & hot)
     xs = [rng.uniform(-50, 50) for _ in range(150)] + [3.0, 6.0, 6.0]
     df = spark.createDataFrame(list(enumerate(xs)), "n long, x double")
     got = [(r.a, r.b) for r in similarity.band_pairs(df, "n", "x", 3.0).collect()]
-    assert sorted(got) == sorted((i, j) for i, j in combinations(range(len(xs)), 2) if abs(xs[i] - xs[j]) <= 3.0)
+    assert expanded(got, xs) == {(i, j) for i, j in combinations(range(len(xs)), 2) if abs(xs[i] - xs[j]) <= 3.0}
+
+
+def test_edit_pairs_equal_brute_force(spark):
+    import random
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+        return row[-1]
+
+    rng = random.Random(2)
+    names = sorted({"".join(rng.choice("ab") for _ in range(rng.randrange(12))) for _ in range(70)} | {"", "a", "kätzchen", "kätzchem"})
+    df = spark.createDataFrame([(n,) for n in names] + [(None,)], "name string")
+    for percent in (0, 20, 30, 60):
+        want = {(x, y, edits(x, y)) for x in names for y in names if edits(x, y) <= max(1, len(x) * percent // 100)}
+        assert {tuple(r) for r in similarity.edit_pairs(df, df, "name", percent).collect()} == want
 
 
 def test_components_of_a_star_and_a_path(spark):
