@@ -161,3 +161,52 @@ def address(line: Column) -> Column:
     host = F.when(kind == "cidr", t).when(kind == "v4", F.regexp_extract(t, v4, 1)).when(kind == "v6", F.regexp_extract(t, r"^\[(.*)\]", 1)).when(kind == "host", F.regexp_extract(t, r"^(.*):", 1))
     number = F.regexp_extract(t, r":(\d+)$", 1).try_cast("int")
     return F.struct(kind.alias("kind"), host.alias("host"), F.when((kind != "cidr") & number.between(1, 65535), number).alias("port"))
+
+
+def version_key(version: Column) -> Column:
+    """A key that orders dotted versions by their numbers; a part that is no number counts as 0."""
+    return F.transform(F.split(F.regexp_replace(version, "^v", ""), r"\."), lambda p: F.coalesce(p.try_cast("long"), F.lit(0)))
+
+
+def globbed(text: Column, pattern: str) -> Column:
+    """Whether the whole text fits a pattern in which * stands for anything."""
+    return text.like("%".join(p.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_") for p in pattern.split("*")))
+
+
+def byte_diffs(a: Column, b: Column) -> Column:
+    """Where two blobs differ, as "OFFSET AA BB" lines in hex; offsets start at 1, and the longer end is not compared."""
+    x, y = a.cast("binary"), b.cast("binary")
+    n = F.least(F.octet_length(x), F.octet_length(y))
+    places = F.filter(F.sequence(F.lit(1), n), lambda i: F.substring(x, i, 1) != F.substring(y, i, 1))
+    line = lambda i: F.concat_ws(" ", F.lpad(F.hex(i), 8, "0"), F.hex(F.substring(x, i, 1)), F.hex(F.substring(y, i, 1)))
+    return F.when(n > 0, F.transform(places, line)).otherwise(F.array().cast("array<string>"))
+
+
+def top_store(path: Column) -> Column:
+    """The owning folder of a nested repository path: everything from the first worktrees or modules part on goes."""
+    return F.regexp_replace(path, "/(worktrees|modules)/.*$", "")
+
+
+def _sorted_xml(text: str) -> str:
+    """Elements by name and attributes, attributes by name, one an indented line; blank text goes. Broken documents are null."""
+    from xml.etree import ElementTree
+    from xml.sax.saxutils import escape, quoteattr
+
+    def own(e) -> str:
+        return "".join(t for t in [e.text, *[c.tail for c in e]] if t and t.strip())
+
+    def lines(e, deep: int) -> list[str]:
+        pad = "   " * deep
+        head = f"{pad}<{' '.join([e.tag, *[f'{k}={quoteattr(v)}' for k, v in sorted(e.items())]])}>{escape(own(e))}"
+        if not len(e):
+            return [f"{head}</{e.tag}>"]
+        inner = [line for c in sorted(e, key=lambda c: (c.tag, sorted(c.items()))) for line in lines(c, deep + 1)]
+        return [head, *inner, f"{pad}</{e.tag}>"]
+
+    try:
+        return "\n".join(lines(ElementTree.fromstring(text), 0))
+    except ElementTree.ParseError:
+        return None
+
+
+sorted_xml = _decoder(_sorted_xml)

@@ -37,3 +37,12 @@ def kept_edges(edges: DataFrame, touched: DataFrame, node: str) -> DataFrame:
     """Edges none of whose ends was changed or removed; new ones come from a delta join."""
     t = touched.select(F.col(node)).distinct()
     return edges.join(t.withColumnRenamed(node, "a"), "a", "left_anti").join(t.withColumnRenamed(node, "b"), "b", "left_anti")
+
+
+def nearest_marked(paths: DataFrame, node: str, path: str, marked: DataFrame, folder: str) -> DataFrame:
+    """(node, found): the nearest marked folder of each path, itself included, or null. Every path meets only its own ancestors."""
+    parts = F.split(path, "/")
+    up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, 1, k), "/").alias("folder_")))
+    every = paths.filter(F.col(path).isNotNull()).select(F.col(node), F.inline(up))
+    found = every.join(marked.select(F.col(folder).alias("folder_")).distinct(), "folder_").groupBy(node).agg(F.max_by("folder_", "depth").alias("found"))
+    return paths.select(node).join(found, node, "left")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -75,3 +76,63 @@ def paired(df: DataFrame, keys: Sequence[str], order: Sequence[str], kind: str,
     w = by(keys, order)
     rows = df.filter(F.col(kind).isin(opens, closes)).withColumn("_k", F.lead(kind).over(w)).withColumn("closed_by", F.lead(value).over(w)).withColumn("closed_at", F.lead(order[0]).over(w))
     return rows.filter((F.col(kind) == opens) & (F.col("_k") == closes)).drop("_k")
+
+
+def line_pairs(df: DataFrame, keys: Sequence[str], order: Sequence[str], line: str, separator: str = " ") -> DataFrame:
+    """(keys, pair, joined): each two adjacent lines as one; an odd last line stands alone."""
+    pair = F.floor((F.row_number().over(by(keys, order)) - 1) / 2).cast("long")
+    rows = df.withColumn("pair", pair).withColumn("_at", F.row_number().over(by(keys, order)))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", line))), lambda r: r[line]), separator)
+    return rows.groupBy(*keys, "pair").agg(joined.alias("joined"))
+
+
+def speeds(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: str) -> DataFrame:
+    """``speed``, what the size grew by since the row before, and ``mean_speed`` so far; the first row of an entity has neither."""
+    grown = df.withColumn("speed", F.col(size) - F.lag(size).over(by(keys, order)))
+    return grown.withColumn("mean_speed", F.avg("speed").over(so_far(keys, order)))
+
+
+def stalls(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, least: int) -> DataFrame:
+    """(keys, start, waits): runs in which the value stayed as it was for ``least`` rows or more; start is the first column of ``order`` where it began."""
+    w = by(keys, order)
+    moved = (F.row_number().over(w) == 1) | ~F.col(value).eqNullSafe(F.lag(value).over(w))
+    runs = df.withColumn("_m", moved.cast("long")).withColumn("_run", F.sum("_m").over(so_far(keys, order)))
+    return runs.groupBy(*keys, "_run").agg(F.min(order[0]).alias("start"), (F.count("*") - 1).alias("waits")).filter(F.col("waits") >= least).drop("_run")
+
+
+def rate_since_start(df: DataFrame, keys: Sequence[str], order: Sequence[str], counter: str, micros: Column, started: Column, factor: float = 1.0) -> DataFrame:
+    """Rates of a counter that was 0 at ``started`` (microseconds): the first row of an entity is the average since then."""
+    w = by(keys, order)
+    grown = F.col(counter) - F.coalesce(F.lag(counter).over(w), F.lit(0))
+    elapsed = (micros - F.coalesce(F.lag(micros).over(w), started)) / 1e6
+    return df.withColumn("_d", grown).withColumn("_s", elapsed).withColumn("rate", F.when(F.col("_s") > 0, F.col("_d") * factor / F.col("_s"))).drop("_d", "_s")
+
+
+def progress_steps(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The rows at which an entity's progress reaches another whole percent, with ``percent``."""
+    done = F.floor(100 * F.row_number().over(by(keys, order)) / F.count("*").over(Window.partitionBy(*keys)))
+    rows = df.withColumn("percent", done.cast("long"))
+    before = F.coalesce(F.lag("percent").over(by(keys, order)), F.lit(0))
+    return rows.withColumn("_b", before).filter("percent > _b").drop("_b")
+
+
+def throttled_rates(df: DataFrame, key: str, at_ms: str, amount: str, every_ms: int = 250, from_ms: int = 100) -> DataFrame:
+    """(key, at_ms, rate): amount a second since the key's first row, shown at most once in ``every_ms``.
+
+    What is shown depends on what was shown before, so a key's rows are walked in order; a key is one message, whose size is
+    bounded. Rows without amount, or before ``from_ms``, show nothing but still hold the next ones back.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([at_ms, amount])
+        start, shown, out = None, None, []
+        for at, n in zip(rows[at_ms], rows[amount], strict=True):
+            start = at if start is None else start
+            if shown is None or at - shown >= every_ms:
+                shown = at
+                if n > 0 and at - start >= from_ms:
+                    out.append((rows[key].iloc[0], at, int(n * 1000 / (at - start) + 0.5)))
+        return pd.DataFrame(out, columns=["key", "at_ms", "rate"])
+
+    rows = df.select(key, at_ms, amount).dropna()
+    return rows.groupBy(key).applyInPandas(run, f"key {df.schema[key].dataType.simpleString()}, at_ms long, rate long")

@@ -96,3 +96,20 @@ def log_edges(lo: float, hi: float, n: int) -> list[float]:
 
 def bar(count: Column, mark: str = "=") -> Column:
     return F.repeat(F.lit(mark), count.cast("int"))
+
+
+def scaled_bars(df: DataFrame, count: str, longest: int = 75, mark: str = "∎") -> DataFrame:
+    """``df``, of a few rows, with ``line_bar``: bars of one mark for each so many counts that the longest is at most ``longest``."""
+    most = F.max(count).over(Window.partitionBy(F.lit(1)))
+    return df.withColumn("_s", F.greatest(F.lit(1), F.ceil(most / longest))).withColumn("line_bar", F.repeat(F.lit(mark), F.floor(F.col(count) / F.col("_s")).cast("int"))).drop("_s")
+
+
+def slice_sum(values: Column, start: int, length: int) -> Column:
+    """The sum of part of an array, from ``start`` (1 is the first)."""
+    return F.aggregate(F.slice(values, start, length), F.lit(0.0), lambda s, v: s + v.cast("double"))
+
+
+def parts_and_rest(df: DataFrame, keys: Sequence[str], kind: str, kinds: Sequence[str]) -> DataFrame:
+    """Rows counted by kind, a column for each of ``kinds``, and ``other``, what the total holds beyond them."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("total"), *[F.count_if(F.col(kind) == k).alias(k) for k in kinds])
+    return counts.withColumn("other", F.col("total") - sum((F.col(k) for k in kinds), F.lit(0)))

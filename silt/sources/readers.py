@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import io
+import struct
+import zipfile
+from collections.abc import Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,3 +85,47 @@ def allow_list(lines: DataFrame, line: str = "line") -> DataFrame:
 def excluded(lines: DataFrame, patterns: Sequence[str], line: str = "line") -> DataFrame:
     """Lines that match none of the patterns."""
     return lines.filter(~F.col(line).rlike("|".join(f"(?:{p})" for p in patterns))) if patterns else lines
+
+
+def _blobs(spark: SparkSession, path: str, read, fields: str) -> DataFrame:
+    """What ``read`` yields from the bytes of each file, behind the file's path; one file is handled at a time."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0), batch.column(1), strict=True):
+                rows = read(content.as_py() or b"")
+                size = len(next(iter(rows.values())))
+                yield pa.RecordBatch.from_pydict({"path": [name.as_py()] * size, **rows})
+
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+    return whole.mapInArrow(run, f"path string, {fields}")
+
+
+def frames(spark: SparkSession, path: str) -> DataFrame:
+    """(path, pos, frame) of packet captures in the classic format, of either byte order; a cut-off last record is left out."""
+
+    def read(content: bytes) -> dict[str, pa.Array]:
+        order = {b"\xa1\xb2\xc3\xd4": ">", b"\xd4\xc3\xb2\xa1": "<", b"\xa1\xb2\x3c\x4d": ">", b"\x4d\x3c\xb2\xa1": "<"}.get(content[:4])
+        found, at = [], 24
+        while order and at + 16 <= len(content):
+            (size,) = struct.unpack_from(f"{order}I", content, at + 8)
+            if at + 16 + size > len(content):
+                break
+            found.append(content[at + 16 : at + 16 + size])
+            at += 16 + size
+        return {"pos": pa.array(range(len(found)), pa.int64()), "frame": pa.array(found, pa.binary())}
+
+    return _blobs(spark, path, read, "pos long, frame binary")
+
+
+def archive_entries(spark: SparkSession, path: str) -> DataFrame:
+    """(path, entry, size) of the files in zip and jar archives; anything else has none."""
+
+    def read(content: bytes) -> dict[str, pa.Array]:
+        try:
+            entries = [e for e in zipfile.ZipFile(io.BytesIO(content)).infolist() if not e.is_dir()]
+        except zipfile.BadZipFile:
+            entries = []
+        return {"entry": pa.array([e.filename for e in entries], pa.string()), "size": pa.array([e.file_size for e in entries], pa.int64())}
+
+    return _blobs(spark, path, read, "entry string, size long")

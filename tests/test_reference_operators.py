@@ -198,3 +198,34 @@ def test_null_safe_catalogue(spark):
     assert {r.k: r.status for r in catalog.integrity(a, b, ["k"], "d").collect()} == {1: "MATCH", 2: "MISMATCH", 3: "MISSING", 4: "NEW"}
     assert {r.k: r.status for r in catalog.snapshot_diff(a, b, ["k"], ["d"]).collect()} == {1: "SAME", 2: "UPDATE", 3: "DELETE", 4: "INSERT"}
     assert {(r.k, r.d) for r in catalog.upsert(a, b, ["k"]).collect()} == {(1, None), (2, None), (3, "y"), (4, "z")}
+
+
+def test_throttled_rates_golden(spark):
+    rows = [("m", at, n) for at, n in ((1000, 0), (1050, 5), (1260, 13), (1300, 20), (1520, 52), (1769, 99), (1770, 77))]
+    got = series.throttled_rates(spark.createDataFrame(rows, "k string, at long, n int"), "k", "at", "n").orderBy("at_ms").collect()
+    assert [tuple(r) for r in got] == [("m", 1260, 50), ("m", 1520, 100), ("m", 1770, 100)]
+
+
+def test_blobs_versions_and_paths(spark, tmp_path):
+    import struct
+    import zipfile
+
+    (tmp_path / "caps").mkdir()
+    for name, order in (("a", "<"), ("b", ">")):
+        records = b"".join(struct.pack(f"{order}4I", 1, 2, len(f), len(f)) + f for f in (b"one", b"", b"three"))
+        (tmp_path / "caps" / name).write_bytes(struct.pack(f"{order}I2H4I", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1) + records + b"\0" * 5)
+    (tmp_path / "caps" / "c").write_bytes(b"no capture")
+    got = readers.frames(spark, str(tmp_path / "caps")).collect()
+    assert sorted((r.path[-1], r.pos, bytes(r.frame)) for r in got) == [(n, i, f) for n in "ab" for i, f in enumerate((b"one", b"", b"three"))]
+    (tmp_path / "jars").mkdir()
+    with zipfile.ZipFile(tmp_path / "jars" / "x.jar", "w") as z:
+        z.writestr("p/Main.class", b"1234")
+    (tmp_path / "jars" / "y.jar").write_bytes(b"")
+    assert [(r.entry, r.size) for r in readers.archive_entries(spark, str(tmp_path / "jars")).collect()] == [("p/Main.class", 4)]
+    r = one(
+        spark, T.version_key(F.lit("v1.10.x")).alias("a"), T.globbed(F.lit("a_b%c"), "a_*%c").alias("b"), T.globbed(F.lit("axb"), "a_b").alias("c"),
+        T.byte_diffs(F.lit("abc"), F.lit("aXcd")).alias("d"), T.byte_diffs(F.lit(""), F.lit("x")).alias("e"), T.top_store(F.lit("/r/.git/modules/a/modules/b")).alias("f"),
+        T.sorted_xml(F.lit("<r><b z='1' a='2'>t</b>\n<a/></r>")).alias("g"), T.sorted_xml(F.lit("<r>")).alias("h"),
+    )
+    assert (r.a, r.b, r.c, r.d, r.e, r.f) == ([1, 10, 0], True, False, ["00000002 62 58"], [], "/r/.git")
+    assert r.g == '<r>\n   <a></a>\n   <b a="2" z="1">t</b>\n</r>' and r.h is None
