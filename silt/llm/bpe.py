@@ -12,12 +12,14 @@ from __future__ import annotations
 
 import base64
 import heapq
+import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 import xxhash
 from pyspark.sql import DataFrame
@@ -86,7 +88,8 @@ class Codec:
         self.slot_ids = [self.ranks[k] for k in self.hash.keys]
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
         self.split = regex.compile(pattern).findall
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, bytes] = {}
+        self.tokens = pa.array([self.bytes_of.get(i) for i in range(max(self.bytes_of, default=-1) + 1)], pa.binary())
 
     def merge(self, word: bytes) -> tuple[int, ...]:
         """Ids of one pre-token that is not itself a token."""
@@ -121,27 +124,45 @@ class Codec:
             i = j
         return tuple(ids)
 
-    def learn(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of pre-tokens: whole tokens by their slot, others by merging."""
+    def learn(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Ids of pre-tokens, as little-endian 32-bit values: whole tokens by their slot, others by merging."""
         words = list(words)
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         keys, ids = self.hash.keys, self.slot_ids
-        return {w: (ids[s],) if keys[s] == b else self.merge(b) for w, b, s in zip(words, raw, self.hash.slots(raw), strict=True)}
+        found = [(ids[s],) if keys[s] == b else self.merge(b) for b, s in zip(raw, self.hash.slots(raw), strict=True)]
+        return {w: struct.pack(f"<{len(f)}i", *f) for w, f in zip(words, found, strict=True)}
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+    def encode_packed(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian 32-bit values."""
         parts = [self.split(t) for t in texts]
         if len(self.memo) > MEMO:
             self.memo.clear()
         fresh = self.learn(set(chain.from_iterable(parts)).difference(self.memo))
         self.memo.update(fresh)
-        out = [list(chain.from_iterable(map(self.memo.__getitem__, p))) for p in parts]
+        out = [b"".join(map(self.memo.__getitem__, p)) for p in parts]
         for w in fresh:
             if len(w) > MEMO_CHARS:
                 del self.memo[w]
         return out
 
+    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        return [np.frombuffer(b, "<i4").tolist() for b in self.encode_packed(texts)]
+
+    def decode_arrays(self, ids: pa.ListArray) -> pa.BinaryArray:
+        """The bytes of each list of ids (null: none): tokens are taken in a row, and their ends give the texts' ends."""
+        lengths = pa.compute.fill_null(pa.compute.list_value_length(ids), 0)
+        token = self.tokens.take(ids.flatten())
+        if token.null_count:
+            raise ValueError("an id stands for no token")
+        ends = np.concatenate([[0], np.cumsum(lengths.to_numpy(zero_copy_only=False))])
+        if not len(token):
+            return pa.array([b""] * len(ids), pa.binary())
+        _, offsets, data = token.buffers()
+        at = np.frombuffer(offsets, "<i4")[token.offset : token.offset + len(token) + 1]
+        return pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(at[ends].astype("<i4").tobytes()), data])
+
     def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        return self.decode_arrays(pa.array([list(ids)], pa.list_(pa.int32())))[0].as_py()
 
 
 @lru_cache(maxsize=2)
@@ -154,7 +175,9 @@ def encode(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str) -
     """(``id_col``, ids array<int>) for every row; repeated rows stay repeated."""
 
     def fn(texts: list[str]) -> dict[str, list]:
-        return {"ids": codec(path, pattern).encode_batch(texts)}
+        packed = codec(path, pattern).encode_packed(texts)
+        ends = np.cumsum([0, *map(len, packed)], dtype=np.int32) // 4
+        return {"ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4")))}
 
     return map_texts(df, [id_col], text_col, fn, {"ids": pa.list_(pa.int32())}, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, ids array<int>")
 
@@ -166,8 +189,7 @@ def decode(df: DataFrame, id_col: str, path: str, pattern: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                c = codec(path, pattern)
-                out = [c.decode(ids or ()) for ids in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.binary())], names=[id_col, "ids", "decoded"])
+                out = codec(path, pattern).decode_arrays(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), out], names=[id_col, "ids", "decoded"])
 
     return df.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, ids array<int>, decoded binary")

@@ -50,7 +50,7 @@ def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def map_texts(df: DataFrame, keep: list[str], text: str, fn: Callable[[list[str]], dict[str, list]], fields: dict[str, pa.DataType], schema: str) -> DataFrame:
-    """Columns ``keep`` plus what ``fn`` makes of each text (null: empty); ``fn`` gets a slice of texts and returns lists of that length."""
+    """Columns ``keep`` plus what ``fn`` makes of each text (null: empty); ``fn`` gets a slice of texts and returns lists or Arrow arrays of that length."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -62,7 +62,7 @@ def map_texts(df: DataFrame, keep: list[str], text: str, fn: Callable[[list[str]
         for a, b in slices(texts):
             out = fn(texts[a:b])
             cols = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(out[k], t) for k, t in fields.items()], names=[*keep, *fields])
+            yield pa.RecordBatch.from_arrays(cols + [out[k] if isinstance(out[k], pa.Array) else pa.array(out[k], t) for k, t in fields.items()], names=[*keep, *fields])
 
     return df.select(*keep, text).mapInArrow(run, schema)
 

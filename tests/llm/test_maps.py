@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -191,3 +192,13 @@ def test_toxicity_finds_words_and_ignores_swapped_groups(spark):
 
 def test_digests_are_of_the_spans():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_bpe_decodes_sliced_null_and_empty_lists():
+    codec = bpe.codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    texts = ["a b", "", "naïve 東京", "x" * 90, "\U0001f600"]
+    ids = pa.array([None, *codec.encode_batch(texts), []], pa.list_(pa.int32()))
+    assert codec.decode_arrays(ids).to_pylist() == [b"", *[t.encode() for t in texts], b""]
+    assert codec.decode_arrays(ids.slice(3)).to_pylist() == [t.encode() for t in texts[2:]] + [b""]
+    assert codec.decode_arrays(ids.slice(0, 1)).to_pylist() == [b""] and codec.decode_arrays(ids.slice(0, 0)).to_pylist() == []
+    assert codec.decode([]) == b"" and codec.decode(codec.encode_batch(["hello"])[0]) == b"hello"
