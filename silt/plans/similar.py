@@ -137,13 +137,21 @@ def stream_welford(spark, sf_dir):
     return last.select("key", "s.n", F.round("s.mean", 6).alias("mean"), F.round("s.sd", 6).alias("sd"))
 
 
-@query("stream_pairing")
+@query(
+    "stream_pairing",
+    """WITH r AS (SELECT conv_id, turn, role, lag(role) OVER w AS before, lag(turn) OVER w AS earlier FROM conversations WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+       SELECT conv_id AS "key", CASE WHEN before = 'user' THEN earlier END AS opened, turn AS closed FROM r WHERE role = 'assistant'""",
+)
 def stream_pairing(spark, sf_dir):
     rows = stateful.file_stream(spark, f"{sf_dir}/conversations.parquet")
     return stateful.run_once(stateful.pairs(rows, "conv_id", "role", "turn", "user", "assistant"), "append", *_places(spark)).drop("batch_")
 
 
-@query("stream_ticks")
+@query(
+    "stream_ticks",
+    """SELECT s AS start, event_type, max_by(value, ts) AS last, count(*) AS n FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS s FROM events)
+       WHERE s + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY 1, 2""",
+)
 def stream_ticks(spark, sf_dir):
     rows = stateful.file_stream(spark, f"{sf_dir}/events.parquet")
-    return stateful.run_once(stateful.ticks(rows, "ts", "event_type", "value", "1 hour"), "append", *_places(spark)).drop("batch_")
+    return stateful.run_once(stateful.ticks(rows, "ts", "event_type", "value", "1 hour"), "append", *_places(spark)).drop("batch_").withColumn("start", F.col("start").cast("timestamp_ntz"))
