@@ -114,7 +114,13 @@ def greedy_assign(spark, sf_dir):
     return assign.greedy_assignment(assign.scored(left, right, "name", "name", tokens, tokens, T.name_score, 0.3).withColumn("folder", F.lit("all")), "folder")
 
 
-@query("subset_sum")
+@query(
+    "subset_sum",
+    """WITH RECURSIVE i AS (SELECT p_brand, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part WHERE p_size BETWEEN 1 AND 1000),
+       r AS (SELECT DISTINCT p_brand, 0 AS s, CAST(0 AS BIGINT) AS step FROM part
+             UNION SELECT r.p_brand, r.s + i.p_size * u.used, i.k FROM r JOIN i ON r.p_brand = i.p_brand AND i.k = r.step + 1 JOIN (VALUES (0), (1)) u(used) ON r.s + i.p_size * u.used <= 1000)
+       SELECT p_brand, CAST(max(s) AS BIGINT) AS filled FROM r GROUP BY 1""",
+)
 def subset_sum(spark, sf_dir):
     return assign.subset_sum(table(spark, sf_dir, "part"), ["p_brand"], "p_size", 1000)
 
