@@ -1,172 +1,230 @@
 """Language-model scoring by masked pseudo-likelihood.
 
 A small window network in numpy predicts a word from the words on both of its sides: each neighbour's vector is scaled
-by a vector of its position, the sum goes through tanh, and two softmaxes give the word's class and the word within its
-class, so probabilities are exact and normalised. A document's score is the sum over its words of the log-probability
-of each word given its neighbours.
+by a vector of its position, the sum goes through tanh, and two softmaxes give the id's class and the id within its
+class. The most frequent words have ids of their own; the others share hashed ids, and the probability of such a word
+is p(id | both sides) * p(word | id), where p(word | id) is the word's share of the id's count in the corpus. So
+probabilities are exact and normalised over all words of the corpus. A document's score is the sum over its words of
+the log-probability of each word given its neighbours.
 
-Training gathers from the whole corpus: word counts of all texts choose which words have ids of their own (the others
-share hashed ids), and every partition trains a copy of the network on all of its texts, masking ``MASKED`` of the
-words, chosen by hash; the copies are averaged, weighted by the words that they saw. Copies meet in a two-level sum.
+All of it follows the whole corpus: the words of all texts are counted into a table of the shared folder, the number
+of ids grows with the square root of the corpus count, and every partition trains a copy of the network on ``MASKED`` of
+the words of its texts, chosen by hash; the copies are averaged, weighted by their words, in a sum of three levels. Counts of shared words are
+joined to the texts' words; the most frequent words, which would make that join uneven, have ids of their own.
 
 Null and empty texts have no words: score 0, and a mean of 0. Edges of texts are padded with a blank id. Repeated rows
-are scored alike. An empty table trains nothing and gives no rows.
+are scored alike: sums of joined logarithms are of whole numbers, so their order does not matter. An empty table
+trains nothing and gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silt.llm.common import MIX, WordHash, map_texts, mix64, slices
+from silt.llm.common import MIX, WordHash, map_texts, mix64, slices, stored
 
-CLASSES = WORDS = 32  # 1024 ids: CLASSES * WORDS
-VOCAB = CLASSES * WORDS
-OWN = 896  # ids of single words; the rest are shared
+LEAST = 32  # classes at least; there are as many ids in a class as classes
 SIDE, DIM = 2, 16
-BATCH, RATE, MASKED = 8192, 0.5, 0.15
-BLANK = VOCAB
+BATCH, STEP, RATE, MASKED = 8192, 2048, 0.5, 0.15
 OFFSETS = [k for k in range(-SIDE, SIDE + 1) if k]
+FIXED = 2**30  # logarithms are summed in units of 1 / FIXED
 
 
-class Ids(dict):
-    """word -> id: its own, or one of the shared ids by hash."""
+def classes(words: int) -> int:
+    """Classes for a corpus of so many words: half as many ids as the square root of the count."""
+    return max(LEAST, 8 * math.ceil(math.sqrt(math.sqrt(words) / 2) / 8))
 
-    def __init__(self, own: dict[int, int]):
-        super().__init__()
-        self.own, self.hash = own, WordHash()
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= WordHash.LIMIT:
-            self.clear()
-        h = self.hash[word]
-        i = self[word] = self.own.get(h, OWN + h % (VOCAB - OWN))
-        return i
+def n_own(k: int) -> int:
+    """Ids of single words among ``k * k``; the rest are shared."""
+    return k * k - k * k // 8
 
-    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words of the texts, blanks between texts; and the position of each text's end."""
-        out: list[int] = [BLANK] * SIDE
-        ends = []
-        for t in texts:
-            out.extend(map(self.__getitem__, t.split()))
-            out.extend([BLANK] * SIDE)
-            ends.append(len(out))
-        return np.array(out, np.int32), np.array(ends)
 
+class Vocabulary(NamedTuple):
+    """Which words have ids of their own, and how often the words of each shared id occur."""
 
-def shapes() -> dict[str, tuple[int, ...]]:
-    return {"emb": (VOCAB + 1, DIM), "place": (len(OFFSETS), DIM), "bias": (DIM,), "cls": (DIM, CLASSES), "cls_b": (CLASSES,), "out": (CLASSES, DIM, WORDS), "out_b": (CLASSES, WORDS)}
+    k: int  # classes
+    own: np.ndarray  # hashes in order
+    number: np.ndarray  # their ids
+    ln_total: np.ndarray  # of each id: ln of the count of all its words; 0 where a word has the id for itself
 
+    @property
+    def blank(self) -> int:
+        return self.k * self.k
 
-def initial(seed: int = 11) -> dict[str, np.ndarray]:
+    def ids(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of hashes, and whether they are shared."""
+        first = n_own(self.k)
+        shared = first + ((h >> np.uint64(1)) % np.uint64(self.blank - first)).astype(np.int32)
+        if not len(self.own):
+            return spread(shared, self.k), np.ones(len(h), bool)
+        at = np.minimum(np.searchsorted(self.own, h), len(self.own) - 1)
+        other = self.own[at] != h
+        return spread(np.where(other, shared, self.number[at]), self.k), other
+
+    def of(self, texts: list[str], known: WordHash) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words of the texts, blanks between texts; the position of each text's end; where the shared words stand, and their hashes."""
+        words: list[str] = []
+        ends = np.empty(len(texts), np.int64)
+        for i, t in enumerate(texts):
+            words += t.split()
+            ends[i] = len(words)
+        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        ids, other = self.ids(h)
+        lengths = np.diff(ends, prepend=0)
+        at = np.arange(len(words)) + SIDE * (1 + np.repeat(np.arange(len(texts)), lengths))
+        out = np.full(len(words) + SIDE * (1 + len(texts)), self.blank, np.int32)
+        out[at] = ids
+        return out, ends + SIDE * (2 + np.arange(len(texts))), at[other], h[other]
+
+
+def spread(i: np.ndarray, k: int) -> np.ndarray:
+    """Number -> class * k + place, dealing neighbours in frequency over classes in turn, so that classes weigh alike."""
+    return ((i % k) * k + i // k).astype(np.int32)
+
+
+def shapes(k: int) -> dict[str, tuple[int, ...]]:
+    return {"emb": (k * k + 1, DIM), "place": (len(OFFSETS), DIM), "bias": (DIM,), "cls": (DIM, k), "cls_b": (k,), "out": (k, DIM, k), "out_b": (k, k)}
+
+
+def initial(k: int, seed: int = 11) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
-    net = {k: (rng.standard_normal(s) * 0.1).astype(np.float32) for k, s in shapes().items()}
+    net = {n: (rng.standard_normal(s) * 0.1).astype(np.float32) for n, s in shapes(k).items()}
     net["place"] += 1.0
-    for k in ("bias", "cls_b", "out_b"):
-        net[k][...] = 0
+    for n in ("bias", "cls_b", "out_b"):
+        net[n][...] = 0
     net["emb"] *= 5
     return net
 
 
 def flat(net: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([net[k].ravel() for k in shapes()])
+    return np.concatenate([v.ravel() for v in net.values()])
 
 
-def unflat(v: np.ndarray) -> dict[str, np.ndarray]:
+def unflat(v: np.ndarray, k: int) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for k, s in shapes().items():
+    for name, s in shapes(k).items():
         n = int(np.prod(s))
-        out[k] = v[at : at + n].reshape(s).astype(np.float32)
+        out[name] = v[at : at + n].reshape(s).astype(np.float32)
         at += n
     return out
 
 
-def hidden(net: dict[str, np.ndarray], ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    around = [ids[at + k] for k in OFFSETS]
-    h = np.broadcast_to(net["bias"], (len(at), DIM)).copy()
-    for j, a in enumerate(around):
-        h += net["emb"][a] * net["place"][j]
-    return np.tanh(h, out=h), around
+def hidden(net: dict[str, np.ndarray], ids: np.ndarray, s: int, e: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words at s to e: which of these are no blanks, their hidden values, and the vectors from s - SIDE to e + SIDE."""
+    near = net["emb"][ids[s - SIDE : e + SIDE]]
+    h = np.broadcast_to(net["bias"], (e - s, DIM)).copy()
+    for j, k in enumerate(OFFSETS):
+        h += near[SIDE + k : SIDE + k + e - s] * net["place"][j]
+    kept = np.flatnonzero(ids[s:e] != len(net["emb"]) - 1)
+    return kept, np.tanh(h[kept]), near
 
 
-def _soft(z: np.ndarray) -> np.ndarray:
-    """Log-softmax over the last axis, in place."""
+def _exp(z: np.ndarray) -> np.ndarray:
+    """The exponentials of the last axis over their greatest one, in place; their sums."""
     z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
-
-
-def by_class(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(c, kind="stable")
-    return order, np.searchsorted(c[order], np.arange(CLASSES + 1))
-
-
-def log_probs(net: dict[str, np.ndarray], ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """ln p(word | both sides) at the positions ``at``."""
-    out = np.empty(len(at))
-    for s in range(0, len(at), BATCH):
-        p = at[s : s + BATCH]
-        h, _ = hidden(net, ids, p)
-        c, w = np.divmod(ids[p], WORDS)
-        lp = _soft(h @ net["cls"] + net["cls_b"])[np.arange(len(p)), c]
-        order, first = by_class(c)
-        z = np.empty((len(p), WORDS), np.float32)
-        hs = h[order]
-        for k in range(CLASSES):
-            a, b = first[k], first[k + 1]
-            if a < b:
-                z[a:b] = hs[a:b] @ net["out"][k] + net["out_b"][k]
-        lw = _soft(z)[np.arange(len(p)), w[order]]
-        lp[order] += lw
-        out[s : s + BATCH] = lp
+    return np.exp(z, out=z).sum(axis=1)
+
+
+def in_class(net: dict[str, np.ndarray], h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of positions by class, the bounds of classes in it, and the scores of the ids of each position's class in that order."""
+    k = len(net["out"])
+    order = np.argsort(c.astype(np.uint16), kind="stable")
+    first = np.searchsorted(c[order], np.arange(k + 1))
+    z, hs = np.empty((len(c), k), np.float32), h[order]
+    for i in range(k):
+        a, b = first[i], first[i + 1]
+        if a < b:
+            np.matmul(hs[a:b], net["out"][i], out=z[a:b])
+    z += net["out_b"][c[order]]
+    return order, first, z
+
+
+def log_probs(net: dict[str, np.ndarray], ids: np.ndarray) -> np.ndarray:
+    """ln p(id | both sides) at each position, 0 at blanks; ``ids`` begin and end with ``SIDE`` blanks."""
+    out = np.zeros(len(ids))
+    for s in range(SIDE, len(ids) - SIDE, BATCH):
+        e = min(s + BATCH, len(ids) - SIDE)
+        kept, h, _ = hidden(net, ids, s, e)
+        if not len(kept):
+            continue
+        rows = np.arange(len(kept))
+        c, w = np.divmod(ids[s:e][kept], len(net["out"]))
+        z = h @ net["cls"] + net["cls_b"]
+        top = z.max(axis=1)
+        lp = z[rows, c] - top - np.log(_exp(z))
+        order, _, z = in_class(net, h, c)
+        mine = z[rows, w[order]]
+        top = z.max(axis=1)
+        lp[order] += mine - top - np.log(_exp(z))
+        out[s + kept] = lp
     return out
 
 
-def step(net: dict[str, np.ndarray], ids: np.ndarray, at: np.ndarray, rate: float) -> None:
-    """One step of gradient descent on the words at ``at``."""
-    n = len(at)
-    h, around = hidden(net, ids, at)
-    c, w = np.divmod(ids[at], WORDS)
-    g = np.exp(_soft(h @ net["cls"] + net["cls_b"]))
-    g[np.arange(n), c] -= 1
+def step(net: dict[str, np.ndarray], ids: np.ndarray, s: int, e: int, rate: float) -> int:
+    """One step of gradient descent on the masked words at s to e; gives their number."""
+    kept, h, near = hidden(net, ids, s, e)
+    masked = mix64((kept + s).astype(np.uint64) * MIX) < np.uint64(int(MASKED * 2**64))
+    kept, h = kept[masked], h[masked]
+    n = len(kept)
+    if not n:
+        return 0
+    rows, rate = np.arange(n), np.float32(rate)
+    c, w = np.divmod(ids[s:e][kept], len(net["out"]))
+    g = h @ net["cls"] + net["cls_b"]
+    g /= _exp(g)[:, None]
+    g[rows, c] -= 1
     dh = g @ net["cls"].T
-    rate = np.float32(rate)
-    order, first = by_class(c)
-    hs, ws = h[order], w[order]
-    dhs = np.zeros_like(hs)
+    order, first, q = in_class(net, h, c)
+    q /= _exp(q)[:, None]
+    q[rows, w[order]] -= 1
     net["cls"] -= rate / n * (h.T @ g)
     net["cls_b"] -= rate / n * g.sum(axis=0)
-    for k in range(CLASSES):
+    hs, dhs = h[order], np.empty_like(h)
+    for k in range(len(net["out"])):
         a, b = first[k], first[k + 1]
         if a < b:
-            q = np.exp(_soft(hs[a:b] @ net["out"][k] + net["out_b"][k]))
-            q[np.arange(b - a), ws[a:b]] -= 1
-            dhs[a:b] = q @ net["out"][k].T
-            m = np.float32(1.0 / max(b - a, 32))
-            net["out"][k] -= rate * m * (hs[a:b].T @ q)
-            net["out_b"][k] -= rate * m * q.sum(axis=0)
+            np.matmul(q[a:b], net["out"][k].T, out=dhs[a:b])
+            m = rate / np.float32(max(b - a, 32))
+            net["out"][k] -= m * (hs[a:b].T @ q[a:b])
+            net["out_b"][k] -= m * q[a:b].sum(axis=0)
     dh[order] += dhs
     dh *= 1 - h * h
-    old = net["place"].copy()
-    grad = np.zeros_like(net["emb"])
-    seen = np.zeros(VOCAB + 1, np.float32)
-    for j, a in enumerate(around):
-        net["place"][j] -= rate / n * (dh * net["emb"][a]).sum(axis=0)
-        d = dh * old[j]
-        for k in range(DIM):
-            grad[:, k] += np.bincount(a, d[:, k], VOCAB + 1)
-        seen += np.bincount(a, minlength=VOCAB + 1)
-    net["emb"] -= rate * 4 * grad / np.maximum(seen, 16.0)[:, None]
+    wide = np.zeros((e - s, DIM), np.float32)
+    wide[kept] = dh
+    used = np.zeros(e - s, np.float32)
+    used[kept] = 1
+    grad, seen = np.zeros_like(near), np.zeros(len(near), np.float32)
+    for j, k in enumerate(OFFSETS):
+        part = slice(SIDE + k, SIDE + k + e - s)
+        grad[part] += wide * net["place"][j]
+        seen[part] += used
+        net["place"][j] -= rate / n * np.einsum("ij,ij->j", wide, near[part])
+    at = ids[s - SIDE : e + SIDE]
+    by = np.argsort(at, kind="stable")
+    at = at[by]
+    start = np.flatnonzero(np.diff(at, prepend=-1))
+    total = np.maximum(np.add.reduceat(seen[by], start), 16.0)
+    net["emb"][at[start]] -= rate * 4 * np.add.reduceat(grad[by], start, axis=0) / total[:, None]
     net["bias"] -= rate / n * dh.sum(axis=0)
+    return n
+
+
+def learn(net: dict[str, np.ndarray], ids: np.ndarray) -> int:
+    """Steps on the masked words of ``ids`` once; gives their number."""
+    return sum(step(net, ids, s, min(s + STEP, len(ids) - SIDE), RATE) for s in range(SIDE, len(ids) - SIDE, STEP))
 
 
-def common_words(df: DataFrame, text_col: str) -> dict[int, int]:
-    """Hashes of the most frequent words of the corpus -> ids, most frequent first. At most ``OWN`` rows reach the driver."""
+def word_counts(df: DataFrame, text_col: str) -> DataFrame:
+    """(word, n): the hash of every word of the corpus and its count, as a table in the shared folder."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[str] = Counter()
@@ -185,72 +243,79 @@ def common_words(df: DataFrame, text_col: str) -> dict[int, int]:
                     yield flush()
         yield flush()
 
-    counts = df.select(text_col).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(OWN).collect()
-    # neighbours in frequency go to different classes, so that classes weigh alike
-    return {r[0] & 0xFFFFFFFFFFFFFFFF: i for i, r in enumerate(top)}
+    return stored(df.select(text_col).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
 
 
-def spread(i: np.ndarray) -> np.ndarray:
-    """Id -> class * WORDS + word, dealing ids over classes in turn."""
-    return np.where(i < VOCAB, (i % CLASSES) * WORDS + i // CLASSES, i).astype(np.int32)
+def vocabulary(counts: DataFrame) -> tuple[Vocabulary, DataFrame]:
+    """The vocabulary, and the counts of the words that share ids. The driver gets a row for each id."""
+    k = classes(counts.agg(F.sum("n")).first()[0] or 0)
+    first, every = n_own(k), k * k
+    top = counts.orderBy(F.desc("n"), "word").limit(first).collect()
+    rest = counts.filter((F.col("n") < top[-1].n) | ((F.col("n") == top[-1].n) & (F.col("word") > top[-1].word))) if top else counts
+    own = np.array([r.word for r in top], np.int64).view(np.uint64)
+    order = np.argsort(own)
+    ln_total = np.zeros(every + 1)
+    for r in rest.groupBy((F.shiftrightunsigned("word", 1) % (every - first)).alias("i")).agg(F.sum("n").alias("n")).collect():
+        ln_total[spread(np.array(first + r.i), k)] = math.log(r.n)
+    return Vocabulary(k, own[order], order.astype(np.int32), ln_total), rest
 
 
-def train(df: DataFrame, text_col: str, own: dict[int, int], copies: int = 32) -> dict[str, np.ndarray]:
-    """The average of the copies that all partitions train. At most ``copies`` sums, of fixed size, reach the driver."""
-    width = len(flat(initial()))
+def train(df: DataFrame, text_col: str, voc: Vocabulary, copies: int = 32) -> dict[str, np.ndarray]:
+    """The average of the copies that all partitions train. One sum, of the size of the network, reaches the driver."""
+    k = voc.k
 
     def local(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, words, known = initial(), 0, Ids(own)
+        net, words, known = initial(k), 0, WordHash()
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]
             for a, b in slices(texts):
-                ids, _ = known.of(texts[a:b])
-                ids = spread(ids)
-                at = np.flatnonzero(ids != BLANK)
-                at = at[mix64((at.astype(np.uint64) + np.uint64(words)) * MIX) < np.uint64(int(MASKED * 2**64))]
-                for s in range(0, len(at), 1024):
-                    step(net, ids, at[s : s + 1024], RATE)
-                words += len(at)
+                words += learn(net, voc.of(texts[a:b], known)[0])
         if words:
             yield pa.RecordBatch.from_arrays([pa.array([(flat(net).astype(np.float64) * words).tobytes()], pa.binary()), pa.array([words], pa.int64())], names=["net", "words"])
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, words = np.zeros(width), 0
+        total, words = 0.0, 0
         for batch in batches:
-            for raw, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total += np.frombuffer(raw)
+            for raw, w in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                total = total + np.frombuffer(raw.as_buffer())
                 words += w
         if words:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([words], pa.int64())], names=["net", "words"])
 
-    sums = df.select(text_col).mapInArrow(local, "net binary, words long").repartition(copies).mapInArrow(add, "net binary, words long").collect()
-    if not sums:
-        return initial()
-    return unflat(sum(np.frombuffer(r[0]) for r in sums) / sum(r[1] for r in sums))
+    sums = df.select(text_col).mapInArrow(local, "net binary, words long")
+    for n in (copies, 1):
+        sums = sums.repartition(n).mapInArrow(add, "net binary, words long")
+    total = sums.first()
+    return unflat(np.frombuffer(total[0]) / total[1], k) if total else initial(k)
 
 
-def score(df: DataFrame, id_col: str, text_col: str, own: dict[int, int], net: dict[str, np.ndarray]) -> DataFrame:
-    """(``id_col``, n_words, log_prob, mean_log_prob) for every row."""
-    kept: dict[str, Ids] = {}
+def score(df: DataFrame, id_col: str, text_col: str, voc: Vocabulary, rest: DataFrame, net: dict[str, np.ndarray]) -> DataFrame:
+    """(``id_col``, n_words, log_prob, mean_log_prob) for every row; ``rest`` has the counts of words that share ids."""
+    kept: dict[str, WordHash] = {}
 
     def fn(texts: list[str]) -> dict[str, list]:
-        known = kept.get("ids") or kept.setdefault("ids", Ids(own))
-        ids, ends = known.of(texts)
-        ids = spread(ids)
-        lp = np.zeros(len(ids) + 1)
-        at = np.flatnonzero(ids != BLANK)
-        lp[at + 1] = log_probs(net, ids, at)
-        total, n = np.cumsum(lp), np.cumsum(np.concatenate([[0], ids != BLANK]))
+        known = kept.get("hash") or kept.setdefault("hash", WordHash())
+        ids, ends, at, h = voc.of(texts, known)
+        lp = np.concatenate([[0], log_probs(net, ids)])
+        lp[at + 1] -= voc.ln_total[ids[at]]
+        total, n = np.cumsum(lp), np.cumsum(np.concatenate([[0], ids != voc.blank]))
         starts = np.concatenate([[SIDE], ends[:-1]]).astype(int)
-        sums, counts = total[ends] - total[starts], n[ends] - n[starts]
-        return {"n_words": counts.tolist(), "log_prob": sums.tolist(), "mean_log_prob": (sums / np.maximum(counts, 1)).tolist()}
+        bounds = np.searchsorted(at, np.concatenate([[0], ends])).astype(np.int32)
+        shared = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(h.view(np.int64)))
+        return {"n_words": (n[ends] - n[starts]).tolist(), "by_id": (total[ends] - total[starts]).tolist(), "shared": shared}
 
     kind = df.schema[id_col].dataType.simpleString()
-    return map_texts(df, [id_col], text_col, fn, {"n_words": pa.int64(), "log_prob": pa.float64(), "mean_log_prob": pa.float64()}, f"`{id_col}` {kind}, n_words long, log_prob double, mean_log_prob double")
+    fields = {"n_words": pa.int64(), "by_id": pa.float64(), "shared": pa.list_(pa.int64())}
+    own = map_texts(df, [id_col], text_col, fn, fields, f"`{id_col}` {kind}, n_words long, by_id double, shared array<long>")
+    own = stored(own.withColumn("rid", F.monotonically_increasing_id()), "scores")
+    ln = F.round(F.ln("n") * FIXED).cast("long")
+    joined = own.select("rid", F.explode("shared").alias("word")).join(rest.select("word", ln.alias("ln")), "word").groupBy("rid").agg(F.sum("ln").alias("ln"))
+    log_prob = F.col("by_id") + F.coalesce("ln", F.lit(0)) / FIXED
+    out = own.drop("shared").join(joined, "rid", "left").select(id_col, "n_words", log_prob.alias("log_prob"))
+    return out.withColumn("mean_log_prob", F.col("log_prob") / F.greatest("n_words", F.lit(1)))
 
 
 def pseudo_likelihood(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Train on all texts of ``df`` and score each of them."""
-    own = common_words(df, text_col)
-    return score(df, id_col, text_col, own, train(df, text_col, own))
+    """Train on all texts of ``df`` and score each row."""
+    voc, rest = vocabulary(word_counts(df, text_col))
+    return score(df, id_col, text_col, voc, rest, train(df, text_col, voc))
