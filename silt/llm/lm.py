@@ -8,8 +8,8 @@ probabilities are exact and normalised over all words of the corpus. A document'
 the log-probability of each word given its neighbours.
 
 All of it follows the whole corpus: the words of all texts are counted into a table of the shared folder, the number
-of ids grows with the square root of the corpus count, and every partition trains a copy of the network on ``MASKED`` of
-the words of its texts, chosen by hash; the copies are averaged, weighted by their words, in a sum of three levels. Counts of shared words are
+of ids grows with the square root of the corpus count, and every partition trains a copy of the network on every word
+of its texts; the copies are averaged, weighted by their words, in a sum of three levels. Counts of shared words are
 joined to the texts' words; the most frequent words, which would make that join uneven, have ids of their own.
 
 Null and empty texts have no words: score 0, and a mean of 0. Edges of texts are padded with a blank id. Repeated rows
@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silt.llm.common import MIX, WordHash, map_texts, mix64, slices, stored
+from silt.llm.common import WordHash, map_texts, slices, stored
 
 LEAST = 32  # classes at least; there are as many ids in a class as classes
 SIDE, DIM = 2, 16
-BATCH, STEP, RATE, MASKED = 8192, 2048, 0.5, 0.15
+BATCH, STEP, RATE = 8192, 2048, 0.5
 OFFSETS = [k for k in range(-SIDE, SIDE + 1) if k]
 FIXED = 2**30  # logarithms are summed in units of 1 / FIXED
 
@@ -170,10 +170,8 @@ def log_probs(net: dict[str, np.ndarray], ids: np.ndarray) -> np.ndarray:
 
 
 def step(net: dict[str, np.ndarray], ids: np.ndarray, s: int, e: int, rate: float) -> int:
-    """One step of gradient descent on the masked words at s to e; gives their number."""
+    """One step of gradient descent on all words at s to e; gives their number."""
     kept, h, near = hidden(net, ids, s, e)
-    masked = mix64((kept + s).astype(np.uint64) * MIX) < np.uint64(int(MASKED * 2**64))
-    kept, h = kept[masked], h[masked]
     n = len(kept)
     if not n:
         return 0
@@ -219,7 +217,7 @@ def step(net: dict[str, np.ndarray], ids: np.ndarray, s: int, e: int, rate: floa
 
 
 def learn(net: dict[str, np.ndarray], ids: np.ndarray) -> int:
-    """Steps on the masked words of ``ids`` once; gives their number."""
+    """Steps on every word of ``ids`` once; gives their number."""
     return sum(step(net, ids, s, min(s + STEP, len(ids) - SIDE), RATE) for s in range(SIDE, len(ids) - SIDE, STEP))
 
 
@@ -261,7 +259,7 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, DataFrame]:
 
 
 def train(df: DataFrame, text_col: str, voc: Vocabulary, copies: int = 32) -> dict[str, np.ndarray]:
-    """The average of the copies that all partitions train. One sum, of the size of the network, reaches the driver."""
+    """The average of the copies that all partitions train on all their words. One sum, of the size of the network, reaches the driver."""
     k = voc.k
 
     def local(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,6 +314,6 @@ def score(df: DataFrame, id_col: str, text_col: str, voc: Vocabulary, rest: Data
 
 
 def pseudo_likelihood(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Train on all texts of ``df`` and score each row."""
+    """Train on all words of ``df`` and score each row."""
     voc, rest = vocabulary(word_counts(df, text_col))
     return score(df, id_col, text_col, voc, rest, train(df, text_col, voc))

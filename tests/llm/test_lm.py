@@ -82,3 +82,21 @@ def test_an_empty_table_and_one_without_words(spark):
     df = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     assert lm.pseudo_likelihood(df.limit(0), "doc_id", "text").count() == 0
     assert [tuple(r) for r in lm.pseudo_likelihood(df, "doc_id", "text").orderBy("doc_id").collect()] == [(1, 0, 0.0, 0.0), (2, 0, 0.0, 0.0)]
+
+
+def test_every_word_trains(spark):
+    blank = lm.LEAST**2
+    words = np.random.default_rng(6).permutation(blank)  # every id once: one that is no target keeps its bias or loses
+    ids = np.concatenate([[blank] * 2, words[:700], [blank] * 2, words[700:], [blank] * 2]).astype(np.int32)
+    net = lm.initial(lm.LEAST)
+    assert lm.learn(net, ids) == blank
+    _, df = tables(spark)
+    voc, _ = lm.vocabulary(lm.word_counts(df, "text"))
+    net = lm.train(df, "text", voc)
+    assert net["emb"].shape == (blank + 1, lm.DIM)
+    text = "c1 c2 c3 c4 r1 c5 c6"
+    one = spark.createDataFrame([(1, text)] * 200, "doc_id long, text string").coalesce(1)
+    voc, rest = lm.vocabulary(lm.word_counts(one, "text"))
+    taught = lm.score(one.limit(1), "doc_id", "text", voc, rest, lm.train(one, "text", voc)).first().log_prob
+    before = lm.score(one.limit(1), "doc_id", "text", voc, rest, lm.initial(voc.k)).first().log_prob
+    assert taught > before
