@@ -70,3 +70,16 @@ def test_license_digest_ignores_case_copyright_and_spelling(spark):
     want = duckdb.sql(licenses.oracle_sql()).df()
     key = ["doc_id", "digest"]
     assert got.sort_values(key).reset_index(drop=True).fillna("").equals(want.sort_values(key).reset_index(drop=True).fillna("")), documents
+
+
+def test_whole_licenses_are_known(spark):
+    whole = {"Apache-2.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0", "GFDL-1.2", "GFDL-1.3", "CC0-1.0", "Artistic-1.0-Perl", "BSD-3-Clause-Regents"}
+    known = licenses.known_licenses(spark).collect()
+    assert len({r.digest for r in known}) == len(known) == len(licenses.KNOWN) and whole <= {r.license_id for r in known}
+    rows = [(i, " \n" + licenses.KNOWN[k].replace("\n\n", "\n \n\t").swapcase() + "\n\n", k) for i, k in enumerate(sorted(whole))]
+    rows += [(100 + i, f"some prose\n{t}", None) for i, (_, t, _) in enumerate(rows)]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    assert {r.doc_id: r.license_id for r in licenses.match(df, "doc_id", "text").collect()} == {i: k for i, _, k in rows}
+    documents = df.toPandas()
+    want = duckdb.sql(licenses.oracle_sql()).df()
+    assert dict(zip(want.doc_id, want.license_id.where(want.license_id.notna(), None))) == {i: k for i, _, k in rows}, documents
