@@ -30,20 +30,20 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 ASSIGN_CHARS, ACCESS_CHARS = 8, 16
 KINDS = ("assign", "access", "hex", "live")
 
-#: Other candidates: maximal runs of token characters, with a digit and a letter, 20 to 512 long.
+#: Other candidates: maximal runs of token characters, with a digit and a letter, 20 long at least.
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
-TOKEN_CHARS = 512
 PLACEHOLDER = re.compile(r"example|sample|dummy|changeme|placeholder|your|xxxx|1234|abcd|0000", re.IGNORECASE)
+PLACEHOLDER_CHARS = 512  # longer values hold such short words by chance
 
 SPAN = pa.struct([("start", pa.int64()), ("order", pa.int32()), ("stop", pa.int64()), ("value", pa.int64()), ("digest", pa.binary()), ("random", pa.bool_())])
 SPAN_SQL = "array<struct<start:bigint,order:int,stop:bigint,value:bigint,digest:binary,random:boolean>>"
 
 
 def random_looking(value: str) -> bool:
-    """Mixed characters, over 3 bits of entropy a character, no placeholder word."""
+    """Mixed characters, over 3 bits of entropy a character, no placeholder word in a value of at most ``PLACEHOLDER_CHARS``."""
     n = len(value)
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    return entropy > 3 and any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and not PLACEHOLDER.search(value)
+    return entropy > 3 and any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and not (n <= PLACEHOLDER_CHARS and PLACEHOLDER.search(value))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -58,7 +58,7 @@ def other_spans(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[
     """Candidates that overlap no base finding."""
     out = []
     for m in TOKEN.finditer(text):
-        if m.end() - m.start() <= TOKEN_CHARS and random_looking(m[0]) and all(m.end() <= a or m.start() >= b for a, _, b, _ in base):
+        if random_looking(m[0]) and all(m.end() <= a or m.start() >= b for a, _, b, _ in base):
             out.append((m.start(), 3, m.end(), m[0]))
     return out
 

@@ -130,6 +130,17 @@ def test_ownership_separates_examples_from_live_values(spark):
     assert secrets.scan(df.limit(0), "doc_id", "text", "source", "lang").count() == 0
 
 
+def test_keys_of_any_length_are_found_and_masked(spark):
+    rng = np.random.default_rng(7)
+    key, shared = ("".join(rng.choice(list("ABCDEFGHJKLMNPQRSTUVWXYZefghijklm56789+/"), n)) for n in (1700, 40_000))
+    rows = [(1, f"see {key} here", "a", "x")] + [(10 + i, f"use {shared}", f"o{i}", "x") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = {r.doc_id: r for r in secrets.scan(df, "doc_id", "text", "source", "lang").withColumn("s", secrets.listed("spans")).collect()}
+    assert got[1].s == "live:4:1704" and got[1].n_live == 1 and got[10].s == "" and got[10].n_live == 0
+    new = {r.doc_id: r.text for r in secrets.redact(df, "doc_id", "text", "source", "lang").collect()}
+    assert new[1] == "see [SECRET] here" and new[10] == rows[1][1]
+
+
 def slow_repeats(words):
     grams = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
     return len({j for i, g in enumerate(grams) if grams.count(g) > 1 for j in range(i, i + 5)})
