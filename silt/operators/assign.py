@@ -42,21 +42,41 @@ def greedy_assignment(pairs: DataFrame, group: str) -> DataFrame:
     return pairs.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, l {kinds['l']}, r {kinds['r']}, score double")
 
 
-def subset_sum(items: DataFrame, keys: Sequence[str], size: str, capacity: int) -> DataFrame:
-    """The largest sum of sizes, each used once, that fits the capacity: attainable sums are the bits of one integer.
+def subset_sum(items: DataFrame, keys: Sequence[str], size: str, capacity: int, item: str | None = None) -> DataFrame:
+    """``filled``, the largest sum of sizes, each used once, that fits the capacity, and ``chosen``, the items that make it.
 
-    The state is ``capacity`` bits; sizes over the capacity are left out.
+    Attainable sums are the bits of one integer; the item that first reached each sum leads back to the chosen ones. Items
+    are taken in order of ``item`` (the size where none is named). The state is ``capacity`` bits and items; sizes over
+    the capacity are left out.
     """
+    item = item or size
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pd.DataFrame) -> tuple[int, list]:
         bits, mask = 1, (1 << (capacity + 1)) - 1
-        for s in rows[size]:
-            if 0 < s <= capacity:
-                bits |= bits << int(s) & mask
-        return pd.DataFrame([[*rows[list(keys)].iloc[0], bits.bit_length() - 1]], columns=[*keys, "filled"])
+        reached: dict[int, tuple[int, object]] = {}  # sum -> size and item that first made it
+        rows = rows[(rows["size_"] > 0) & (rows["size_"] <= capacity)].sort_values(["item_", "size_"])
+        for s, x in zip(rows["size_"].astype(int).tolist(), rows["item_"].tolist(), strict=True):
+            new = bits << s & mask & ~bits
+            bits |= new
+            while new:
+                low = new & -new
+                reached[low.bit_length() - 1] = s, x
+                new ^= low
+        filled = at = bits.bit_length() - 1
+        chosen = []
+        while at:
+            s, x = reached[at]
+            chosen.append(x)
+            at -= s
+        return filled, chosen[::-1]
+
+    def group(rows: pd.DataFrame) -> pd.DataFrame:
+        filled, chosen = run(rows)
+        return pd.DataFrame({**{k: [rows[k].iloc[0]] for k in keys}, "filled": [filled], "chosen": [chosen]})
 
     kinds = {f.name: f.dataType.simpleString() for f in items.schema.fields}
-    return items.select(*keys, size).groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", filled long")
+    own = items.select(*keys, F.col(size).alias("size_"), F.col(item).alias("item_"))
+    return own.groupBy(*keys).applyInPandas(group, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", filled long, chosen array<{kinds[item]}>")
 
 
 def overlap(a: str, b: str) -> int:

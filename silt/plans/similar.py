@@ -122,7 +122,7 @@ def greedy_assign(spark, sf_dir):
        SELECT p_brand, CAST(max(s) AS BIGINT) AS filled FROM r GROUP BY 1""",
 )
 def subset_sum(spark, sf_dir):
-    return assign.subset_sum(table(spark, sf_dir, "part"), ["p_brand"], "p_size", 1000)
+    return assign.subset_sum(table(spark, sf_dir, "part"), ["p_brand"], "p_size", 1000, "p_partkey").select("p_brand", "filled")
 
 
 @query("caption_merge")

@@ -229,3 +229,10 @@ def test_blobs_versions_and_paths(spark, tmp_path):
     )
     assert (r.a, r.b, r.c, r.d, r.e, r.f) == ([1, 10, 0], True, False, ["00000002 62 58"], [], "/r/.git")
     assert r.g == '<r>\n   <a></a>\n   <b a="2" z="1">t</b>\n</r>' and r.h is None
+
+
+def test_subset_sum_gives_the_chosen_items(spark):
+    rows = [("a", i, s) for i, s in enumerate((60, 50, 30, 30, 200, 0))] + [("b", 9, 500), ("c", 7, None), ("c", 8, 4)]
+    got = {r.k: r for r in assign.subset_sum(spark.createDataFrame(rows, "k string, i int, s int"), ["k"], "s", 100, "i").collect()}
+    size = {(k, i): s for k, i, s in rows}
+    assert {k: (r.filled, sum(size[k, i] for i in r.chosen), len(set(r.chosen)) == len(r.chosen)) for k, r in got.items()} == {"a": (90, 90, True), "b": (0, 0, True), "c": (4, 4, True)}
