@@ -2,30 +2,38 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from silt.operators import shared
+
 
 def _cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="silt-"))
+        sc.setCheckpointDir(shared.root(df.sparkSession))
     return df.checkpoint()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of an edge (a, b); the component is its least node."""
-    both = _cut(edges.selectExpr("a AS node", "b AS other").union(edges.selectExpr("b AS node", "a AS other")).distinct())
-    label = _cut(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("component")))
-    while True:
-        near = both.join(label.selectExpr("node AS other", "component AS c"), "other").groupBy("node").agg(F.min("c").alias("c"))
-        step = label.join(near, "node").select("node", F.col("component").alias("before"), F.least("component", "c").alias("component"))
-        up = label.selectExpr("node AS component", "component AS top")
-        label = _cut(step.join(up, "component").select("node", "before", F.least("component", "top").alias("component")))
-        if label.filter("before <> component").isEmpty():
-            return label.select("node", "component")
+def components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame] = _cut, release: Callable[[DataFrame], None] = lambda df: None) -> DataFrame:
+    """(node, component) for every node of an edge (a, b); the component is its least node.
+
+    ``cut`` gives a frame whose lineage ends, ``release`` is told of such frames once nothing reads them.
+    """
+    both = cut(edges.selectExpr("a AS node", "b AS other").union(edges.selectExpr("b AS node", "a AS other")).filter("node <> other").distinct())
+    first = both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("component"))
+    label = cut(first.withColumn("before", F.col("node")))
+    while not label.filter("before <> component").isEmpty():
+        old = label.select("node", "component")
+        near = both.join(old.selectExpr("node AS other", "component AS c"), "other").groupBy("node").agg(F.min("c").alias("c"))
+        step = old.join(near, "node").select("node", F.col("component").alias("before"), F.least("component", "c").alias("component"))
+        up = old.selectExpr("node AS component", "component AS top")
+        earlier, label = label, cut(step.join(up, "component").select("node", F.least("component", "top").alias("component"), "before"))
+        release(earlier)
+    release(both)
+    return label.select("node", "component")
 
 
 def groups(edges: DataFrame) -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from silt.functions import text as T
-from silt.operators import assign, graph
+from silt.operators import assign, graph, shared
 from silt.operators import similarity as sim
 from silt.plans.registry import query
 from silt.sources.tables import table
@@ -131,8 +130,7 @@ def caption_merge(spark, sf_dir):
 
 
 def _places(spark) -> tuple[str, str]:
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='silt-')}"
-    at = f"{root.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    at = f"{shared.root(spark)}/streams/{uuid.uuid4().hex}"
     return f"{at}/state", f"{at}/rows"
 
 
