@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -12,6 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from silt.operators import graph, shared
+
 #: Texts handled at once inside an Arrow batch, and the characters after which a slice is cut early.
 SLICE_ROWS, SLICE_CHARS = 256, 2_000_000
 
@@ -20,21 +21,50 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='silt-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/silt-{spark.sparkContext.applicationId}"
+def stored(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends there, and lost executors lose nothing.
+
+    ``by`` names a column whose values have folders of their own.
+    """
+    spark = df.sparkSession
+    path = f"{shared.root(spark)}/silt-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(by) if by else out).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.silt_path_ = path
+    return back
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
+def discard(df: DataFrame) -> None:
+    """Delete a stored table that nothing reads any more."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.silt_path_)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Keys with over one in HOT of all uses count as hot: there are fewer than HOT of them, so they may be broadcast.
+HOT = 1000
+
+
+def joined_by_weight(rows: DataFrame, keys: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner, left or left_semi) with ``keys``, a stored table of distinct keys whose ``weight`` counts the rows that each meets.
+
+    Rows of hot keys would meet in one task of a shuffled join; they meet a broadcast of fewer than ``HOT`` keys instead.
+    """
+    total = keys.agg(F.sum(weight)).first()[0] or 0
+    hot, cold = keys.filter(F.col(weight) > total / HOT), keys.filter(F.col(weight) <= total / HOT)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(hot), on, "inner" if how == "left" else how).unionByName(rest.join(cold, on, how))
+
+
+def bounded_sample(df: DataFrame, key: str, n: int, total: int) -> DataFrame:
+    """At most ``n`` rows of ``df``, those of the least key hashes; ``total`` is the number of its rows, or more.
+
+    A threshold on the hash leaves little over ``n`` rows before they are sorted, so tasks send no more than these.
+    """
+    h = F.xxhash64(F.lit(17), key)
+    share = min(1.0, (1.1 * n + 4 * n**0.5 + 10) / max(total, 1))
+    return df.filter(F.pmod(h, F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.pmod(h, F.lit(1 << 30)), key).limit(n)
 
 
 def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -108,17 +138,5 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:
-    """(node, root): the least node of each connected component, for every node that has an edge (a, b).
-
-    Rounds of least-neighbour labels with pointer jumping; each round is a written table. Nothing is collected but a count.
-    """
-    both = stored(edges.selectExpr("a AS node", "b AS other").union(edges.selectExpr("b AS node", "a AS other")).filter("node <> other").distinct(), f"{label}-edges")
-    root = stored(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root")), f"{label}-roots")
-    while True:
-        near = both.join(root.selectExpr("node AS other", "root AS theirs"), "other").groupBy("node").agg(F.min("theirs").alias("theirs"))
-        step = root.join(near, "node").select("node", F.col("root").alias("before"), F.least("root", "theirs").alias("root"))
-        up = root.selectExpr("node AS root", "root AS top")
-        jumped = stored(step.join(up, "root").select("node", "before", F.least("root", "top").alias("root")), f"{label}-roots")
-        root = jumped.select("node", "root")
-        if jumped.filter("before <> root").isEmpty():
-            return root
+    """(node, root): the least node of each connected component, for every node that has an edge (a, b); rounds are stored tables."""
+    return graph.components(edges, lambda df: stored(df, label), discard).withColumnRenamed("component", "root")

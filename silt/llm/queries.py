@@ -27,8 +27,8 @@ def sha(text: Column) -> Column:
 @query
 def op2_secret_ownership(spark, sf_dir):
     found = secrets.scan(documents(spark, sf_dir), "doc_id", "text", owner="source", repo="lang")
-    kinds = [F.size(F.filter("base", lambda s, k=k: s["order"] == k)).cast("long").alias(n) for k, n in enumerate(("n_assign", "n_access", "n_hex"))]
-    return found.select("doc_id", *kinds, sha(secrets.listed("base")).alias("base_sha256"), secrets.listed("spans").alias("spans"), "n_live", "n_example")
+    kinds = [F.expr(f"CAST(size(filter(base, s -> s.order = {k})) AS bigint)").alias(n) for k, n in enumerate(("n_assign", "n_access", "n_hex"))]
+    return found.select("doc_id", *kinds, sha(secrets.listed("base")).alias("base_sha256"), secrets.listed("spans").alias("spans"), "n_live", "n_example", "most_owners", "most_repos")
 
 
 @query

@@ -2,8 +2,9 @@
 
 Base findings are matches of three fixed patterns. Besides them, every other long token of mixed characters is a
 candidate. Candidate digests are counted over the corpus by distinct repositories and owners: a value that several
-owners hold is a copied example; a value of one owner that looks random is taken for a live credential. Candidates
-of the latter kind that no base finding covers become spans of kind ``live``. Base findings are always kept.
+owners hold, or very many repositories even of one owner, is a copied example; another value that looks random is taken
+for a live credential. Candidates of the latter kind that no base finding covers become spans of kind ``live``. Base
+findings are always kept.
 
 Null and empty texts have no findings. Null owners and repositories count as one unnamed owner or repository.
 Repeated rows are scanned and returned separately, but do not add owners. Offsets are code points, end exclusive.
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from silt.llm.common import map_texts, stored
+from silt.llm.common import joined_by_weight, map_texts, stored
 
 # The patterns of the base findings and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -55,10 +56,13 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def other_spans(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
-    """Candidates that overlap no base finding."""
-    out = []
+    """Candidates that overlap no base finding; both lists are ascending and walked once."""
+    out, at, covered = [], 0, 0  # covered: the furthest end of the base findings that begin before the token's end
     for m in TOKEN.finditer(text):
-        if random_looking(m[0]) and all(m.end() <= a or m.start() >= b for a, _, b, _ in base):
+        while at < len(base) and base[at][0] < m.end():
+            covered = max(covered, base[at][2])
+            at += 1
+        if covered <= m.start() and random_looking(m[0]):
             out.append((m.start(), 3, m.end(), m[0]))
     return out
 
@@ -86,25 +90,28 @@ def ownership(found: DataFrame, owner: str, repo: str) -> DataFrame:
     return by_owner.groupBy("digest").agg(F.count("*").alias("owners"), F.sum("rs").alias("repos"), F.sum("n").alias("uses"))
 
 
-def scan(df: DataFrame, id_col: str, text_col: str, owner: str, repo: str, example_owners: int = 3, extra: list[str] | None = None) -> DataFrame:
-    """One row per input row: ``id_col``, ``base``, ``spans`` (start, order, stop, value: where the value starts, live, copied), ``n_live``, ``n_example``.
+NO_SPANS = "CAST(array() AS array<struct<start:bigint,order:int,stop:bigint,value:bigint,live:boolean,copied:boolean>>)"
 
-    A value held by ``example_owners`` owners or more is a copied example. ``extra`` names columns to carry.
+
+def scan(df: DataFrame, id_col: str, text_col: str, owner: str, repo: str, example_owners: int = 3, example_repos: int = 8, extra: list[str] | None = None) -> DataFrame:
+    """One row per input row: ``id_col``, ``base``, ``spans`` (start, order, stop, value: where the value starts, live, copied), ``n_live``, ``n_example``, ``most_owners``, ``most_repos``.
+
+    A value held by ``example_owners`` owners or more, or by ``example_repos`` repositories or more, is a copied example. The last
+    two columns are the most owners and repositories of any value of the row, 0 without one. ``extra`` names columns to carry.
     """
     carried = extra or []
     own = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text_"), F.col(owner).cast("string").alias("owner_"), F.concat_ws("/", F.col(owner).cast("string"), F.col(repo).cast("string")).alias("repo_"), *carried)
     found = stored(candidates(own, ["id", "owner_", "repo_", *carried], "text_").withColumn("rid", F.monotonically_increasing_id()), "secrets")
-    counts = ownership(found, "owner_", "repo_")
+    # a value that occurs once has one owner and one repository, so only the counts of the others are joined
+    counts = stored(ownership(found, "owner_", "repo_").filter("uses > 1"), "owners")
     uses = found.select("rid", F.explode(F.concat("base", "other")).alias("c")).select("rid", "c.*")
-    judged = uses.join(counts, "digest").withColumn("copied", F.col("owners") >= example_owners).withColumn("live", F.expr("random AND NOT copied"))
-    spans = judged.filter("order < 3 OR live").groupBy("rid").agg(
-        F.array_sort(F.collect_list(F.struct("start", "order", "stop", "value", "live", "copied"))).alias("spans"),
-        F.count_if("live").alias("n_live"),
-        F.count_if("copied").alias("n_example"),
-    )
-    none = F.expr("CAST(array() AS array<struct<start:bigint,order:int,stop:bigint,value:bigint,live:boolean,copied:boolean>>)")
+    held = joined_by_weight(uses, counts, ["digest"], "uses", "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("owners", "repos")})
+    judged = held.withColumn("copied", (F.col("owners") >= example_owners) | (F.col("repos") >= example_repos)).withColumn("live", F.expr("random AND NOT copied"))
+    shown = F.when(F.expr("order < 3 OR live"), F.struct("start", "order", "stop", "value", "live", "copied"))
+    tallies = {"n_live": F.count_if("live"), "n_example": F.count_if("copied"), "most_owners": F.max("owners"), "most_repos": F.max("repos")}
+    spans = judged.groupBy("rid").agg(F.array_sort(F.collect_list(shown)).alias("spans"), *[v.alias(k) for k, v in tallies.items()])
     joined = found.join(spans, "rid", "left")
-    return joined.select(F.col("id").alias(id_col), *carried, "base", F.coalesce("spans", none).alias("spans"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"))
+    return joined.select(F.col("id").alias(id_col), *carried, "base", F.coalesce("spans", F.expr(NO_SPANS)).alias("spans"), *[F.coalesce(k, F.lit(0)).alias(k) for k in tallies])
 
 
 def listed(spans: str) -> Column:
