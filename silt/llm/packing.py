@@ -22,6 +22,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import tiktoken
+import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,6 +33,19 @@ BUCKETS = 256
 PIECE = pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("crc", pa.int64()), ("ids", pa.binary())])
 
 
+@lru_cache(maxsize=2)
+def library(path: str) -> tokenizers.Tokenizer:
+    return tokenizers.Tokenizer.from_file(path)
+
+
+def token_ids(text: str, path: str, pattern: str) -> list[int]:
+    """Ids of a text of any length. Where a run is so long that the fast encoder's pattern gives up, the tokenizers library gives them."""
+    try:
+        return encoder(path, pattern).encode(text, allowed_special="all")
+    except ValueError:
+        return library(path).encode(text, add_special_tokens=False).ids
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> tiktoken.Encoding:
     """The vocabulary of a byte-level tokenizer file; gives the ids that the tokenizers library gives, in a fifth of its time.
@@ -64,8 +78,7 @@ def pieces(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str, e
     """(``id_col``, piece, start, length, crc, ids): ids are little-endian unsigned 32-bit, null unless asked for."""
 
     def fn(texts: list[str]) -> dict[str, list]:
-        enc = encoder(path, pattern)
-        return {"p": [cut(np.array([*enc.encode(t, allowed_special="all"), end_id], "<u4"), capacity, with_ids) for t in texts]}
+        return {"p": [cut(np.array([*token_ids(t, path, pattern), end_id], "<u4"), capacity, with_ids) for t in texts]}
 
     kind = df.schema[id_col].dataType.simpleString()
     out = map_texts(df, [id_col], text_col, fn, {"p": pa.list_(PIECE)}, f"`{id_col}` {kind}, p array<struct<piece:int,start:bigint,length:int,crc:bigint,ids:binary>>")
