@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from silt.llm.common import map_texts, stored
+from silt.llm.common import bounded_sample, map_texts, stored
 
 # Word and symbol classes, window and limits of the base.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -164,8 +164,8 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.95, le
 def fit(measured: DataFrame, labels: DataFrame, id_col: str, label: str = "quality", max_rows: int = 50_000, **options) -> list[Rule]:
     """Rules from labelled rows (label 0: bad). Rows that the base rejects teach nothing; of the others at most ``max_rows`` are used, those of the least id hashes."""
     one = labels.filter(F.col(label).isNotNull()).groupBy(F.col(id_col).alias("key")).agg(F.min(label).alias("label"))
-    joined = measured.withColumnRenamed(id_col, "key").join(one, "key").withColumn("h", F.xxhash64("key"))
-    rows = joined.filter(~base_failed()).orderBy("h", "key").limit(max_rows).select("label", *[F.expr(sql).alias(m) for m, sql in MEASURES.items()]).toPandas()
+    joined = measured.withColumnRenamed(id_col, "key").join(one, "key").filter(~base_failed())
+    rows = bounded_sample(joined, "key", max_rows, joined.count()).select("label", *[F.expr(sql).alias(m) for m, sql in MEASURES.items()]).toPandas()
     x = {m: rows[m].to_numpy(np.float64) for m in MEASURES}
     bad = rows["label"].to_numpy() == 0
     return learn(x, bad, **options) if len(bad) else []

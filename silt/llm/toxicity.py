@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silt.llm.common import map_texts
+from silt.llm.common import bounded_sample, map_texts
 
 WORD = re.compile(r"\w+")
 BITS = 20
@@ -170,7 +170,7 @@ def train(own: list[np.ndarray], gone: list[np.ndarray], added: list[np.ndarray]
 def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: str, learn_from, max_rows: int = 8_000, **options) -> Model:
     """A model from at most ``max_rows`` labelled rows for which ``learn_from`` holds, those of the least id hashes."""
     one = labels.filter(F.col(label).isNotNull()).groupBy(F.col(id_col).alias("key")).agg(F.max(label).cast("int").alias("label")).filter(learn_from(F.col("key")))
-    sample = one.orderBy(F.xxhash64("key"), "key").limit(max_rows)  # bounded, so it may be broadcast
+    sample = bounded_sample(one, "key", max_rows, one.count())  # at most max_rows ids, so it may be broadcast
     rows = df.select(F.col(id_col).alias("key"), F.col(text_col).alias("text_")).join(F.broadcast(sample), "key")
 
     kept: dict[str, Features] = {}
