@@ -1,124 +1,139 @@
 """Language-model scoring by masked pseudo-likelihood.
 
-A small window network in numpy predicts a word from the words on both of its sides: each neighbour's vector is scaled
-by a vector of its position, the sum goes through tanh, and two softmaxes give the id's class and the id within its
-class. The most frequent words have ids of their own; the others share hashed ids, and the probability of such a word
-is p(id | both sides) * p(word | id), where p(word | id) is the word's share of the id's count in the corpus. So
-probabilities are exact and normalised over all words of the corpus. A document's score is the sum over its words of
-the log-probability of each word given its neighbours.
-
-All of it follows the whole corpus: the words of all texts are counted into a table of the shared folder, the number
-of ids grows with the square root of the corpus count, and every partition trains a copy of the network on every word
-of its texts; the copies are averaged, weighted by their words, in a sum of three levels. Counts of shared words are
-joined to the texts' words; the most frequent words, which would make that join uneven, have ids of their own.
-
-Null and empty texts have no words: score 0, and a mean of 0. Edges of texts are padded with a blank id. Repeated rows
-are scored alike: sums of joined logarithms are of whole numbers, so their order does not matter. An empty table
-trains nothing and gives no rows.
+A small window network in numpy predicts every word from the words on both of its sides: each neighbour's vector is
+scaled by a vector of its position, the sum goes through tanh, and the word is reached by binary decisions on a path of a
+Huffman tree, each a logistic unit. A document's score is the sum over its words of the log-probability of each word
+given its neighbours.
+
+All of it follows the whole corpus. The words of all texts are counted into a table of the shared folder. The most
+frequent words are leaves of the tree; their number grows with the square root of the corpus count. All other words
+are reached by one more leaf and then spelt byte by byte by a table of byte pairs counted over all such words, so each
+has a probability of its own; that of the words which have leaves is taken out. Probabilities so sum to 1 over all
+strings. As neighbours, words without a leaf have one of ``SHARED`` vectors by hash.
+
+Training is by synchronous rounds: every document belongs to one round by the hash of its id, every word of a round's
+documents is a target, tasks sum gradients over their words, the sums are added in slices, and the driver takes one step
+a round. So the model depends on the corpus and not on its partitions (but for the order of floating-point sums), and every word of the
+corpus trains it. The tree's biases begin at the corpus's frequencies: the network begins as the unigram model.
+
+Null and empty texts have no words: score 0, and a mean of 0. Edges of texts are padded with a blank. Repeated rows are
+scored alike. An empty table trains nothing and gives no rows. Very long texts are encoded whole and scored in windows.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from typing import NamedTuple
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silt.llm.common import WordHash, map_texts, slices, stored
+from silt.llm.common import discard, map_texts, stored
 
-LEAST = 32  # classes at least; there are as many ids in a class as classes
+#: Leaves are at most ``MOST`` words, so that what is broadcast (words, paths, network) stays under 32 MB.
+LEAST, MOST, SHARED = 1024, 1 << 16, 1024
 SIDE, DIM = 2, 16
-BATCH, STEP, RATE = 8192, 2048, 0.5
 OFFSETS = [k for k in range(-SIDE, SIDE + 1) if k]
-FIXED = 2**30  # logarithms are summed in units of 1 / FIXED
+ROUNDS, RATE, DAMP = 12, 0.3, 32.0
+BATCH = 4096
+SLICE = 1 << 18  # numbers in a slice of the gradient
+BINS = 32  # of counts, to a doubling
 
 
-def classes(words: int) -> int:
-    """Classes for a corpus of so many words: half as many ids as the square root of the count."""
-    return max(LEAST, 8 * math.ceil(math.sqrt(math.sqrt(words) / 2) / 8))
+def n_leaves(words: int) -> int:
+    """Words with leaves for a corpus of so many words."""
+    return min(MOST, max(LEAST, 4 * math.isqrt(words)))
 
 
-def n_own(k: int) -> int:
-    """Ids of single words among ``k * k``; the rest are shared."""
-    return k * k - k * k // 8
+@dataclass(frozen=True)
+class Vocabulary:
+    """Words with leaves by descending count, all counts (the last one is of all other words), and ln p of byte pairs inside those."""
 
-
-class Vocabulary(NamedTuple):
-    """Which words have ids of their own, and how often the words of each shared id occur."""
-
-    k: int  # classes
-    own: np.ndarray  # hashes in order
-    number: np.ndarray  # their ids
-    ln_total: np.ndarray  # of each id: ln of the count of all its words; 0 where a word has the id for itself
+    words: list[str]
+    counts: np.ndarray
+    pairs: np.ndarray  # 256 x 256; a blank stands for both ends of a word
 
     @property
     def blank(self) -> int:
-        return self.k * self.k
-
-    def ids(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of hashes, and whether they are shared."""
-        first = n_own(self.k)
-        shared = first + ((h >> np.uint64(1)) % np.uint64(self.blank - first)).astype(np.int32)
-        if not len(self.own):
-            return spread(shared, self.k), np.ones(len(h), bool)
-        at = np.minimum(np.searchsorted(self.own, h), len(self.own) - 1)
-        other = self.own[at] != h
-        return spread(np.where(other, shared, self.number[at]), self.k), other
-
-    def of(self, texts: list[str], known: WordHash) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all words of the texts, blanks between texts; the position of each text's end; where the shared words stand, and their hashes."""
-        words: list[str] = []
-        ends = np.empty(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            words += t.split()
-            ends[i] = len(words)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        ids, other = self.ids(h)
-        lengths = np.diff(ends, prepend=0)
-        at = np.arange(len(words)) + SIDE * (1 + np.repeat(np.arange(len(texts)), lengths))
-        out = np.full(len(words) + SIDE * (1 + len(texts)), self.blank, np.int32)
-        out[at] = ids
-        return out, ends + SIDE * (2 + np.arange(len(texts))), at[other], h[other]
-
-
-def spread(i: np.ndarray, k: int) -> np.ndarray:
-    """Number -> class * k + place, dealing neighbours in frequency over classes in turn, so that classes weigh alike."""
-    return ((i % k) * k + i // k).astype(np.int32)
-
-
-def shapes(k: int) -> dict[str, tuple[int, ...]]:
-    return {"emb": (k * k + 1, DIM), "place": (len(OFFSETS), DIM), "bias": (DIM,), "cls": (DIM, k), "cls_b": (k,), "out": (k, DIM, k), "out_b": (k, k)}
-
-
-def initial(k: int, seed: int = 11) -> dict[str, np.ndarray]:
+        return len(self.words) + SHARED
+
+    @cached_property
+    def ids(self) -> dict[str, int]:
+        return {w: i for i, w in enumerate(self.words)}
+
+    @cached_property
+    def tree(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each leaf: where its path begins; of each step: node and sign; of each node: the bias that gives the counts."""
+        n = len(self.counts)
+        weight = [*np.maximum(self.counts, 1).tolist(), *[0] * (n - 1)]
+        heap = [(w, i) for i, w in enumerate(weight[:n])]
+        heapq.heapify(heap)
+        up, sign = [0] * (2 * n - 1), [0.0] * (2 * n - 1)
+        bias = np.zeros(max(n - 1, 1), np.float32)
+        for node in range(n, 2 * n - 1):
+            (wa, a), (wb, b) = heapq.heappop(heap), heapq.heappop(heap)
+            up[a] = up[b] = node
+            sign[a], sign[b] = 1.0, -1.0
+            bias[node - n] = math.log(wa / wb)
+            weight[node] = wa + wb
+            heapq.heappush(heap, (wa + wb, node))
+        begin, nodes, signs = [0], [], []
+        for leaf in range(n):
+            at = leaf
+            while at != 2 * n - 2:
+                nodes.append(up[at] - n)
+                signs.append(sign[at])
+                at = up[at]
+            begin.append(len(nodes))
+        return np.array(begin, np.int64), np.array(nodes, np.int32), np.array(signs, np.float32), bias
+
+    @cached_property
+    def ln_spelt(self) -> float:
+        """ln of the share of spelt strings that have no leaf."""
+        return math.log1p(-min(math.fsum(math.exp(self.spelt([w])) for w in self.words), 1 - 1e-9))
+
+    def spelt(self, words: list[str]) -> float:
+        """Sum of ln p of the spellings of some words."""
+        if not words:
+            return 0.0
+        b = np.frombuffer(f" {' '.join(words)} ".encode("utf-8", "surrogatepass"), np.uint8)
+        return float(self.pairs[b[:-1], b[1:]].sum())
+
+    def encode(self, text: str) -> tuple[np.ndarray, int, float]:
+        """Ids of the words and ``SIDE`` blanks; the number of words; the sum of ln p(word | no leaf) of those without a leaf."""
+        get, first = self.ids.get, len(self.words)
+        other: list[str] = []
+        words = text.split()
+        out = np.full(len(words) + SIDE, self.blank, np.int32)
+        for i, w in enumerate(words):
+            k = get(w)
+            if k is None:
+                k = first + xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass")) % SHARED
+                other.append(w)
+            out[i] = k
+        return out, len(words), self.spelt(other) - len(other) * self.ln_spelt
+
+
+Net = dict[str, np.ndarray]
+
+
+def initial(voc: Vocabulary, seed: int = 11) -> Net:
     rng = np.random.default_rng(seed)
-    net = {n: (rng.standard_normal(s) * 0.1).astype(np.float32) for n, s in shapes(k).items()}
-    net["place"] += 1.0
-    for n in ("bias", "cls_b", "out_b"):
-        net[n][...] = 0
-    net["emb"] *= 5
+    f = lambda *s: rng.standard_normal(s).astype(np.float32)
+    bias = voc.tree[3]
+    net = {"emb": f(voc.blank + 1, DIM) * 0.5, "place": 1 + f(len(OFFSETS), DIM) * 0.3, "bias": np.zeros(DIM, np.float32), "out": np.zeros((len(bias), DIM), np.float32), "out_b": bias.copy()}
+    net["emb"][voc.blank] = 0
     return net
 
 
-def flat(net: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([v.ravel() for v in net.values()])
-
-
-def unflat(v: np.ndarray, k: int) -> dict[str, np.ndarray]:
-    out, at = {}, 0
-    for name, s in shapes(k).items():
-        n = int(np.prod(s))
-        out[name] = v[at : at + n].reshape(s).astype(np.float32)
-        at += n
-    return out
-
-
-def hidden(net: dict[str, np.ndarray], ids: np.ndarray, s: int, e: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hidden(net: Net, ids: np.ndarray, s: int, e: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The words at s to e: which of these are no blanks, their hidden values, and the vectors from s - SIDE to e + SIDE."""
     near = net["emb"][ids[s - SIDE : e + SIDE]]
     h = np.broadcast_to(net["bias"], (e - s, DIM)).copy()
@@ -128,109 +143,108 @@ def hidden(net: dict[str, np.ndarray], ids: np.ndarray, s: int, e: int) -> tuple
     return kept, np.tanh(h[kept]), near
 
 
-def _exp(z: np.ndarray) -> np.ndarray:
-    """The exponentials of the last axis over their greatest one, in place; their sums."""
-    z -= z.max(axis=1, keepdims=True)
-    return np.exp(z, out=z).sum(axis=1)
+def steps(voc: Vocabulary, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All steps of the paths to these ids: nodes, signs, and of each id how many and where they begin."""
+    begin, nodes, signs, _ = voc.tree
+    leaf = np.minimum(ids, len(voc.words))
+    n = (begin[1:] - begin[:-1])[leaf]
+    first = np.cumsum(n) - n
+    at = np.repeat(begin[leaf] - first, n) + np.arange(n.sum())
+    return nodes[at], signs[at], n, first
 
 
-def in_class(net: dict[str, np.ndarray], h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order of positions by class, the bounds of classes in it, and the scores of the ids of each position's class in that order."""
-    k = len(net["out"])
-    order = np.argsort(c.astype(np.uint16), kind="stable")
-    first = np.searchsorted(c[order], np.arange(k + 1))
-    z, hs = np.empty((len(c), k), np.float32), h[order]
-    for i in range(k):
-        a, b = first[i], first[i + 1]
-        if a < b:
-            np.matmul(hs[a:b], net["out"][i], out=z[a:b])
-    z += net["out_b"][c[order]]
-    return order, first, z
+def windows(ids: np.ndarray) -> Iterator[tuple[int, int]]:
+    return ((s, min(s + BATCH, len(ids) - SIDE)) for s in range(SIDE, len(ids) - SIDE, BATCH))
 
 
-def log_probs(net: dict[str, np.ndarray], ids: np.ndarray) -> np.ndarray:
-    """ln p(id | both sides) at each position, 0 at blanks; ``ids`` begin and end with ``SIDE`` blanks."""
+def log_probs(voc: Vocabulary, net: Net, ids: np.ndarray) -> np.ndarray:
+    """ln p(leaf | both sides) at each position, 0 at blanks; ``ids`` begin and end with ``SIDE`` blanks."""
     out = np.zeros(len(ids))
-    for s in range(SIDE, len(ids) - SIDE, BATCH):
-        e = min(s + BATCH, len(ids) - SIDE)
+    if len(voc.counts) < 2:
+        return out
+    for s, e in windows(ids):
         kept, h, _ = hidden(net, ids, s, e)
-        if not len(kept):
-            continue
-        rows = np.arange(len(kept))
-        c, w = np.divmod(ids[s:e][kept], len(net["out"]))
-        z = h @ net["cls"] + net["cls_b"]
-        top = z.max(axis=1)
-        lp = z[rows, c] - top - np.log(_exp(z))
-        order, _, z = in_class(net, h, c)
-        mine = z[rows, w[order]]
-        top = z.max(axis=1)
-        lp[order] += mine - top - np.log(_exp(z))
-        out[s + kept] = lp
+        if len(kept):
+            node, sign, n, first = steps(voc, ids[s:e][kept])
+            z = np.einsum("ij,ij->i", net["out"][node], np.repeat(h, n, axis=0)) + net["out_b"][node]
+            out[s + kept] = np.add.reduceat(-np.logaddexp(np.float32(0), -sign * z), first, dtype=np.float64)
     return out
 
 
-def step(net: dict[str, np.ndarray], ids: np.ndarray, s: int, e: int, rate: float) -> int:
-    """One step of gradient descent on all words at s to e; gives their number."""
-    kept, h, near = hidden(net, ids, s, e)
-    n = len(kept)
-    if not n:
-        return 0
-    rows, rate = np.arange(n), np.float32(rate)
-    c, w = np.divmod(ids[s:e][kept], len(net["out"]))
-    g = h @ net["cls"] + net["cls_b"]
-    g /= _exp(g)[:, None]
-    g[rows, c] -= 1
-    dh = g @ net["cls"].T
-    order, first, q = in_class(net, h, c)
-    q /= _exp(q)[:, None]
-    q[rows, w[order]] -= 1
-    net["cls"] -= rate / n * (h.T @ g)
-    net["cls_b"] -= rate / n * g.sum(axis=0)
-    hs, dhs = h[order], np.empty_like(h)
-    for k in range(len(net["out"])):
-        a, b = first[k], first[k + 1]
-        if a < b:
-            np.matmul(q[a:b], net["out"][k].T, out=dhs[a:b])
-            m = rate / np.float32(max(b - a, 32))
-            net["out"][k] -= m * (hs[a:b].T @ q[a:b])
-            net["out_b"][k] -= m * q[a:b].sum(axis=0)
-    dh[order] += dhs
-    dh *= 1 - h * h
-    wide = np.zeros((e - s, DIM), np.float32)
-    wide[kept] = dh
-    used = np.zeros(e - s, np.float32)
-    used[kept] = 1
-    grad, seen = np.zeros_like(near), np.zeros(len(near), np.float32)
-    for j, k in enumerate(OFFSETS):
-        part = slice(SIDE + k, SIDE + k + e - s)
-        grad[part] += wide * net["place"][j]
-        seen[part] += used
-        net["place"][j] -= rate / n * np.einsum("ij,ij->j", wide, near[part])
-    at = ids[s - SIDE : e + SIDE]
-    by = np.argsort(at, kind="stable")
-    at = at[by]
-    start = np.flatnonzero(np.diff(at, prepend=-1))
-    total = np.maximum(np.add.reduceat(seen[by], start), 16.0)
-    net["emb"][at[start]] -= rate * 4 * np.add.reduceat(grad[by], start, axis=0) / total[:, None]
-    net["bias"] -= rate / n * dh.sum(axis=0)
-    return n
+def _by(key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, the sums of their rows, and how many there are of each."""
+    order = np.argsort(key)
+    key = key[order]
+    start = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[start], np.add.reduceat(rows[order], start, axis=0), np.diff(start, append=len(key))
 
 
-def learn(net: dict[str, np.ndarray], ids: np.ndarray) -> int:
-    """Steps on every word of ``ids`` once; gives their number."""
-    return sum(step(net, ids, s, min(s + STEP, len(ids) - SIDE), RATE) for s in range(SIDE, len(ids) - SIDE, STEP))
+def zeros(voc: Vocabulary) -> Net:
+    """An empty gradient: that of the network, and how often each node and each vector took part."""
+    n, m = voc.blank + 1, len(voc.tree[3])
+    shapes = {"emb": (n, DIM), "place": (len(OFFSETS), DIM), "bias": (DIM,), "out": (m, DIM), "out_b": (m,), "emb_n": (n,), "out_n": (m,), "words": (1,)}
+    return {k: np.zeros(s, np.float32) for k, s in shapes.items()}
+
+
+def add_gradient(voc: Vocabulary, net: Net, ids: np.ndarray, into: Net) -> None:
+    """Add the gradient of the summed log-probabilities of all words of ``ids``."""
+    if len(voc.counts) < 2:
+        return
+    for s, e in windows(ids):
+        kept, h, near = hidden(net, ids, s, e)
+        if not len(kept):
+            continue
+        node, sign, n, first = steps(voc, ids[s:e][kept])
+        w, hs = net["out"][node], np.repeat(h, n, axis=0)
+        z = np.einsum("ij,ij->i", w, hs) + net["out_b"][node]
+        g = sign / (1 + np.exp(np.clip(sign * z, -60, 60)))
+        hs *= g[:, None]
+        at, total, times = _by(node, np.column_stack([hs, g]))
+        into["out"][at] += total[:, :DIM]
+        into["out_b"][at] += total[:, DIM]
+        into["out_n"][at] += times
+        w *= g[:, None]
+        dh = np.add.reduceat(w, first, axis=0) * (1 - h * h)
+        wide = np.zeros((e - s, DIM), np.float32)
+        wide[kept] = dh
+        grad = np.zeros((len(near), DIM + 1), np.float32)
+        for j, k in enumerate(OFFSETS):
+            part = slice(SIDE + k, SIDE + k + e - s)
+            grad[part, :DIM] += wide * net["place"][j]
+            grad[part, DIM] += 1
+            into["place"][j] += np.einsum("ij,ij->j", wide, near[part])
+        at, total, _ = _by(ids[s - SIDE : e + SIDE], grad)
+        into["emb"][at] += total[:, :DIM]
+        into["emb_n"][at] += total[:, DIM]
+        into["bias"] += dh.sum(axis=0)
+        into["words"] += len(kept)
+
+
+def ascend(net: Net, g: Net, moved: dict[str, tuple[np.ndarray, np.ndarray]], k: int, rounds: int, rate: float = RATE) -> None:
+    """Step k: Adam on the mean gradient of each row, where rows that few words met are damped. The blank stays 0."""
+    words = float(g["words"][0])
+    if not words:
+        return
+    mean = {
+        "out": g["out"] / (g["out_n"] + DAMP)[:, None], "out_b": g["out_b"] / (g["out_n"] + DAMP),
+        "emb": 4 * g["emb"] / (g["emb_n"] + DAMP)[:, None], "place": g["place"] / words, "bias": g["bias"] / words,
+    }
+    mean["emb"][-1] = 0
+    rate *= 1 - 0.7 * k / rounds
+    for name, v in mean.items():
+        m, s = moved.get(name, (0.0, 0.0))
+        m, s = moved[name] = 0.5 * m + 0.5 * v, 0.9 * s + 0.1 * v * v
+        net[name] = (net[name] + rate * (m / (1 - 0.5 ** (k + 1))) / (np.sqrt(s / (1 - 0.9 ** (k + 1))) + 0.01)).astype(np.float32)
 
 
 def word_counts(df: DataFrame, text_col: str) -> DataFrame:
-    """(word, n): the hash of every word of the corpus and its count, as a table in the shared folder."""
+    """(word, n): every word of the corpus and its count, as a table in the shared folder."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[str] = Counter()
-        known = WordHash()
 
         def flush() -> pa.RecordBatch:
-            words = list(total)
-            out = pa.RecordBatch.from_arrays([pa.array(np.array([known[w] for w in words], np.uint64).view(np.int64)), pa.array([total[w] for w in words], pa.int64())], names=["word", "n"])
+            out = pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
             total.clear()
             return out
 
@@ -241,79 +255,133 @@ def word_counts(df: DataFrame, text_col: str) -> DataFrame:
                     yield flush()
         yield flush()
 
-    return stored(df.select(text_col).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    return stored(df.select(text_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+
+
+def vocabulary(counts: DataFrame) -> Vocabulary:
+    """The words with leaves, and the byte pairs of all others. The driver gets those words, a histogram of counts, and at most 65,536 sums."""
+    bins = F.floor(F.log2("n") * BINS)
+    seen = sorted(((r.b, r.k, r.n) for r in counts.groupBy(bins.alias("b")).agg(F.count("*").alias("k"), F.sum("n").alias("n")).collect()), reverse=True)
+    all_words = sum(n for _, _, n in seen)
+    left = n_leaves(all_words)
+    least, share = -1, 1.0  # bins above the least one are taken whole, of that one a share by hash
+    for b, k, _ in seen:
+        if k > left:
+            least, share = b, left / k
+            break
+        left -= k
+    owned = F.col("b") > least if least >= 0 else F.lit(True)
+    owned = owned | ((F.col("b") == least) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int(share * (1 << 20))))
+    told = counts.withColumn("b", bins)
+    own = sorted((-r.n, r.word) for r in told.filter(owned).select("word", "n").collect())
+
+    def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            raw = [f"{w} ".encode("utf-8", "surrogatepass") for w in batch.column(0).to_pylist()]
+            if raw:
+                b = np.frombuffer(b" " + b"".join(raw), np.uint8).astype(np.int64)
+                np.add.at(total, b[:-1] * 256 + b[1:], np.repeat(batch.column(1).to_numpy(), [len(r) for r in raw]))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["pair", "n"])
+
+    table = np.ones((256, 256))  # every pair once more than it is seen, so no word is impossible
+    table[32, 32] = 0  # words are not empty
+    for r in told.filter(~owned).select("word", "n").mapInArrow(pairs, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        table[r.pair // 256, r.pair % 256] += r.n
+    with np.errstate(divide="ignore"):
+        ln = np.log(table / table.sum(axis=1, keepdims=True))
+    own_counts = [-n for n, _ in own]
+    return Vocabulary([w for _, w in own], np.array([*own_counts, all_words - sum(own_counts)], np.int64), ln)
+
+
+def encoded(df: DataFrame, id_col: str, text_col: str, voc: Vocabulary) -> DataFrame:
+    """(``id_col``, ids, n_words, spelt, round_) of every row, stored; each round's rows are in a folder of their own."""
+    shared = df.sparkSession.sparkContext.broadcast(voc)
 
+    def fn(texts: list[str]) -> dict[str, list]:
+        ids, n, spelt = zip(*map(shared.value.encode, texts), strict=True)
+        return {"ids_": [i.tobytes() for i in ids], "n_words": list(n), "spelt_": list(spelt)}
 
-def vocabulary(counts: DataFrame) -> tuple[Vocabulary, DataFrame]:
-    """The vocabulary, and the counts of the words that share ids. The driver gets a row for each id."""
-    k = classes(counts.agg(F.sum("n")).first()[0] or 0)
-    first, every = n_own(k), k * k
-    top = counts.orderBy(F.desc("n"), "word").limit(first).collect()
-    rest = counts.filter((F.col("n") < top[-1].n) | ((F.col("n") == top[-1].n) & (F.col("word") > top[-1].word))) if top else counts
-    own = np.array([r.word for r in top], np.int64).view(np.uint64)
-    order = np.argsort(own)
-    ln_total = np.zeros(every + 1)
-    for r in rest.groupBy((F.shiftrightunsigned("word", 1) % (every - first)).alias("i")).agg(F.sum("n").alias("n")).collect():
-        ln_total[spread(np.array(first + r.i), k)] = math.log(r.n)
-    return Vocabulary(k, own[order], order.astype(np.int32), ln_total), rest
+    kind = df.schema[id_col].dataType.simpleString()
+    out = map_texts(df, [id_col], text_col, fn, {"ids_": pa.binary(), "n_words": pa.int64(), "spelt_": pa.float64()}, f"`{id_col}` {kind}, ids_ binary, n_words long, spelt_ double")
+    return stored(out.withColumn("round_", F.pmod(F.xxhash64(F.lit(29), id_col), F.lit(ROUNDS)).cast("int")), "encoded", by="round_")
+
+
+def _joined(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Slices of rows with about ``BATCH`` ids or more: (first row, next row, all ids with blanks before them, where each row's ids end)."""
+    at, ids, n = 0, [], 0
+    for i, raw in enumerate(column):
+        ids.append(np.frombuffer(raw.as_buffer(), np.int32))
+        n += len(ids[-1])
+        if n >= 8 * BATCH or i + 1 == len(column):
+            ends = SIDE + np.cumsum([len(x) for x in ids])
+            yield at, i + 1, np.concatenate([ids[-1][-SIDE:], *ids]), ends
+            at, ids, n = i + 1, [], 0
+
+
+def train(rows: DataFrame, voc: Vocabulary, rounds: int = ROUNDS, rate: float = RATE) -> Net:
+    """The network after one step for each round's rows. Slices of the summed gradient, of the size of the network, reach the driver."""
+    spark, net, moved, empty = rows.sparkSession, initial(voc), {}, zeros(voc)
+    n_slices = -(-sum(v.size for v in empty.values()) // SLICE)
+    words = spark.sparkContext.broadcast(voc)
+
+    def sums(model) -> tuple:
+        def local(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            voc, net = words.value, model.value
+            into = zeros(voc)
+            for batch in batches:
+                for _, _, ids, _ in _joined(batch.column(0)):
+                    add_gradient(voc, net, ids, into)
+            if into["words"][0]:
+                flat = np.concatenate([v.ravel() for v in into.values()])
+                yield pa.RecordBatch.from_arrays([pa.array(range(n_slices), pa.int32()), pa.array([flat[i * SLICE : (i + 1) * SLICE].tobytes() for i in range(n_slices)], pa.binary())], names=["slice", "sums"])
+
+        def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for k, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    total[k] = total.get(k, 0.0) + np.frombuffer(raw.as_buffer(), np.float32).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.astype(np.float32).tobytes() for v in total.values()], pa.binary())], names=["slice", "sums"])
+
+        return local, add
+
+    for k in range(rounds):
+        model = spark.sparkContext.broadcast(net)
+        local, add = sums(model)
+        each = rows.filter(F.col("round_") == k).select("ids_").mapInArrow(local, "slice int, sums binary")
+        got = {r.slice: r.sums for r in each.repartition(n_slices, "slice").mapInArrow(add, "slice int, sums binary").collect()}
+        model.destroy()
+        if got:
+            flat, at, g = np.frombuffer(b"".join(bytes(got[i]) for i in range(n_slices)), np.float32), 0, {}
+            for name, v in empty.items():
+                g[name] = flat[at : at + v.size].reshape(v.shape)
+                at += v.size
+            ascend(net, g, moved, k, rounds, rate)
+    return net
 
 
-def train(df: DataFrame, text_col: str, voc: Vocabulary, copies: int = 32) -> dict[str, np.ndarray]:
-    """The average of the copies that all partitions train on all their words. One sum, of the size of the network, reaches the driver."""
-    k = voc.k
+def score(rows: DataFrame, id_col: str, voc: Vocabulary, net: Net) -> DataFrame:
+    """(``id_col``, n_words, log_prob, mean_log_prob) of encoded rows."""
+    model = rows.sparkSession.sparkContext.broadcast((voc, net))
 
-    def local(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, words, known = initial(k), 0, WordHash()
-        for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            for a, b in slices(texts):
-                words += learn(net, voc.of(texts[a:b], known)[0])
-        if words:
-            yield pa.RecordBatch.from_arrays([pa.array([(flat(net).astype(np.float64) * words).tobytes()], pa.binary()), pa.array([words], pa.int64())], names=["net", "words"])
-
-    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, words = 0.0, 0
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voc, net = model.value
         for batch in batches:
-            for raw, w in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                total = total + np.frombuffer(raw.as_buffer())
-                words += w
-        if words:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([words], pa.int64())], names=["net", "words"])
+            for a, b, ids, ends in _joined(batch.column(1)):
+                part = batch.slice(a, b - a)
+                total = np.cumsum(log_probs(voc, net, ids))[ends - 1]
+                lp = np.diff(total, prepend=0.0) + part.column(3).to_numpy()
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(lp), pa.array(lp / np.maximum(part.column(2).to_numpy(), 1))], names=[id_col, "n_words", "log_prob", "mean_log_prob"])
 
-    sums = df.select(text_col).mapInArrow(local, "net binary, words long")
-    for n in (copies, 1):
-        sums = sums.repartition(n).mapInArrow(add, "net binary, words long")
-    total = sums.first()
-    return unflat(np.frombuffer(total[0]) / total[1], k) if total else initial(k)
-
-
-def score(df: DataFrame, id_col: str, text_col: str, voc: Vocabulary, rest: DataFrame, net: dict[str, np.ndarray]) -> DataFrame:
-    """(``id_col``, n_words, log_prob, mean_log_prob) for every row; ``rest`` has the counts of words that share ids."""
-    kept: dict[str, WordHash] = {}
-
-    def fn(texts: list[str]) -> dict[str, list]:
-        known = kept.get("hash") or kept.setdefault("hash", WordHash())
-        ids, ends, at, h = voc.of(texts, known)
-        lp = np.concatenate([[0], log_probs(net, ids)])
-        lp[at + 1] -= voc.ln_total[ids[at]]
-        total, n = np.cumsum(lp), np.cumsum(np.concatenate([[0], ids != voc.blank]))
-        starts = np.concatenate([[SIDE], ends[:-1]]).astype(int)
-        bounds = np.searchsorted(at, np.concatenate([[0], ends])).astype(np.int32)
-        shared = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(h.view(np.int64)))
-        return {"n_words": (n[ends] - n[starts]).tolist(), "by_id": (total[ends] - total[starts]).tolist(), "shared": shared}
-
-    kind = df.schema[id_col].dataType.simpleString()
-    fields = {"n_words": pa.int64(), "by_id": pa.float64(), "shared": pa.list_(pa.int64())}
-    own = map_texts(df, [id_col], text_col, fn, fields, f"`{id_col}` {kind}, n_words long, by_id double, shared array<long>")
-    own = stored(own.withColumn("rid", F.monotonically_increasing_id()), "scores")
-    ln = F.round(F.ln("n") * FIXED).cast("long")
-    joined = own.select("rid", F.explode("shared").alias("word")).join(rest.select("word", ln.alias("ln")), "word").groupBy("rid").agg(F.sum("ln").alias("ln"))
-    log_prob = F.col("by_id") + F.coalesce("ln", F.lit(0)) / FIXED
-    out = own.drop("shared").join(joined, "rid", "left").select(id_col, "n_words", log_prob.alias("log_prob"))
-    return out.withColumn("mean_log_prob", F.col("log_prob") / F.greatest("n_words", F.lit(1)))
+    kind = rows.schema[id_col].dataType.simpleString()
+    return rows.select(id_col, "ids_", "n_words", "spelt_").mapInArrow(run, f"`{id_col}` {kind}, n_words long, log_prob double, mean_log_prob double")
 
 
 def pseudo_likelihood(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Train on all words of ``df`` and score each row."""
-    voc, rest = vocabulary(word_counts(df, text_col))
-    return score(df, id_col, text_col, voc, rest, train(df, text_col, voc))
+    counts = word_counts(df, text_col)
+    voc = vocabulary(counts)
+    discard(counts)
+    rows = encoded(df.select(id_col, text_col), id_col, text_col, voc)
+    return score(rows, id_col, voc, train(rows, voc))
