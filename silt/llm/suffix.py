@@ -1,24 +1,32 @@
-"""Suffix dedup: bytes of strings of ``LENGTH`` bytes that start at more than one place in the corpus.
+"""Suffix dedup: bytes of strings of a given length that start at more than one place in the corpus.
 
 All suffixes of the corpus would be many times its size, so suffixes are taken at anchors and carry what tells them
 apart. The anchor of a string is the least-hashed run of ``GRAM`` bytes in it, so equal strings have equal anchors at
 equal places; one anchor serves a run of neighbouring strings. Anchors whose run occurs once in the corpus are dropped:
 no string over them repeats. For the others, strings are taken in chunks of up to ``CHUNK`` starts. A chunk's strings
-share a core (all but ``CHUNK`` - 1 bytes); the suffix that starts at the core is one record, with its leading token,
-the core's 128-bit digest, and the wings, the bytes on both sides of the core.
-
-Records are range-partitioned by leading token and digest with sampled splitters, sorted in their buckets, and strings
-with equal cores are told apart by a multikey sort of their wings, a machine word at a time; equal neighbours repeat.
-A splitter never falls between equal keys, so neighbours across a bucket boundary have different cores and cannot match.
-
-Equal texts are one node: a text with copies repeats whole. Null texts are empty. Texts shorter than ``LENGTH`` bytes
-have no strings. Matches never cross texts. Repeated rows count as copies.
+share a core (all but ``CHUNK`` - 1 bytes); the suffix that starts at the core is one record. Its key is its leading
+token of eight bytes and the 128-bit digest of the core, which stands for the bytes after the token; the wings, the
+bytes on both sides of the core, follow.
+
+Keys of a sample of records give the splitters: suffixes are range-partitioned by leading token, then digest, and every
+bucket is sorted. Strings with equal cores are told apart by a multikey quicksort of their wings, a machine word at a time inside runs
+that are equal so far; equal neighbours repeat. A splitter never falls between equal keys here.
+
+A core that very many texts hold would meet in one bucket, so cores at the most common anchors go another way: equal
+records are folded into one with a count before the shuffle, and repeat whole; what is left of a contested core is taken
+apart into its strings, each a suffix of its own (key, place of the core, wings). These are range-partitioned and sorted
+with splitters that may fall between equal ones; every bucket compares neighbours and gives its first and last record,
+and those are compared across the boundaries.
+
+Equal texts are one node: a text with copies repeats whole. Null texts are empty. Texts shorter than the length have no
+strings. Matches never cross texts. Repeated rows count as copies. An empty table gives no rows. Results are exact up to
+128-bit digests of cores.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +35,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silt.llm.common import map_texts, mix64, stored
+from silt.llm import common
+from silt.llm.common import discard, joined_by_weight, map_texts, mix64, stored
 
-LENGTH, GRAM, CHUNK = 400, 64, 33
+#: Bytes of a repeated string, and of one that counts as a passage: about 50 words.
+LENGTH, PASSAGE = 400, 240
+GRAM, CHUNK = 64, 33
 PART = 1 << 19  # starts that are handled at once in a very long text
 ROWS = 40_000  # records that are compared at once
+SAMPLED = 50_000  # anchors, about, whose suffixes give the splitters
+HOT_LEAST = 1000  # an anchor of at most so many places is never hot
 
-HOT = 1000
-
+SPAN = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
 SPANS = "array<struct<start:int,stop:int>>"
 
 
@@ -49,17 +61,17 @@ def grams(b: np.ndarray) -> np.ndarray:
     return mix64(h)
 
 
-def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, position, first start, last start) of the anchors of one text; every start has one anchor."""
-    n = len(raw) - LENGTH + 1
+def anchors(raw: bytes, length: int, start: int = 0, stop: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, position, first start, last start) of the anchors of one text, or of a part of it; every start has one anchor."""
+    n = (len(raw) if stop is None else stop) - start - length + 1
     if n < 1:
         none = np.empty(0, np.int64)
         return none, none, none, none
     out = []
-    width = LENGTH - GRAM + 1
-    for s in range(0, n, PART):
-        m = min(PART, n - s)
-        h = grams(np.frombuffer(raw, np.uint8, m + LENGTH - 1, s))
+    width = length - GRAM + 1
+    for s in range(start, start + n, PART):
+        m = min(PART, start + n - s)
+        h = grams(np.frombuffer(raw, np.uint8, m + length - 1, s))
         low = np.uint64(2**20 - 1)
         v = (h & ~low) | np.arange(len(h), dtype=np.uint64)
         size = 1
@@ -74,23 +86,23 @@ def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def records(raw: bytes, runs: list[dict]) -> Iterator[tuple[int, bytes, int, bytes, int]]:
-    """(leading token, core digest, core start, wings, length of the left wing) of each chunk of each anchor."""
+def records(raw: bytes, runs: list[dict], length: int) -> Iterator[tuple[bytes, int, bytes, int]]:
+    """(leading token and core digest, core start, wings, length of the left wing) of each chunk of each anchor."""
     digest = xxhash.xxh3_128_digest
     for r in runs:
         q, lo, hi = r["pos"], r["lo"], r["hi"]
         for c in range((q - hi) // CHUNK, (q - lo) // CHUNK + 1):
             at = q - c * CHUNK
             first, last = max(lo, at - CHUNK + 1), min(hi, at)
-            core = raw[at : at + LENGTH - CHUNK + 1]
-            yield int.from_bytes(core[:8], "big", signed=True), digest(core), at, raw[first:at] + raw[at + len(core) : last + LENGTH], at - first
+            core = raw[at : at + length - CHUNK + 1]
+            yield core[:8] + digest(core), at, raw[first:at] + raw[at + len(core) : last + length], at - first
 
 
 def multikey_equal(code: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
     """Whether each element equals another one in ``code`` and all ``words``.
 
-    A multikey sort: elements are sorted by one key at a time, only inside runs that are equal so far, and elements that
-    are alone leave.
+    A multikey quicksort, all runs at once: elements are sorted by one key at a time, only inside runs that are equal so
+    far, and elements that are alone leave.
     """
     out = np.zeros(len(code), bool)
     left, run = np.arange(len(code)), np.zeros(len(code), np.int64)
@@ -108,7 +120,7 @@ def multikey_equal(code: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def compare(core: list[bytes], node: np.ndarray, at: np.ndarray, wings: list[bytes], left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compare(core: list[bytes], node: np.ndarray, at: np.ndarray, wings: list[bytes], left: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(node, start, stop) of the bytes of strings that repeat among these records, which hold their cores whole."""
     group: dict[bytes, int] = {}
     g = np.array([group.setdefault(c, len(group)) for c in core], np.int64)
@@ -144,7 +156,7 @@ def compare(core: list[bytes], node: np.ndarray, at: np.ndarray, wings: list[byt
     new = np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)]) if len(row) else np.empty(0, bool)
     begin = np.flatnonzero(new)
     end = np.concatenate([begin[1:] - 1, [len(row) - 1]]) if len(begin) else begin
-    return node[row[begin]], start[begin], start[end] + LENGTH
+    return node[row[begin]], start[begin], start[end] + length
 
 
 def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -157,79 +169,210 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def texts_and_spans(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """All distinct texts (node, key, copies, n_bytes, sha) and those with repeats (node, text_, spans).
+def spread(batch: pa.RecordBatch, k: int) -> list[list[tuple[int, int]]]:
+    """Column k, a list of spans, as tuples."""
+    return [[(s["start"], s["stop"]) for s in found or ()] for found in batch.column(k).to_pylist()]
 
-    ``key`` is the text's MD5, ``sha`` its SHA-256; spans are ascending, apart, in bytes. Texts that repeat whole because
-    they have copies are not in the second table.
-    """
-    own = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text_")).withColumn("key", F.unhex(F.md5("text_")))
 
-    def first_pass(texts: list[str]) -> dict[str, list]:
-        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-        found = [anchors(b) for b in raw]
-        out = {k: [f[i] for f in found] for i, k in enumerate(("gram", "pos", "lo", "hi"))}
-        return out | {"n_bytes": list(map(len, raw)), "sha": [hashlib.sha256(b).hexdigest() for b in raw]}
+def emitter(length: int, column: int, splitters: list[bytes] | None = None) -> Callable:
+    """Rows (key, node, at, wings, left) of the runs in ``column`` beside node and text_; with splitters, the bucket of each."""
+    kinds = {"key": pa.binary(), "at": pa.int32(), "wings": pa.binary(), "left": pa.int32(), "node": pa.int64()}
 
-    ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
-    fields = {"gram": longs, "pos": ints, "lo": ints, "hi": ints, "n_bytes": pa.int64(), "sha": pa.string()}
-    kind = df.schema[id_col].dataType.simpleString()
-    passed = map_texts(own, ["id", "key"], "text_", first_pass, fields, f"id {kind}, key binary, gram array<long>, pos array<int>, lo array<int>, hi array<int>, n_bytes long, sha string")
-    nodes = passed.groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in fields])
-    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "anchors")
-
-    each = nodes.select("node", F.inline(F.arrays_zip("gram", "pos", "lo", "hi")))
-    often = stored(each.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "grams")
-    total = often.agg(F.sum("n")).first()[0] or 0
-    # a run of bytes that many anchors share would meet in one task of the join: there are fewer than HOT of those, so they are broadcast
-    hot = F.broadcast(often.filter(F.col("n") > total / HOT).select("gram"))
-    rest = each.join(hot, "gram", "left_anti").join(often.filter(F.col("n") <= total / HOT).select("gram"), "gram", "left_semi")
-    runs = each.join(hot, "gram", "left_semi").union(rest).groupBy("node").agg(F.collect_list(F.struct("pos", "lo", "hi")).alias("runs"))
-    wanted = runs.join(nodes.select("node", "key", "first_id"), "node")
-    texts = own.join(wanted, (own["key"] == wanted["key"]) & own["id"].eqNullSafe(wanted["first_id"]))
-    held = stored(texts.select("node", "text_", "runs").dropDuplicates(["node"]), "texts")
-
-    def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.int32())
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = np.array(splitters or [], "S24")
         for batch in batches:
             for part in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
-                out = [(*r, n) for n, text, runs in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True) for r in records(text.encode("utf-8", "surrogatepass"), runs)]
-                lead, core, at, wings, left, node = zip(*out, strict=True) if out else [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((lead, core, node, at, wings, left), kinds, strict=True)], names=["lead", "core", "node", "at", "wings", "left"])
+                rows = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(column).to_pylist(), strict=True)
+                out = [(*r, n) for n, text, runs in rows if runs for r in records(text.encode("utf-8", "surrogatepass"), runs, length)]
+                if not out:
+                    continue
+                cols = list(zip(*out, strict=True))
+                arrays = {name: pa.array(c, t) for c, (name, t) in zip(cols, kinds.items(), strict=True)}
+                if splitters is not None:
+                    arrays["bucket"] = pa.array(np.searchsorted(edges, np.array(cols[0], "S24"), "right").astype(np.int32))
+                yield pa.RecordBatch.from_pydict(arrays)
+
+    return run
+
+
+EMITTED = "key binary, at int, wings binary, left int, node long"
+FOUND = "node long, start int, stop int"
+
+
+def found_rows(node, start, stop) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], names=["node", "start", "stop"])
+
+
+def in_buckets(held: DataFrame, length: int, n_runs: int) -> DataFrame:
+    """(node, start, stop) of what repeats among the suffixes of the runs in ``runs``: sampled splitters, sorted buckets."""
+    n = max(2, int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    some = F.expr(f"filter(runs, r -> pmod(xxhash64(node, r.pos), {max(1, n_runs // SAMPLED)}) = 0)")
+    drawn = held.select("node", "text_", some.alias("runs")).filter("size(runs) > 0").mapInArrow(emitter(length, 2), EMITTED)
+    sample = sorted(bytes(r.key) for r in drawn.select("key").collect())  # about SAMPLED anchors, a few keys each
+    splitters = [sample[len(sample) * i // n] for i in range(1, n)] if sample else []
 
     def bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def done(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            t = pa.Table.from_batches(parts)
-            node, start, stop = compare(t["core"].to_pylist(), t["node"].to_numpy(), t["at"].to_numpy().astype(np.int64), t["wings"].to_pylist(), t["left"].to_numpy().astype(np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], names=["node", "start", "stop"])
+        def done(t: pa.RecordBatch) -> pa.RecordBatch:
+            col = {name: t.column(i) for i, name in enumerate(t.schema.names)}
+            return found_rows(*compare(col["key"].to_pylist(), col["node"].to_numpy(), col["at"].to_numpy().astype(np.int64), col["wings"].to_pylist(), col["left"].to_numpy().astype(np.int64), length))
 
-        for batch in batches:  # sorted by core; a core is never cut
+        for batch in batches:  # sorted by key; equal keys are never cut
             held.append(batch)
             if sum(b.num_rows for b in held) >= ROWS:
                 whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                last = whole.column(1)[whole.num_rows - 1]
-                cut = int(np.argmax(pa.compute.equal(whole.column(1), last).to_numpy(zero_copy_only=False)))
+                last = whole.column(0)[whole.num_rows - 1]
+                cut = int(np.argmax(pa.compute.equal(whole.column(0), last).to_numpy(zero_copy_only=False)))
                 if cut:
-                    yield done([whole.slice(0, cut)])
+                    yield done(whole.slice(0, cut))
                 held = [whole.slice(cut)]
         if held:
-            yield done(held)
+            yield done(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    dealt = held.select("node", "text_", "runs").mapInArrow(emitter(length, 2, splitters), EMITTED + ", bucket int")
+    return dealt.repartitionById(n, F.col("bucket")).sortWithinPartitions("key").drop("bucket").mapInArrow(bucket, FOUND)
+
+
+def strings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All strings of records (key, wings, left, node, at, folded): (suffix, node, start, many); folded ones repeat anyway."""
+    for batch in batches:
+        for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+            out = []
+            for key, wings, left, node, at, folded in zip(*(part.column(k).to_pylist() for k in range(6)), strict=True):
+                for j in range(len(wings) - CHUNK + 2):
+                    out.append((key + bytes([left - j]) + wings[j : j + CHUNK - 1], node, at - left + j, folded))
+            suffix, node, start, folded = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(suffix, pa.binary()), pa.array(node, pa.int64()), pa.array(start, pa.int32()), pa.array(folded, pa.bool_())], names=["suffix", "node", "start", "folded"])
+
+
+def neighbours(length: int) -> Callable:
+    """Of a sorted bucket of strings: those that equal a neighbour, and (with ``edge``, the string) the first and the last one."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: pa.RecordBatch, on: np.ndarray, edge: bool) -> pa.RecordBatch:
+            some = rows.filter(pa.array(on))
+            start = some.column(2).to_numpy().astype(np.int64)
+            edges = some.column(0) if edge else pa.nulls(some.num_rows, pa.binary())
+            return pa.RecordBatch.from_arrays([some.column(1), some.column(2), pa.array(start + length, pa.int32()), edges], names=["node", "start", "stop", "edge"])
 
-    dealt = held.mapInArrow(emit, "lead long, core binary, node long, at int, wings binary, left int").repartitionByRange("lead", "core").sortWithinPartitions("lead", "core")
-    found = dealt.mapInArrow(bucket, "node long, start int, stop int")
+        last, open_ = None, True  # the row before this batch, and whether it is still without an equal
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            s = batch.column(0)
+            same = pa.compute.equal(s.slice(1), s.slice(0, len(s) - 1)).to_numpy(zero_copy_only=False)
+            joined = last is not None and last.column(0)[0].as_py() == s[0].as_py()
+            on = np.zeros(len(s), bool)
+            on[1:] |= same
+            on[:-1] |= same
+            on[0] |= joined
+            if last is None:
+                yield out(batch.slice(0, 1), np.ones(1, bool), True)
+            elif joined and open_:
+                yield out(last, np.ones(1, bool), False)
+            yield out(batch, on & ~batch.column(3).to_numpy(zero_copy_only=False), False)
+            last, open_ = batch.slice(batch.num_rows - 1, 1), not on[-1]
+        if last is not None:
+            yield out(last, np.ones(1, bool), True)
+
+    return run
+
+
+def of_hot_cores(held: DataFrame, length: int) -> DataFrame:
+    """(node, start, stop) of what repeats among the suffixes of the runs in ``hot``, where a core may have any number of records."""
+    kind = ["key", "left", "wings"]
+    rows = stored(held.filter("hot IS NOT NULL").select("node", "text_", "hot").mapInArrow(emitter(length, 2), EMITTED), "hot-records")
+    kinds = stored(rows.groupBy(*kind).agg(F.count("*").alias("n"), F.min(F.struct("node", "at")).alias("one")), "hot-kinds")
+    whole = joined_by_weight(rows, stored(kinds.filter("n > 1").select(*kind, "n"), "hot-whole"), kind, "n")
+    whole = whole.select("node", F.expr("at - left AS start"), F.expr(f"at - left + length(wings) + {length - CHUNK + 1} AS stop"))
+    contested = stored(kinds.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1"), "hot-cores")
+    rivals = joined_by_weight(kinds, contested, ["key"], "k", "left_semi").select("key", "wings", "left", "one.node", "one.at", F.expr("n > 1 AS folded"))
+    each = stored(rivals.mapInArrow(strings, "suffix binary, node long, start int, folded boolean"), "hot-strings")
+    n = max(2, int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = each.repartitionByRange(n, "suffix", F.xxhash64("node", "start")).sortWithinPartitions("suffix")
+    near = stored(ranged.mapInArrow(neighbours(length), FOUND + ", edge binary"), "hot-found")
+    edges = near.filter("edge IS NOT NULL")  # two a bucket
+    across = edges.groupBy("edge").agg(F.collect_set(F.struct("node", "start", "stop")).alias("at")).filter("size(at) > 1").select(F.inline("at"))
+    return whole.unionByName(near.filter("edge IS NULL").select("node", "start", "stop")).unionByName(across)
+
+
+def spans_of(each: DataFrame, texts: Callable[[DataFrame], DataFrame], length: int) -> DataFrame:
+    """(node, text_, spans) of texts with strings that repeat, stored; spans are ascending, apart, in bytes.
+
+    ``each`` has an anchor in a row (node, gram, pos, lo, hi); ``texts`` gives (node, text_) of the nodes that it is asked for.
+    """
+    often = stored(each.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "grams")
+    total = often.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > max(HOT_LEAST, total // common.HOT)
+    met = joined_by_weight(each, often, ["gram"], "n").withColumn("hot_", hot)
+    run = F.struct("pos", "lo", "hi")
+    runs = met.groupBy("node").agg(F.collect_list(F.when(~F.col("hot_"), run)).alias("runs"), F.collect_list(F.when(F.col("hot_"), run)).alias("hot"))
+    runs = runs.withColumn("hot", F.when(F.size("hot") > 0, F.col("hot")))
+    held = stored(texts(runs), "texts")
+    found = in_buckets(held, length, total)
+    if not often.filter(hot).isEmpty():
+        found = found.unionByName(of_hot_cores(held, length))
     spans = found.groupBy("node").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
-    once = nodes.filter("copies = 1").select("node")
-    with_text = held.select("node", "text_").join(spans.join(once, "node"), "node")
 
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = [[{"start": a, "stop": b} for a, b in merged((s["start"], s["stop"]) for s in found)] for found in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))], names=["node", "text_", "spans"])
+            spans = [[{"start": a, "stop": b} for a, b in merged(found)] for found in spread(batch, 2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(SPAN))], names=["node", "text_", "spans"])
+
+    out = stored(held.select("node", "text_").join(spans, "node").select("node", "text_", "found").mapInArrow(join, f"node long, text_ string, spans {SPANS}"), "spans")
+    discard(held)
+    return out
 
-    spans = with_text.select("node", "text_", "found").mapInArrow(join, f"node long, text_ string, spans {SPANS}")
-    return nodes.select("node", "key", "first_id", "copies", "n_bytes", "sha"), stored(spans, "spans")
+
+def texts_and_spans(df: DataFrame, id_col: str, text_col: str, length: int) -> tuple[DataFrame, DataFrame]:
+    """All distinct texts (node, key, copies, n_bytes, sha), and those with strings that repeat in other texts or places (node, text_, spans).
+
+    ``key`` is the text's MD5, ``sha`` its SHA-256.
+    """
+    own = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text_")).withColumn("key", F.unhex(F.md5("text_")))
+
+    def first_pass(texts: list[str]) -> dict[str, list]:
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        found = [anchors(b, length) for b in raw]
+        out = {k: [f[i] for f in found] for i, k in enumerate(("gram", "pos", "lo", "hi"))}
+        return out | {"n_bytes": list(map(len, raw)), "sha": [hashlib.sha256(b).hexdigest() for b in raw]}
+
+    ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
+    fields = {"gram": longs, "pos": ints, "lo": ints, "hi": ints, "n_bytes": pa.int64(), "sha": pa.string()}
+    kind = df.schema[id_col].dataType.simpleString()
+    passed = map_texts(own, ["id", "key"], "text_", first_pass, fields, f"id {kind}, key binary, gram array<long>, pos array<int>, lo array<int>, hi array<int>, n_bytes long, sha string")
+    every = passed.groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in fields])
+    wide = stored(every.withColumn("node", F.monotonically_increasing_id()), "anchors")
+    nodes = stored(wide.select("node", "key", "first_id", "copies", "n_bytes", "sha"), "nodes")
+
+    def texts(runs: DataFrame) -> DataFrame:
+        wanted = runs.join(nodes.select("node", "key", "first_id"), "node")
+        rows = own.join(wanted, (own["key"] == wanted["key"]) & own["id"].eqNullSafe(wanted["first_id"]))
+        return rows.select("node", "text_", "runs", "hot").dropDuplicates(["node"])
+
+    spans = spans_of(wide.select("node", F.inline(F.arrays_zip("gram", "pos", "lo", "hi"))), texts, length)
+    discard(wide)
+    return nodes, spans
+
+
+def longer(spans: DataFrame, length: int) -> DataFrame:
+    """What repeats at a greater length, from what repeats at a smaller one: a longer string lies inside one of the spans."""
+
+    def again(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, text, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), spread(batch, 2), strict=True):
+                raw = text.encode("utf-8", "surrogatepass")
+                found = [anchors(raw, length, a, b) for a, b in parts if b - a >= length]
+                if found:
+                    gram, pos, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
+                    cols = [pa.array(np.full(len(gram), n)), pa.array(gram), *(pa.array(x, pa.int32()) for x in (pos, lo, hi))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["node", "gram", "pos", "lo", "hi"])
+
+    each = stored(spans.mapInArrow(again, "node long, gram long, pos int, lo int, hi int"), "anchors")
+    out = spans_of(each, lambda runs: spans.select("node", "text_").join(runs, "node").select("node", "text_", "runs", "hot"), length)
+    discard(each)
+    return out
 
 
 def kept_bytes(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -253,14 +396,18 @@ def kept_text(text: str, spans: list[tuple[int, int]]) -> str:
     return kept_bytes(raw, inner).decode("utf-8", "surrogatepass")
 
 
-def repeats(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(``id_col``, n_bytes, n_removed, n_spans, kept_sha256) for every row of ``df``."""
-    nodes, spans = texts_and_spans(df, id_col, text_col)
+def repeats(df: DataFrame, id_col: str, text_col: str, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
+    """(``id_col``, n_bytes, n_removed, n_spans, kept_sha256, n_passage_bytes) for every row of ``df``.
+
+    Bytes under repeated strings of ``length`` bytes are removed. The last column counts the bytes under repeated strings of
+    ``passage`` bytes (at most ``length``), which finds shorter passages too and removes nothing.
+    """
+    nodes, shorter = texts_and_spans(df, id_col, text_col, passage)
+    spans = longer(shorter, length)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, found = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            pairs = [[(s["start"], s["stop"]) for s in f] for f in found]
+            texts, pairs = batch.column(1).to_pylist(), spread(batch, 2)
             cols = [
                 batch.column(0),
                 pa.array([sum(b - a for a, b in p) for p in pairs], pa.int64()),
@@ -270,28 +417,31 @@ def repeats(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=["node", "removed", "runs", "kept"])
 
     some = spans.mapInArrow(cut, "node long, removed long, runs long, kept string")
-    whole = F.expr(f"copies > 1 AND n_bytes >= {LENGTH}")
-    each = nodes.join(some, "node", "left").select(
+    under = shorter.select("node", F.expr("aggregate(spans, 0L, (n, s) -> n + s.stop - s.start) AS under"))
+    many = lambda n: F.expr(f"copies > 1 AND n_bytes >= {n}")
+    whole = many(length)
+    each = nodes.join(some, "node", "left").join(under, "node", "left").select(
         "key", "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),
         F.when(whole, F.lit(1)).otherwise(F.coalesce("runs", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
+        F.when(many(passage), F.col("n_bytes")).otherwise(F.coalesce("under", F.lit(0))).alias("n_passage_bytes"),
     )
     rows = df.select(id_col, F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("key"))
-    return rows.join(each, "key").select(id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return rows.join(each, "key").select(id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes")
 
 
-def without_repeats(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def without_repeats(df: DataFrame, id_col: str, text_col: str, length: int = LENGTH) -> DataFrame:
     """``df`` with the repeated bytes cut out of its texts, where they make whole characters; untouched texts stay as they are."""
-    nodes, spans = texts_and_spans(df, id_col, text_col)
+    nodes, spans = texts_and_spans(df, id_col, text_col, length)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = [kept_text(t, [(s["start"], s["stop"]) for s in f]) for t, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            new = [kept_text(t, p) for t, p in zip(batch.column(1).to_pylist(), spread(batch, 2), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string())], names=["node", "new_"])
 
     some = spans.mapInArrow(cut, "node long, new_ string")
-    changed = some.join(nodes.select("node", "key"), "node").select("key", "new_").union(nodes.filter(f"copies > 1 AND n_bytes >= {LENGTH}").select("key", F.lit("").alias("new_")))
+    changed = some.join(nodes.filter("copies = 1").select("node", "key"), "node").select("key", "new_").union(nodes.filter(f"copies > 1 AND n_bytes >= {length}").select("key", F.lit("").alias("new_")))
     rows = df.withColumn("key_", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
     joined = rows.join(changed.withColumnRenamed("key", "key_"), "key_", "left")
     return joined.withColumn(text_col, F.coalesce("new_", F.col(text_col))).select(*df.columns)

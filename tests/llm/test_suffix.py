@@ -4,18 +4,18 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from silt.llm import suffix
+from silt.llm import common, suffix
 
 
-def slow(texts):
+def slow(texts, size=400):
     raw = [(t or "").encode() for t in texts]
-    seen = Counter(b[i : i + 400] for b in raw for i in range(len(b) - 399))
+    seen = Counter(b[i : i + size] for b in raw for i in range(len(b) - size + 1))
     out = []
     for b in raw:
         on = np.zeros(len(b) + 1, bool)
-        for i in range(len(b) - 399):
-            if seen[b[i : i + 400]] > 1:
-                on[i : i + 400] = True
+        for i in range(len(b) - size + 1):
+            if seen[b[i : i + size]] > 1:
+                on[i : i + size] = True
         kept = bytes(x for x, r in zip(b, on, strict=False) if not r)
         edges = np.flatnonzero(np.diff(np.concatenate([[False], on])) != 0)
         out.append((len(b), int(on.sum()), (len(edges) + 1) // 2, hashlib.sha256(kept).hexdigest()))
@@ -40,27 +40,59 @@ def corpus(seed):
     return texts + edited + [texts[3], texts[3], None, "", "short", "z" * 900, "ab" * 300, exact + "1", "2" + exact, texts[5] + texts[5]]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_equals_brute_force(spark, seed, monkeypatch):
+@pytest.mark.parametrize(("seed", "hot"), [(1, False), (2, False), (1, True)])
+def test_equals_brute_force(spark, seed, hot, monkeypatch):
+    """Also with every anchor taken for a hot one, so that all cores are taken apart into strings."""
     monkeypatch.setattr(suffix, "ROWS", 500)
+    monkeypatch.setattr(suffix, "SAMPLED", 50)
+    if hot:
+        monkeypatch.setattr(suffix, "HOT_LEAST", 1)
+        monkeypatch.setattr(common, "HOT", 10**9)
     texts = corpus(seed)
-    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, node int")
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.repeats(df.repartition(3), "doc_id", "text").collect()}
-    want = slow(texts)
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], "doc_id long, text string, node int, suffix string")
+    rows = suffix.repeats(df.repartition(3), "doc_id", "text").collect()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows}
+    want, passages = slow(texts), slow(texts, 240)
     assert [got[i] for i in range(len(texts))] == want
     assert sum(w[1] > 0 for w in want) > 20
-    new = {r.doc_id: r.text for r in suffix.without_repeats(df, "doc_id", "text").collect()}
-    for i, w in enumerate(want):
-        n = len((new[i] or "").encode())
-        assert w[0] - w[1] <= n <= w[0] - w[1] + 4 * w[2]
+    by = {r.doc_id: r.n_passage_bytes for r in rows}
+    assert [by[i] for i in range(len(texts))] == [p[1] for p in passages] and sum(p[1] > w[1] for p, w in zip(passages, want, strict=True)) > 5
+    for size, expected in ((400, want), (240, passages)):
+        new = {r.doc_id: r.text for r in suffix.without_repeats(df, "doc_id", "text", size).collect()}
+        for i, w in enumerate(expected):
+            n = len((new[i] or "").encode())
+            assert w[0] - w[1] <= n <= w[0] - w[1] + 4 * w[2]
+
+
+def test_sorted_strings_meet_across_buckets():
+    """Neighbours inside a bucket, first and last ones at its edges, whatever the batches."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        keys = sorted(bytes([k]) for k in rng.integers(0, 9, rng.integers(1, 25)))
+        cuts = sorted(rng.integers(0, len(keys) + 1, 3).tolist())
+        out, edges = set(), Counter()
+        for a, b in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+            inner = sorted(rng.integers(a, b + 1, 2).tolist())
+            batches = [pa.record_batch({"suffix": pa.array(keys[i:j], pa.binary()), "node": pa.array(range(i, j), pa.int64()), "start": pa.array([0] * (j - i), pa.int32()), "folded": pa.array([False] * (j - i))}) for i, j in zip([a, *inner], [*inner, b], strict=True)]
+            for batch in suffix.neighbours(5)(batches):
+                for r in batch.to_pylist():
+                    if r["edge"] is None:
+                        out.add(r["node"])
+                    else:
+                        edges.setdefault(r["edge"], set())
+                        edges[r["edge"]] |= {r["node"]}
+        out |= {n for at in edges.values() if len(at) > 1 for n in at}
+        assert out == {i for i, k in enumerate(keys) if keys.count(k) > 1}
 
 
 def test_long_texts_are_handled_in_parts(monkeypatch):
     rng = np.random.default_rng(0)
     raw = bytes(rng.integers(97, 100, 5000).astype(np.uint8))
-    whole = suffix.anchors(raw)
+    whole = suffix.anchors(raw, 400)
     monkeypatch.setattr(suffix, "PART", 700)
-    parts = suffix.anchors(raw)
+    parts = suffix.anchors(raw, 400)
     spread = lambda a: [(g, p) for g, p, lo, hi in zip(*map(np.ndarray.tolist, a), strict=True) for _ in range(lo, hi + 1)]
     assert spread(whole) == spread(parts)
 
