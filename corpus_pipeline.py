@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from silt.llm import minhash, packing, rules, secrets, suffix
-from silt.llm.common import documents, stored
+from silt.llm.common import discard, documents, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +25,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of passages that repeat anywhere are cut out of the texts; n_chars follows."""
-    return suffix.without_repeats(docs, "doc_id", "text").withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars")))
+    """Bytes of passages of about 50 words or more that repeat anywhere are cut out of the texts; n_chars follows."""
+    return suffix.without_repeats(docs, "doc_id", "text", suffix.PASSAGE).withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars")))
 
 
 def secret_values(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
