@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from silt.llm.common import MIX, WordHash, components, map_texts, mix64, shingle_hashes, stored, unit
+from silt.llm.common import MIX, WordHash, components, joined_by_weight, map_texts, mix64, shingle_hashes, stored, unit
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
@@ -214,8 +214,8 @@ def classes(df: DataFrame, id_col: str, text_col: str, threshold: float = THRESH
     step = 4 * ROWS
     bands = F.expr(f"transform(sequence(0, {BANDS - 1}), b -> struct(b AS band, xxhash64(b, substring(sig, b * {step} + 1, {step})) AS bkey))")
     banded = nodes.filter("sig IS NOT NULL").select("node", F.inline(bands))
-    buckets = banded.groupBy("bkey", "band").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1")
-    members = stored(banded.join(buckets, ["bkey", "band"]), "buckets")
+    buckets = stored(banded.groupBy("bkey", "band").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1"), "buckets")
+    members = stored(joined_by_weight(banded, buckets, ["bkey", "band"], "n"), "members")
 
     # the texts of all nodes that share a band: one row of each, with its least id; rows that repeat even that go by key
     wanted = members.select("node").distinct().join(nodes.select("node", "key", "first_id"), "node")
@@ -227,8 +227,8 @@ def classes(df: DataFrame, id_col: str, text_col: str, threshold: float = THRESH
     roots = components(links, "minhash")
 
     rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted.groupBy("bkey", "band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("bkey", "band")
-    rows = stored(rooted.join(mixed, ["bkey", "band"]).select("bkey", "band", "node", "root"), "mixed")
+    mixed = rooted.groupBy("bkey", "band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n_")).filter("r0 <> r1").select("bkey", "band", "n_")
+    rows = stored(joined_by_weight(rooted, stored(mixed, "mixed"), ["bkey", "band"], "n_").select("bkey", "band", "node", "root"), "mixed-rows")
     if not rows.isEmpty():
         sets = stored(shingled(texts.join(rows.select("node").distinct(), "node", "left_semi")), "shingles")
         size = rows.join(sets.select("node", F.length("h").alias("bytes")), "node").groupBy("bkey", "band").agg(F.sum("bytes").alias("bytes"))
