@@ -9,7 +9,7 @@ from email.header import decode_header
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 
 def nth(line: Column, n: int) -> Column:
@@ -210,3 +210,88 @@ def _sorted_xml(text: str) -> str:
 
 
 sorted_xml = _decoder(_sorted_xml)
+
+
+def wrapped(text: Column, width: int = 80) -> Column:
+    """Words filled greedily into lines. A word takes one place more, but for the first one of a later line; a longer word has a line of its own."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("n"))
+
+    def put(s: Column, w: Column) -> Column:
+        fits = s["n"] + F.length(w) + 1 <= width
+        joined = F.concat(s["out"], F.when(~fits, F.lit("\n")).when(s["n"] == 0, F.lit("")).otherwise(F.lit(" ")), w)
+        return F.struct(joined.alias("out"), F.when(fits, s["n"] + F.length(w) + 1).otherwise(F.length(w)).alias("n"))
+
+    return F.aggregate(words, start, put, lambda s: s["out"])
+
+
+def speaker_parts(text: Column, mark: str = ">>") -> Column:
+    """What each speaker says, behind the mark; what comes before the first mark stands without it, blank parts go."""
+    parts = F.transform(F.split(text, mark), lambda p, i: F.struct(F.trim(p).alias("t"), i.alias("i")))
+    return F.transform(F.filter(parts, lambda p: p["t"] != ""), lambda p: F.when(p["i"] > 0, F.concat(F.lit(f"{mark} "), p["t"])).otherwise(p["t"]))
+
+
+def clipped(name: Column) -> Column:
+    """A file name up to its first dot."""
+    return F.substring_index(name, ".", 1)
+
+
+def nul_separated(text: Column) -> Column:
+    return F.replace(text, F.lit("\n"), F.lit("\x00"))
+
+
+def locale_time(line: Column, zone_mark: str) -> Column:
+    """The time in a "Mon 02 Jan 2023 03:04:05 PM ZONE" line that has the mark; null in other lines."""
+    stamp = F.regexp_extract(line, r"(\d{1,2} \w{3} \d{4} \d{2}:\d{2}:\d{2} [AP]M)", 1)
+    return F.when(line.contains(zone_mark), F.try_to_timestamp(stamp, F.lit("d MMM yyyy hh:mm:ss a")))
+
+
+def minute_key(stamp: Column) -> Column:
+    """HH:MM of a caption's time."""
+    return F.left(stamp, F.lit(5))
+
+
+def field_range(line: Column) -> Column:
+    """The two hexadecimal ends of a "start-stop ..." line."""
+    pick = lambda k: F.regexp_extract(line, r"^([0-9a-fA-F]+)-([0-9a-fA-F]+)\b", k)
+    return F.struct(F.nullif(pick(1), F.lit("")).alias("start"), F.nullif(pick(2), F.lit("")).alias("stop"))
+
+
+def disk_result(line: Column) -> Column:
+    """Bandwidth and operations a second, as written, of a disk benchmark's result line; null where it has none."""
+    pick = lambda name: F.nullif(F.regexp_extract(line, rf"(?:{name.upper()}|{name.lower()})=([^,)\s]*)", 1), F.lit(""))
+    return F.struct(pick("bw").alias("bandwidth"), pick("iops").alias("iops"))
+
+
+def ideal_bitrate(w: Column, h: Column, fps: Column) -> Column:
+    return w * h * fps * 0.05
+
+
+def tokens_per_second(tokens: Column, seconds: Column) -> Column:
+    """Infinite where no time passed, 0 without tokens."""
+    return F.when(tokens <= 0, F.lit(0.0)).when(seconds > 0, tokens / seconds).otherwise(F.lit(float("inf")))
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("path", StringType()), StructField("value", StringType())])))
+def json_leaves(docs: pd.Series) -> pd.Series:
+    """(path, value) of every scalar at any depth: names joined by dots, places in brackets. Null and false leaves are left out; what is no JSON has none."""
+    import json
+
+    def leaves(text):
+        try:
+            todo = [("", json.loads(text, parse_int=str, parse_float=str))]
+        except (TypeError, ValueError):
+            return []
+        out = []
+        while todo:
+            path, v = todo.pop()
+            join = f"{path}." if path else ""
+            if isinstance(v, dict):
+                todo += [(f"{join}{k}", x) for k, x in reversed(v.items())]
+            elif isinstance(v, list):
+                todo += [(f"{join}[{i}]", x) for i, x in reversed(list(enumerate(v)))]
+            elif v is not None and v is not False:
+                out.append({"path": path, "value": "true" if v is True else v})
+        return out
+
+    return docs.map(leaves)

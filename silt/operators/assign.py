@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def scored(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_tokens: Column, right_tokens: Column, score, floor: float) -> DataFrame:
-    """(left, right, score) of pairs that share a token and reach the floor. A pair without one scores 0, so none is lost."""
-    a = left.select(F.col(left_id).alias("l"), left_tokens.alias("lt")).withColumn("token", F.explode(F.array_distinct("lt")))
-    b = right.select(F.col(right_id).alias("r"), right_tokens.alias("rt")).withColumn("token", F.explode(F.array_distinct("rt")))
+def scored(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_tokens: Column, right_tokens: Column, score, floor: float, within: Sequence[str] = ()) -> DataFrame:
+    """(l, r, score) of pairs that share a token, and the columns ``within`` which come first, and reach the floor. A pair without one scores 0, so none is lost."""
+    a = left.select(*within, F.col(left_id).alias("l"), left_tokens.alias("lt")).withColumn("token", F.explode(F.array_distinct("lt")))
+    b = right.select(*within, F.col(right_id).alias("r"), right_tokens.alias("rt")).withColumn("token", F.explode(F.array_distinct("rt")))
     first = F.element_at(F.array_sort(F.array_intersect("lt", "rt")), 1)
-    pairs = a.join(b, "token").filter(F.col("token") == first)  # each pair once, at its first shared token
-    return pairs.select("l", "r", score(F.col("lt"), F.col("rt")).alias("score")).filter(F.col("score") >= floor)
+    pairs = a.join(b, [*within, "token"]).filter(F.col("token") == first)  # each pair once, at its first shared token
+    return pairs.select(*within, "l", "r", score(F.col("lt"), F.col("rt")).alias("score")).filter(F.col("score") >= floor)
 
 
 def best_match(pairs: DataFrame) -> DataFrame:
@@ -46,8 +46,8 @@ def subset_sum(items: DataFrame, keys: Sequence[str], size: str, capacity: int,
     """``filled``, the largest sum of sizes, each used once, that fits the capacity, and ``chosen``, the items that make it.
 
     Attainable sums are the bits of one integer; the item that first reached each sum leads back to the chosen ones. Items
-    are taken in order of ``item`` (the size where none is named). The state is ``capacity`` bits and items; sizes over
-    the capacity are left out.
+    are taken in order of ``item`` (the size where none is named). Of one size no more items fit than capacity / size, so only
+    the first so many reach a group's task: at most capacity * (1 + ln capacity) rows. Sizes over the capacity are left out.
     """
     item = item or size
 
@@ -75,7 +75,10 @@ def subset_sum(items: DataFrame, keys: Sequence[str], size: str, capacity: int,
         return pd.DataFrame({**{k: [rows[k].iloc[0]] for k in keys}, "filled": [filled], "chosen": [chosen]})
 
     kinds = {f.name: f.dataType.simpleString() for f in items.schema.fields}
-    own = items.select(*keys, F.col(size).alias("size_"), F.col(item).alias("item_"))
+    fits = F.when(F.col(size).between(1, capacity), F.col(size))  # one row of the others stays, so that no group is lost
+    rank = F.row_number().over(Window.partitionBy(*keys, "size_").orderBy("item_"))
+    own = items.select(*keys, fits.alias("size_"), F.col(item).alias("item_")).withColumn("k_", rank)
+    own = own.filter((F.col("k_") == 1) | (F.col("k_") * F.col("size_") <= capacity)).drop("k_")
     return own.groupBy(*keys).applyInPandas(group, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", filled long, chosen array<{kinds[item]}>")
 
 

@@ -36,14 +36,16 @@ def percentiles_interpolated(df: DataFrame, keys: Sequence[str], x: str, ps: Seq
 
 
 def percentile_exclusive(df: DataFrame, keys: Sequence[str], x: str, p: float) -> DataFrame:
-    """The exclusive method: the value at p (n + 1), interpolated, between the ends. Two rows a group leave the ranking."""
-    n = F.count("*").over(Window.partitionBy(*keys))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(x))
+    """The exclusive method: the value at p (n + 1), interpolated, between the ends. Counts of equal values are ranked, not rows."""
+    counts = df.filter(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy(x).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    n = F.sum("_c").over(Window.partitionBy(*keys))
     pos = F.lit(p) * (F.col("_n") + 1)
     low = F.greatest(F.lit(1), F.least(F.floor(pos), F.col("_n") - 1))
-    rows = df.filter(F.col(x).isNotNull()).withColumn("_n", n).withColumn("_k", rank).withColumn("_low", low).withColumn("_part", F.least(F.lit(1.0), F.greatest(F.lit(0.0), pos - F.col("_low"))))
-    weight = F.when(F.col("_k") == F.col("_low"), 1 - F.col("_part")).otherwise(F.when(F.col("_n") > 1, F.col("_part")).otherwise(F.lit(0.0)))
-    return rows.filter("_k = _low OR _k = _low + 1").groupBy(*keys).agg(F.sum(F.col(x) * weight).alias("value"))
+    ranked = counts.withColumn("_upto", upto).withColumn("_n", n).withColumn("_low", low).withColumn("_part", F.least(F.lit(1.0), F.greatest(F.lit(0.0), pos - F.col("_low"))))
+    at = lambda k: F.min(F.when(F.col("_upto") >= k, F.col(x)))
+    ends = ranked.groupBy(*keys).agg(at(F.col("_low")).alias("_a"), at(F.least(F.col("_low") + 1, F.col("_n"))).alias("_b"), F.max(F.when(F.col("_n") > 1, F.col("_part")).otherwise(F.lit(0.0))).alias("_w"))
+    return ends.select(*keys, (F.col("_a") * (1 - F.col("_w")) + F.col("_b") * F.col("_w")).alias("value"))
 
 
 def mad_outliers(df: DataFrame, keys: Sequence[str], x: str, above: float = 3.5) -> DataFrame:

@@ -94,23 +94,43 @@ def edit_distance_pairs(spark, sf_dir):
     return sim.edit_pairs(names, names, "p_name", 30, "s")
 
 
-def _named(spark, sf_dir):
+def _named(spark, sf_dir, *within):
     part = table(spark, sf_dir, "part")
-    left = part.select(F.col("p_name").alias("name")).distinct()
-    right = part.select(F.concat_ws(" ", "p_type", "p_name").alias("name")).distinct()
-    return left, right, T.tokens(F.col("name"))
-
-
-@query("best_match")
+    left = part.select(*within, F.col("p_name").alias("name")).distinct()
+    right = part.select(*within, F.concat_ws(" ", "p_type", "p_name").alias("name")).distinct()
+    tokens = T.tokens(F.col("name"))
+    return assign.scored(left, right, "name", "name", tokens, tokens, lambda a, b: F.round(T.name_score(a, b), 9), 0.3, within)
+
+
+def _scored_sql(within: str = "") -> str:
+    """Scores of names against types and names; names have two words, so their common subsequence is told by cases."""
+    words = lambda t: f"list_filter(regexp_split_to_array(lower({t}), '[^a-z0-9]+'), lambda x: x <> '')"
+    weight = "CASE WHEN (starts_with(t, 's') AND contains(t, 'e')) OR contains(t, 'x') OR regexp_matches(t, '^[0-9]+(\\.[0-9]+)*$') THEN 2.0 ELSE 1.0 END"
+    total = lambda xs: f"CAST(list_sum(list_transform({xs}, lambda t: {weight})) AS DOUBLE)"
+    w = f"{within}, " if within else ""
+    both = f"l.{within} = r.{within}" if within else "true"
+    shared = f"coalesce(CAST(list_sum(list_transform(list_distinct(list_intersect(lt, rt)), lambda t: ({weight}) * least(len(list_filter(lt, lambda y: y = t)), len(list_filter(rt, lambda y: y = t))))) AS DOUBLE), 0)"
+    lcs = "CASE WHEN list_contains(rt, lt[1]) AND list_contains(rt[list_position(rt, lt[1]) + 1:], lt[2]) THEN 2 WHEN list_contains(rt, lt[1]) OR list_contains(rt, lt[2]) THEN 1 ELSE 0 END"
+    return f"""left_names AS (SELECT DISTINCT {w}p_name AS l, {words("p_name")} AS lt FROM part), right_names AS (SELECT DISTINCT {w}p_type || ' ' || p_name AS r, {words("p_type || ' ' || p_name")} AS rt FROM part),
+        pairs AS (SELECT * FROM (SELECT {f"l.{within}, " if within else ""}l, r, round(0.6 * (2 * {shared} / ({total("lt")} + {total("rt")})) + 0.4 * (2.0 * {lcs} / (len(lt) + len(rt))), 9) AS score
+        FROM left_names l JOIN right_names r ON {both} WHERE len(list_intersect(lt, rt)) > 0) WHERE score >= 0.3)"""
+
+
+@query("best_match", f"WITH {_scored_sql()} SELECT l, r, score FROM (SELECT *, row_number() OVER (PARTITION BY l ORDER BY score DESC, r) AS k FROM pairs) WHERE k = 1")
 def best_match(spark, sf_dir):
-    left, right, tokens = _named(spark, sf_dir)
-    return assign.best_match(assign.scored(left, right, "name", "name", tokens, tokens, T.name_score, 0.3))
+    return assign.best_match(_named(spark, sf_dir))
 
 
-@query("greedy_assign")
+@query(
+    "greedy_assign",
+    f"""WITH RECURSIVE {_scored_sql("p_brand")}, lefts AS (SELECT p_brand, l, row_number() OVER (PARTITION BY p_brand ORDER BY l) AS k FROM (SELECT DISTINCT p_brand, l FROM pairs)),
+        walk AS (SELECT DISTINCT p_brand, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS taken, CAST(NULL AS VARCHAR) AS l, CAST(NULL AS VARCHAR) AS r, CAST(NULL AS DOUBLE) AS score FROM lefts
+          UNION ALL SELECT w.p_brand, w.k + 1, CASE WHEN b.r IS NULL THEN w.taken ELSE list_append(w.taken, b.r) END, t.l, b.r, b.score FROM walk w JOIN lefts t ON t.p_brand = w.p_brand AND t.k = w.k + 1
+          LEFT JOIN LATERAL (SELECT p.r, p.score FROM pairs p WHERE p.p_brand = w.p_brand AND p.l = t.l AND NOT list_contains(w.taken, p.r) ORDER BY p.score DESC, p.r LIMIT 1) b ON true)
+        SELECT p_brand, l, r, score FROM walk WHERE r IS NOT NULL""",
+)
 def greedy_assign(spark, sf_dir):
-    left, right, tokens = _named(spark, sf_dir)
-    return assign.greedy_assignment(assign.scored(left, right, "name", "name", tokens, tokens, T.name_score, 0.3).withColumn("folder", F.lit("all")), "folder")
+    return assign.greedy_assignment(_named(spark, sf_dir, "p_brand"), "p_brand")
 
 
 @query(
@@ -124,7 +144,13 @@ def subset_sum(spark, sf_dir):
     return assign.subset_sum(table(spark, sf_dir, "part"), ["p_brand"], "p_size", 1000, "p_partkey").select("p_brand", "filled")
 
 
-@query("caption_merge")
+@query(
+    "caption_merge",
+    """WITH RECURSIVE c AS (SELECT conv_id, coalesce(text, '') AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+       m AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS k, '' AS said FROM c UNION ALL SELECT conv_id, k + 1, CASE WHEN said = '' THEN t WHEN n > 0 THEN said || substr(t, n + 1) ELSE said || ' ' || t END
+         FROM (SELECT m.conv_id, m.k, said, t, coalesce(list_max(list_filter(range(1, least(length(said), length(t)) + 1), lambda n: "right"(said, n) = "left"(t, n))), 0) AS n FROM m JOIN c ON c.conv_id = m.conv_id AND c.k = m.k + 1))
+       SELECT conv_id, arg_max(said, k) AS text FROM m GROUP BY 1""",
+)
 def caption_merge(spark, sf_dir):
     return assign.merged_captions(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
 

@@ -236,3 +236,43 @@ def test_subset_sum_gives_the_chosen_items(spark):
     got = {r.k: r for r in assign.subset_sum(spark.createDataFrame(rows, "k string, i int, s int"), ["k"], "s", 100, "i").collect()}
     size = {(k, i): s for k, i, s in rows}
     assert {k: (r.filled, sum(size[k, i] for i in r.chosen), len(set(r.chosen)) == len(r.chosen)) for k, r in got.items()} == {"a": (90, 90, True), "b": (0, 0, True), "c": (4, 4, True)}
+
+
+def test_wrapping_speakers_and_leaves(spark):
+    r = one(
+        spark,
+        T.wrapped(F.lit("aa bb  ccc\tdddddddddd e"), 6).alias("w"), T.wrapped(F.lit(" "), 6).alias("none"),
+        T.speaker_parts(F.lit("so >> hi >> >>yes")).alias("s"), T.clipped(F.lit("a.b.csv")).alias("c"),
+        T.disk_result(F.lit("  WRITE: bw=12MiB/s (1)")).alias("d"), T.field_range(F.lit("7f00-7fff rw-p")).alias("f"),
+        T.json_leaves(F.lit('{"a": [1.50, {"b": null, "c": "x"}], "d": {"e": [[true, false]]}, "f": []}')).alias("j"), T.json_leaves(F.lit("{")).alias("bad"), T.json_leaves(F.lit("7")).alias("top"),
+    )
+    assert r.w == "aa bb\nccc\ndddddddddd\ne" and r.none == "" and r.s == ["so", ">> hi", ">> yes"] and r.c == "a"
+    assert (r.d.bandwidth, r.d.iops) == ("12MiB/s", None) and (r.f.start, r.f.stop) == ("7f00", "7fff")
+    assert [tuple(x) for x in r.j] == [("a.[0]", "1.50"), ("a.[1].c", "x"), ("d.e.[0].[0]", "true")] and r.bad == [] and [tuple(x) for x in r.top] == [("", "7")]
+
+
+def test_views_fall_back_and_refuse(spark):
+    from silt.operators import telemetry
+
+    views = telemetry.Views()
+    views.register("a", needs=["x", "y"], instead=["b"])(lambda df: df.select("x"))
+    views.register("b", needs=["x"])(lambda df: df.select(F.lit(1).alias("one")))
+    df = spark.range(2).withColumnRenamed("id", "x")
+    assert views.show(df, "a").columns == ["one"] and views.show(df.withColumn("y", F.lit(0)), "a").columns == ["x"]
+    with pytest.raises(LookupError):
+        views.show(df.drop("x"), "a")
+    with pytest.raises(ValueError):
+        views.register("b")(lambda df: df)
+
+
+def test_lazy_changes_and_reports_without_rows(spark):
+    from silt.operators import lines
+
+    now = spark.createDataFrame([(1, 5, 0, "a"), (2, 5, 9, "b"), (3, 5, 9, "c"), (4, 6, 0, "d"), (5, 1, 0, "e"), (6, None, None, None)], "k int, size int, time int, text string")
+    old = spark.createDataFrame([(1, 5, 0, "zz"), (2, 5, 0, "b"), (3, 5, 0, "x"), (4, 5, 0, "d"), (6, None, None, None)], "k int, size int, time int, digest string")
+    assert {tuple(r) for r in lines.changed_lazily(now, old, "k", "size", "time", F.col("text")).collect()} == {(3, "changed"), (4, "changed"), (5, "new")}
+    none = spark.createDataFrame([], "a int, b int")
+    assert [r.line for r in lines.duplicate_report(none, "a", "b").collect()] == ["# No duplicates detected."]
+    rows = spark.createDataFrame([("NEW", "x"), ("MATCH", "y"), ("other", "z")], "s string, l string")
+    assert [r.line for r in lines.validation_report(rows, "s", "l").orderBy("section", "at", "line").collect()] == ["=== MATCH ===", "MATCH: y", "", "=== NEW ===", "NEW: x"]
+    assert lines.recent(list("abc"), ["d"], 2) == ["c", "d"] and lines.limited(rows, ["s"], ["l"], -1).count() == 3
