@@ -10,6 +10,7 @@ from silt.functions import text as T
 from silt.operators import assign, graph, shared
 from silt.operators import similarity as sim
 from silt.plans.registry import query
+from silt.sources import sinks
 from silt.sources.tables import table
 from silt.streaming import stateful
 
@@ -185,3 +186,56 @@ def stream_pairing(spark, sf_dir):
 def stream_ticks(spark, sf_dir):
     rows = stateful.file_stream(spark, f"{sf_dir}/events.parquet")
     return stateful.run_once(stateful.ticks(rows, "ts", "event_type", "value", "1 hour"), "append", *_places(spark)).drop("batch_").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(
+    "stream_growth",
+    """WITH f AS (SELECT user_id, event_id, CASE WHEN row_number() OVER w = 1 OR event_type IS DISTINCT FROM lag(event_type) OVER w THEN 1 ELSE 0 END AS m FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+       r AS (SELECT *, sum(m) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM f), k AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY event_id) AS k FROM r)
+       SELECT user_id AS "key", event_id AS "at" FROM k WHERE k = 3""",
+)
+def stream_growth(spark, sf_dir):
+    rows = stateful.file_stream(spark, f"{sf_dir}/events.parquet")
+    return stateful.run_once(stateful.growth(rows, "user_id", "event_id", "event_type", 2), "append", *_places(spark)).drop("batch_")
+
+
+@query(
+    "stream_rates",
+    """WITH RECURSIVE e AS (SELECT user_id, event_id * 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+       w AS (SELECT user_id, k, t, t AS start, t AS shown, true AS visible FROM e WHERE k = 1 UNION ALL
+         SELECT e.user_id, e.k, e.t, w.start, CASE WHEN e.t - w.shown >= 3000000 THEN e.t ELSE w.shown END, e.t - w.shown >= 3000000 FROM w JOIN e ON e.user_id = w.user_id AND e.k = w.k + 1)
+       SELECT user_id AS "key", t AS at_ms, CAST(floor(k * 5000 / (t - start) + 0.5) AS BIGINT) AS rate FROM w WHERE visible AND t - start >= 100""",
+)
+def stream_rates(spark, sf_dir):
+    rows = stateful.file_stream(spark, f"{sf_dir}/events.parquet").select("user_id", (F.col("event_id") * 1000).alias("at"), F.lit(5).alias("n"))
+    return stateful.run_once(stateful.rates(rows, "user_id", "at", "n", every_ms=3_000_000), "append", *_places(spark)).drop("batch_")
+
+
+@query("stream_tagged", "SELECT event_id, 'err' AS stream FROM events WHERE event_type = 'error' UNION ALL SELECT event_id, 'out' FROM events WHERE event_type = 'view'")
+def stream_tagged(spark, sf_dir):
+    rows = stateful.file_stream(spark, f"{sf_dir}/events.parquet")
+    both = stateful.tagged(rows.filter("event_type = 'view'"), rows.filter("event_type = 'error'")).select("event_id", "stream")
+    return stateful.run_once(both, "append", *_places(spark)).drop("batch_")
+
+
+@query("stream_dispatch", "SELECT event_id, CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) % 2 = 0 THEN 'even' ELSE 'odd' END AS route FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+def stream_dispatch(spark, sf_dir):
+    rows = stateful.file_stream(spark, f"{sf_dir}/events.parquet").withColumn("k", F.try_variant_get(F.try_parse_json("props"), "$.k", "int")).filter("k IS NOT NULL")
+    return stateful.run_once(rows.select("event_id", F.when(F.col("k") % 2 == 0, "even").otherwise("odd").alias("route")), "append", *_places(spark)).drop("batch_")
+
+
+@query("playlists", "SELECT p_brand AS playlist, row_number() OVER (PARTITION BY p_brand ORDER BY t) AS pos, t AS line FROM (SELECT p_brand, p_name || ' ' || p_partkey AS t FROM part) UNION ALL SELECT DISTINCT p_brand, 0, '#EXTM3U' FROM part")
+def playlists(spark, sf_dir):
+    return sinks.playlist_lines(table(spark, sf_dir, "part").select("p_brand", F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("t")), "p_brand", "t")
+
+
+@query("benchmark_json", """SELECT o_orderstatus, '{"config":{"model":"m","requests":4},"results":{"n":' || count(*) || '}}' AS doc FROM orders GROUP BY 1""")
+def benchmark_json(spark, sf_dir):
+    runs = table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    return runs.select("o_orderstatus", sinks.benchmark_json({"model": "m", "requests": 4}, ["n"]).alias("doc"))
+
+
+@query("console_numbers", "SELECT o_orderkey, lpad(CASE WHEN length(v::VARCHAR) <= 5 THEN v::VARCHAR WHEN length((v // 1024)::VARCHAR) <= 4 THEN (v // 1024) || 'k' WHEN length((v // 1048576)::VARCHAR) <= 4 THEN (v // 1048576) || 'M' ELSE (v // 1073741824) || 'G' END, 5, ' ') AS shown FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) * (o_orderkey % 1000) AS v FROM orders)")
+def console_numbers(spark, sf_dir):
+    v = F.floor("o_totalprice") * (F.col("o_orderkey") % 1000)
+    return table(spark, sf_dir, "orders").select("o_orderkey", sinks.fitted(v, 5).alias("shown"))

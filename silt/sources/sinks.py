@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from silt.functions import text as T
 
@@ -57,3 +58,39 @@ def bar_line(key: str, count: str) -> Column:
 def by_stream(df: DataFrame, path: str, stream: str, line: Column) -> None:
     """One folder a stream."""
     df.select(F.col(stream), line.alias("value")).write.partitionBy(stream).text(path)
+
+
+def benchmark_json(settings: dict[str, str | int | float], results: Sequence[str]) -> Column:
+    """A benchmark's settings and the row's results as one JSON document."""
+    return F.to_json(F.struct(F.struct(*[F.lit(v).alias(k) for k, v in settings.items()]).alias("config"), F.struct(*results).alias("results")))
+
+
+def binary_files(df: DataFrame, folder: str, name: str, content: str) -> None:
+    """One file a row, in a folder that all executors see; a name that repeats is written again."""
+
+    def put(rows) -> None:
+        import os
+
+        os.makedirs(folder, exist_ok=True)
+        for n, c in rows:
+            with open(os.path.join(folder, n), "wb") as f:
+                f.write(bytes(c or b""))
+
+    df.select(name, content).foreachPartition(put)
+
+
+def playlist_lines(df: DataFrame, lists: str, track: str) -> DataFrame:
+    """(playlist, pos, line): a header and the tracks of each playlist, in order of their names."""
+    at = Window.partitionBy(lists).orderBy(track)
+    rows = df.filter(F.col(track).isNotNull()).select(F.col(lists).alias("playlist"), F.row_number().over(at).cast("long").alias("pos"), F.col(track).alias("line"))
+    heads = df.select(F.col(lists).alias("playlist")).distinct().withColumn("pos", F.lit(0).cast("long")).withColumn("line", F.lit("#EXTM3U"))
+    return rows.unionByName(heads)
+
+
+def fitted(value: Column, width: int) -> Column:
+    """A whole number right-aligned in a width, in the largest of the units "", k, M, G in which it needs no more room."""
+    out = F.lit("-" * width)
+    for step, unit in ((1 << 30, "G"), (1 << 20, "M"), (1 << 10, "k"), (1, "")):
+        shown = F.concat(F.floor(value / step).cast("string"), F.lit(unit))
+        out = F.when((value >= step if step > 1 else F.lit(True)) & (F.length(shown) <= width), shown).otherwise(out)
+    return F.lpad(out, width, " ")

@@ -70,6 +70,73 @@ class Pairs(StatefulProcessor):
         pass
 
 
+class Growth(StatefulProcessor):
+    """Gives up on a key once its value has stayed as it was for so many rows; a later change starts anew."""
+
+    def __init__(self, least: int):
+        self.least = least
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("growth", "last string, waits long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        last, waits = self.state.get() if self.state.exists() else (None, -1)
+        out = []
+        for at, value in pd.concat(list(rows)).sort_values("at")[["at", "value"]].itertuples(index=False):
+            waits = waits + 1 if waits >= 0 and value == last else 0
+            last = value
+            if waits == self.least:
+                out.append((key[0], int(at)))
+        self.state.update((last, waits))
+        yield pd.DataFrame({"key": [o[0] for o in out], "at": pd.array([o[1] for o in out], "Int64")})
+
+    def close(self) -> None:
+        pass
+
+
+class Rate(StatefulProcessor):
+    """Amount a second since a key's first row, shown at most once in ``every_ms``; rows before ``from_ms`` show nothing but hold the next ones back."""
+
+    def __init__(self, every_ms: int, from_ms: int):
+        self.every_ms, self.from_ms = every_ms, from_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("rate", "start long, shown long, amount long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        start, shown, total = self.state.get() if self.state.exists() else (None, None, 0)
+        out = []
+        for at, amount in pd.concat(list(rows)).sort_values("at")[["at", "amount"]].itertuples(index=False):
+            at, total = int(at), total + int(amount)
+            start = at if start is None else start
+            if shown is None or at - shown >= self.every_ms:
+                shown = at
+                if total > 0 and at - start >= self.from_ms:
+                    out.append((key[0], at, int(total * 1000 / (at - start) + 0.5)))
+        self.state.update((start, shown, total))
+        yield pd.DataFrame({"key": [o[0] for o in out], "at_ms": pd.array([o[1] for o in out], "Int64"), "rate": pd.array([o[2] for o in out], "Int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def growth(stream: DataFrame, key: str, at: str, value: str, least: int) -> DataFrame:
+    """(key, at): where a key's value had stayed as it was for ``least`` rows."""
+    rows = stream.select(F.col(key).alias("key"), F.col(at).cast("long").alias("at"), F.col(value).cast("string").alias("value"))
+    return rows.groupBy("key").transformWithStateInPandas(Growth(least), f"key {rows.schema['key'].dataType.simpleString()}, at long", "Append", "None")
+
+
+def rates(stream: DataFrame, key: str, at_ms: str, amount: str, every_ms: int = 250, from_ms: int = 100) -> DataFrame:
+    """(key, at_ms, rate) as they come."""
+    rows = stream.select(F.col(key).alias("key"), F.col(at_ms).cast("long").alias("at"), F.col(amount).cast("long").alias("amount")).dropna()
+    return rows.groupBy("key").transformWithStateInPandas(Rate(every_ms, from_ms), f"key {rows.schema['key'].dataType.simpleString()}, at_ms long, rate long", "Append", "None")
+
+
+def tagged(a: DataFrame, b: DataFrame, names: tuple[str, str] = ("out", "err")) -> DataFrame:
+    """Two streams as one, each row marked; their order is that of arrival."""
+    return a.withColumn("stream", F.lit(names[0])).unionByName(b.withColumn("stream", F.lit(names[1])))
+
+
 def moments(stream: DataFrame, key: str, x: str) -> DataFrame:
     return stream.select(F.col(key).alias("key"), F.col(x).alias("x")).groupBy("key").transformWithStateInPandas(Moments(), "key string, n long, mean double, sd double", "Update", "None")
 
