@@ -295,3 +295,103 @@ def json_leaves(docs: pd.Series) -> pd.Series:
         return out
 
     return docs.map(leaves)
+
+
+#: The eight terminal colours, plain and bright.
+COLOURS = ("#000000", "#aa0000", "#00aa00", "#aa5500", "#0000aa", "#aa00aa", "#00aaaa", "#aaaaaa")
+BRIGHT = ("#555555", "#ff5555", "#55ff55", "#ffff55", "#5555ff", "#ff55ff", "#55ffff", "#ffffff")
+
+
+def _palette(n: int) -> str:
+    """Colour n of 256: 16 of the terminal, a cube of six steps a side, 24 greys."""
+    if n < 16:
+        return (COLOURS + BRIGHT)[n]
+    if n > 231:
+        return "#" + f"{(n - 232) * 10 + 8:02x}" * 3
+    return "#" + "".join(f"{(v * 40 + 55) * (v > 0):02x}" for v in ((n - 16) // 36, (n - 16) // 6 % 6, (n - 16) % 6))
+
+
+def _styled(state: dict[str, str], codes: list[int]) -> dict[str, str]:
+    state, at = dict(state), 0
+    while at < len(codes):
+        c = codes[at]
+        name = "background-color" if c in range(40, 50) or c in range(100, 108) else "color"
+        if c == 0:
+            state = {}
+        elif c in (1, 3, 4):
+            k, v = {1: ("font-weight", "bold"), 3: ("font-style", "italic"), 4: ("text-decoration", "underline")}[c]
+            state[k] = v
+        elif c in (22, 23, 24):
+            state.pop({22: "font-weight", 23: "font-style", 24: "text-decoration"}[c], None)
+        elif c in (39, 49):
+            state.pop(name, None)
+        elif c in (38, 48) and codes[at + 1 : at + 2] == [5] and len(codes) > at + 2:
+            state[name] = _palette(codes[at + 2] % 256)
+            at += 2
+        elif 30 <= c <= 37 or 40 <= c <= 47:
+            state[name] = COLOURS[c % 10]
+        elif 90 <= c <= 97 or 100 <= c <= 107:
+            state[name] = BRIGHT[c % 10]
+        at += 1
+    return state
+
+
+def _ansi_html(text: str) -> str:
+    out, state, at = [], {}, 0
+    text = re.sub("\x1b\\][^\x07\x1b]*(?:\x07|\x1b\\\\)", "", text)  # titles and links
+    pieces = re.split("\x1b\\[([0-9;?]*)([A-Za-z])", text)
+    for at in range(0, len(pieces), 3):
+        if at and pieces[at - 1] == "m":
+            state = _styled(state, [int(c or 0) for c in pieces[at - 2].split(";")] if "?" not in pieces[at - 2] else [])
+        if pieces[at]:
+            style = ";".join(f"{k}:{v}" for k, v in sorted(state.items()))
+            body = html.escape(pieces[at])
+            out.append(f'<span style="{style}">{body}</span>' if style else body)
+    return "".join(out)
+
+
+#: Terminal output as HTML: colours and styles become spans, other control sequences go. Cursor movements are not followed.
+ansi_html = _decoder(_ansi_html)
+
+
+def _laid_out(text: str, pad: int = 0) -> str:
+    def close(at: int) -> int:
+        depth = 0
+        for k in range(at, len(text)):
+            depth += (text[k] == "<") - (text[k] == ">")
+            if depth == 0:
+                return k
+        return -1
+
+    parts, at = [""], 0
+    while at < len(text):
+        end = close(at) if text[at] == "<" else -1
+        if end > 0:
+            inner, depth, begin = [], 0, at + 1
+            for k in range(at + 1, end + 1):
+                if depth == 0 and (text[k] == "," or k == end):
+                    inner.append(text[begin:k])
+                    begin = k + 1
+                depth += (text[k] == "<") - (text[k] == ">")
+            if len(inner) == 1:
+                parts[-1] += text[at : end + 1]
+            else:
+                gap = "\n" + " " * (pad + 2)
+                parts[-1] += "<" + gap + f",{gap}".join(_laid_out(p.removeprefix(" ") if i else p, pad + 2) for i, p in enumerate(inner)) + "\n" + " " * pad + ">"
+            at = end + 1
+        elif text[at] == ",":
+            at += 2 if text[at + 1 : at + 2] == " " else 1
+            parts.append("")
+        else:
+            parts[-1] += text[at]
+            at += 1
+    return (",\n" + " " * pad).join(parts)
+
+
+#: Template types over several lines, two blanks a level; a template of one argument stays on its line.
+laid_out = _decoder(_laid_out)
+
+
+def visible(text: Column, width: int) -> Column:
+    """The first so many visible characters of a line; colours do not count and go."""
+    return F.left(without_colours(text), F.lit(width))

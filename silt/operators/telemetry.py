@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from importlib import import_module
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,11 @@ class Views:
 
         return put
 
+    def load(self, modules: Sequence[str]) -> None:
+        """Views of other modules: each is imported, and its ``register(views)`` called."""
+        for module in modules:
+            import_module(module).register(self)
+
     def chosen(self, name: str, columns: Sequence[str]) -> str:
         """The first of ``name`` and its stand-ins that the columns allow."""
         for candidate in (name, *self.instead.get(name, ())):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from silt.functions import media
 from silt.functions import text as T
 from silt.operators import lines
 from silt.operators import similarity as sim
@@ -274,3 +275,21 @@ def validation_report(spark, sf_dir):
 @query("hottest_by_day", "SELECT user_id, CAST(ts AS DATE) AS day, max(CAST(floor(value) AS BIGINT)) AS hottest FROM events GROUP BY 1, 2")
 def hottest_by_day(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.max(F.floor("value")).alias("hottest"))
+
+
+@query("lit_frames", "SELECT label, min(vec_id) AS vec_id FROM embeddings WHERE list_avg(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 1000)) >= 10 GROUP BY 1")
+def lit_frames(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").withColumn("pixels", F.transform("embedding", lambda x: x.cast("double") * 1000))
+    return media.first_lit(e, ["label"], [F.col("vec_id")], "pixels").select("label", "vec_id")
+
+
+@query("template_lines", "SELECT p_partkey, 'map<' || chr(10) || '  ' || p_brand || ',' || chr(10) || '  vec<' || p_size || '>' || chr(10) || '>' AS laid FROM part")
+def template_lines(spark, sf_dir):
+    kind = F.concat(F.lit("map<"), F.col("p_brand"), F.lit(", vec<"), F.col("p_size").cast("string"), F.lit(">>"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.laid_out(kind).alias("laid"))
+
+
+@query("terminal_html", """SELECT p_partkey, '<span style="color:#00aa00;font-weight:bold">' || p_name || '</span> ' || p_brand AS html, substr(p_name || ' ' || p_brand, 1, 9) AS seen FROM part""")
+def terminal_html(spark, sf_dir):
+    shown = F.concat(F.lit("\x1b]0;title\x07\x1b[1;32m"), "p_name", F.lit("\x1b[0m\x1b[K "), "p_brand")
+    return table(spark, sf_dir, "part").select("p_partkey", T.ansi_html(shown).alias("html"), T.visible(F.concat(F.lit("\x1b[1;32m"), "p_name", F.lit("\x1b[0m "), "p_brand"), 9).alias("seen"))

@@ -20,6 +20,13 @@ def file_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(path) if not name.endswith(".parquet") else spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
 
+def changed_files(spark: SparkSession, folder: str, pattern: str = "*", at_once: int | None = None) -> DataFrame:
+    """(path, modified) of files as they come or change, each once a modification; ``at_once`` bounds a batch."""
+    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern)
+    reader = reader.option("maxFilesPerTrigger", at_once) if at_once else reader
+    return reader.load(folder).select("path", F.col("modificationTime").alias("modified"))
+
+
 class Moments(StatefulProcessor):
     """Count, mean and sum of squares of each key, updated batch by batch."""
 

@@ -66,3 +66,46 @@ def test_binary_files(spark, tmp_path):
     df = spark.createDataFrame([("a.bin", bytearray(b"\x00\x01")), ("b.bin", None)], "n string, c binary")
     sinks.binary_files(df, str(tmp_path / "out"), "n", "c")
     assert (tmp_path / "out/a.bin").read_bytes() == b"\x00\x01" and (tmp_path / "out/b.bin").read_bytes() == b""
+
+
+def test_perceptual_hash_and_black_frames(spark):
+    import numpy as np
+
+    from silt.functions import media
+
+    rng = np.random.default_rng(1)
+    smooth = np.kron(rng.random((8, 8)), np.ones((4, 4))) * 255
+    near, other = smooth + rng.standard_normal((32, 32)), rng.random((32, 32)) * 255
+    rows = [(i, x.ravel().tolist()) for i, x in enumerate((smooth, near, other))] + [(3, [1.0]), (4, None)]
+    df = spark.createDataFrame(rows, "i int, p array<double>")
+    got = {r.i: r.h for r in df.select("i", media.perceptual_hash("p").alias("h")).collect()}
+    x = np.arange(32)
+    low = [sum(near[a, b] * np.cos(np.pi * u * (2 * a + 1) / 64) * np.cos(np.pi * v * (2 * b + 1) / 64) for a in x for b in x) for u in range(8) for v in range(8)]
+    assert [got[1] >> (63 - k) & 1 for k in range(64)] == [int(v > np.median(low)) for v in low]
+    apart = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count()
+    assert apart(got[0], got[1]) <= 10 < apart(got[0], got[2]) and got[3] is None and got[4] is None
+    films = spark.createDataFrame([("a", 0, [0, 9]), ("a", 1, [10, 10]), ("a", 2, [99]), ("b", 0, [0])], "f string, k int, p array<int>")
+    assert [(r.f, r.k) for r in media.first_lit(films, ["f"], [F.col("k")], "p").collect()] == [("a", 1)]
+
+
+def test_terminal_html_and_templates(spark):
+    from silt.functions import text as T
+
+    show = lambda t: spark.range(1).select(T.ansi_html(F.lit(t)).alias("x")).first().x
+    assert show("a\x1b[31m<b>\x1b[4;44mc\x1b[39md\x1b[me\x1b[2J") == 'a<span style="color:#aa0000">&lt;b&gt;</span><span style="background-color:#0000aa;color:#aa0000;text-decoration:underline">c</span><span style="background-color:#0000aa;text-decoration:underline">d</span>e'
+    assert show("\x1b[38;5;196mx\x1b[38;5;244my") == '<span style="color:#ff0000">x</span><span style="color:#808080">y</span>'
+    lay = lambda t: spark.range(1).select(T.laid_out(F.lit(t)).alias("x")).first().x
+    assert lay("a<b<c, d>>") == "a<b<c, d>>" and lay("f<x") == "f<x"
+    assert lay("m<k, p<x,y>, v<q>>, z") == "m<\n  k,\n  p<\n    x,\n    y\n  >,\n  v<q>\n>,\nz"
+
+
+def test_changed_files_come_once(spark, tmp_path):
+    from silt.streaming import stateful
+
+    (tmp_path / "in").mkdir()
+    for n in ("a.txt", "b.txt", "c.log"):
+        (tmp_path / "in" / n).write_text(n)
+    seen = lambda: sorted(os.path.basename(r.path) for r in stateful.run_once(stateful.changed_files(spark, str(tmp_path / "in"), "*.txt", 1), "append", str(tmp_path / "state"), str(tmp_path / "out")).collect())
+    assert seen() == ["a.txt", "b.txt"]
+    (tmp_path / "in/d.txt").write_text("d")
+    assert seen() == ["a.txt", "b.txt", "d.txt"]
