@@ -1,7 +1,7 @@
 """Language-model scoring by masked pseudo-likelihood.
 
 A small window network in numpy predicts every word from the words on both of its sides: each neighbour's vector is
-scaled by a vector of its position, the sum goes through tanh, and the word is reached by binary decisions on a path of a
+scaled by a vector of its position, the sum goes through x / (1 + |x|), and the word is reached by binary decisions on a path of a
 Huffman tree, each a logistic unit. A document's score is the sum over its words of the log-probability of each word
 given its neighbours.
 
@@ -24,13 +24,14 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,10 +40,10 @@ from silt.llm.common import discard, map_texts, stored
 
 #: Leaves are at most ``MOST`` words, so that what is broadcast (words, paths, network) stays under 32 MB.
 LEAST, MOST, SHARED = 1024, 1 << 16, 1024
-SIDE, DIM = 2, 16
+SIDE, DIM = 2, 12
 OFFSETS = [k for k in range(-SIDE, SIDE + 1) if k]
 ROUNDS, RATE, DAMP = 12, 0.3, 32.0
-BATCH = 4096
+BATCH = 16384
 SLICE = 1 << 18  # numbers in a slice of the gradient
 BINS = 32  # of counts, to a doubling
 
@@ -52,6 +53,35 @@ def n_leaves(words: int) -> int:
     return min(MOST, max(LEAST, 4 * math.isqrt(words)))
 
 
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, parted by white space, and the number of the text of each."""
+    lists = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+    flat, parent = pc.list_flatten(lists), pc.list_parent_indices(lists)
+    some = pc.greater(pc.binary_length(flat), 0)
+    return flat.filter(some), parent.filter(some).to_numpy()
+
+
+def spelling(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The byte pairs (first * 256 + second) that spell the words, blanks at both ends, and where each word's begin."""
+    n = len(words)
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + n + 1] if n else np.zeros(1, np.int32)
+    lengths = np.diff(ends)
+    s = np.full(int(lengths.sum()) + n + 1, 32, np.uint16)
+    if len(s) > n + 1:
+        s[np.arange(len(s) - n - 1) + np.repeat(np.arange(1, n + 1), lengths)] = np.frombuffer(words.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    return s[:-1] * np.uint16(256) + s[1:], np.cumsum(lengths + 1) - lengths - 1
+
+
+class Tree(NamedTuple):
+    """A Huffman tree: nodes and signs of the paths to all leaves, a row a level; how long each is; the order of leaves from left to right; biases that give the counts."""
+
+    nodes: np.ndarray
+    signs: np.ndarray
+    length: np.ndarray
+    rank: np.ndarray
+    bias: np.ndarray
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """Words with leaves by descending count, all counts (the last one is of all other words), and ln p of byte pairs inside those."""
@@ -65,60 +95,66 @@ class Vocabulary:
         return len(self.words) + SHARED
 
     @cached_property
-    def ids(self) -> dict[str, int]:
-        return {w: i for i, w in enumerate(self.words)}
+    def leaves(self) -> pa.Array:
+        return pa.array(self.words, pa.string())
 
     @cached_property
-    def tree(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of each leaf: where its path begins; of each step: node and sign; of each node: the bias that gives the counts."""
+    def tree(self) -> Tree:
         n = len(self.counts)
         weight = [*np.maximum(self.counts, 1).tolist(), *[0] * (n - 1)]
         heap = [(w, i) for i, w in enumerate(weight[:n])]
         heapq.heapify(heap)
-        up, sign = [0] * (2 * n - 1), [0.0] * (2 * n - 1)
+        up, sign = np.zeros(2 * n - 1, np.int64), np.zeros(2 * n - 1, np.float32)
         bias = np.zeros(max(n - 1, 1), np.float32)
+        below: list[tuple[int, int]] = []
         for node in range(n, 2 * n - 1):
             (wa, a), (wb, b) = heapq.heappop(heap), heapq.heappop(heap)
             up[a] = up[b] = node
             sign[a], sign[b] = 1.0, -1.0
             bias[node - n] = math.log(wa / wb)
-            weight[node] = wa + wb
+            below.append((a, b))
             heapq.heappush(heap, (wa + wb, node))
-        begin, nodes, signs = [0], [], []
-        for leaf in range(n):
-            at = leaf
-            while at != 2 * n - 2:
-                nodes.append(up[at] - n)
-                signs.append(sign[at])
-                at = up[at]
-            begin.append(len(nodes))
-        return np.array(begin, np.int64), np.array(nodes, np.int32), np.array(signs, np.float32), bias
+        depth, rank, todo = np.zeros(2 * n - 1, np.int32), np.zeros(n, np.int32), [2 * n - 2]
+        seen = 0
+        while todo:  # leaves from left to right
+            at = todo.pop()
+            if at < n:
+                rank[at], seen = seen, seen + 1
+            else:
+                depth[list(below[at - n])] = depth[at] + 1
+                todo += below[at - n]
+        nodes, signs = np.zeros((int(depth.max()), n), np.int32), np.zeros((int(depth.max()), n), np.float32)
+        leaf = at = np.arange(n)
+        while len(leaf := leaf[depth[at] > 0]):
+            at = at[depth[at] > 0]
+            nodes[depth[at] - 1, leaf], signs[depth[at] - 1, leaf] = up[at] - n, sign[at]
+            at = up[at]
+        return Tree(nodes, signs, depth[:n].copy(), rank, bias)
 
     @cached_property
     def ln_spelt(self) -> float:
         """ln of the share of spelt strings that have no leaf."""
-        return math.log1p(-min(math.fsum(math.exp(self.spelt([w])) for w in self.words), 1 - 1e-9))
-
-    def spelt(self, words: list[str]) -> float:
-        """Sum of ln p of the spellings of some words."""
-        if not words:
-            return 0.0
-        b = np.frombuffer(f" {' '.join(words)} ".encode("utf-8", "surrogatepass"), np.uint8)
-        return float(self.pairs[b[:-1], b[1:]].sum())
-
-    def encode(self, text: str) -> tuple[np.ndarray, int, float]:
-        """Ids of the words and ``SIDE`` blanks; the number of words; the sum of ln p(word | no leaf) of those without a leaf."""
-        get, first = self.ids.get, len(self.words)
-        other: list[str] = []
-        words = text.split()
-        out = np.full(len(words) + SIDE, self.blank, np.int32)
-        for i, w in enumerate(words):
-            k = get(w)
-            if k is None:
-                k = first + xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass")) % SHARED
-                other.append(w)
-            out[i] = k
-        return out, len(words), self.spelt(other) - len(other) * self.ln_spelt
+        return math.log1p(-min(math.fsum(np.exp(self.spelt(self.leaves))), 1 - 1e-9))
+
+    def spelt(self, words: pa.Array) -> np.ndarray:
+        """ln p of the spelling of each word."""
+        if not len(words):
+            return np.zeros(0)
+        codes, first = spelling(words)
+        return np.add.reduceat(self.pairs.reshape(-1)[codes], first)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the words of all texts, ``SIDE`` blanks behind each text; the words of each; the sums of ln p(word | no leaf) of those without a leaf."""
+        words, parent = words_of(pa.array(texts, pa.string()))
+        ids = pc.fill_null(pc.index_in(words, value_set=self.leaves), -1).to_numpy(zero_copy_only=False).copy()
+        rare = np.flatnonzero(ids < 0)
+        other = words.take(pa.array(rare))
+        kinds = other.dictionary_encode()
+        shared = np.array([xxhash.xxh32_intdigest(w) % SHARED for w in kinds.dictionary.cast(pa.binary()).to_pylist()], np.int32)
+        ids[rare] = len(self.words) + shared[kinds.indices.to_numpy()] if len(rare) else 0
+        out = np.full(len(words) + SIDE * len(texts), self.blank, np.int32)
+        out[np.arange(len(words)) + SIDE * parent] = ids
+        return out, np.bincount(parent, minlength=len(texts)), np.bincount(parent[rare], self.spelt(other) - self.ln_spelt, len(texts))
 
 
 Net = dict[str, np.ndarray]
@@ -127,7 +163,7 @@ Net = dict[str, np.ndarray]
 def initial(voc: Vocabulary, seed: int = 11) -> Net:
     rng = np.random.default_rng(seed)
     f = lambda *s: rng.standard_normal(s).astype(np.float32)
-    bias = voc.tree[3]
+    bias = voc.tree.bias
     net = {"emb": f(voc.blank + 1, DIM) * 0.5, "place": 1 + f(len(OFFSETS), DIM) * 0.3, "bias": np.zeros(DIM, np.float32), "out": np.zeros((len(bias), DIM), np.float32), "out_b": bias.copy()}
     net["emb"][voc.blank] = 0
     return net
@@ -136,21 +172,24 @@ def initial(voc: Vocabulary, seed: int = 11) -> Net:
 def hidden(net: Net, ids: np.ndarray, s: int, e: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The words at s to e: which of these are no blanks, their hidden values, and the vectors from s - SIDE to e + SIDE."""
     near = net["emb"][ids[s - SIDE : e + SIDE]]
-    h = np.broadcast_to(net["bias"], (e - s, DIM)).copy()
-    for j, k in enumerate(OFFSETS):
-        h += near[SIDE + k : SIDE + k + e - s] * net["place"][j]
     kept = np.flatnonzero(ids[s:e] != len(net["emb"]) - 1)
-    return kept, np.tanh(h[kept]), near
+    h = near[: e - s] * net["place"][0]
+    part = np.empty_like(h)
+    for j, k in enumerate(OFFSETS[1:], 1):
+        h += np.multiply(near[SIDE + k : SIDE + k + e - s], net["place"][j], out=part)
+    h += net["bias"]
+    h /= np.abs(h, out=part) + 1
+    return kept, h[kept], near
 
 
-def steps(voc: Vocabulary, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All steps of the paths to these ids: nodes, signs, and of each id how many and where they begin."""
-    begin, nodes, signs, _ = voc.tree
-    leaf = np.minimum(ids, len(voc.words))
-    n = (begin[1:] - begin[:-1])[leaf]
-    first = np.cumsum(n) - n
-    at = np.repeat(begin[leaf] - first, n) + np.arange(n.sum())
-    return nodes[at], signs[at], n, first
+def levels(voc: Vocabulary, leaf: np.ndarray) -> Iterator[tuple[np.ndarray | slice, np.ndarray, np.ndarray]]:
+    """Level by level from the root: which of the leaves (ascending in rank) have a step there, its node, and its sign. Equal nodes are neighbours."""
+    n = voc.tree.length[leaf]
+    short, deepest = int(n.min()), int(n.max())
+    for k in range(deepest):
+        on = slice(None) if k < short else np.flatnonzero(n > k)
+        at = leaf[on]
+        yield on, voc.tree.nodes[k][at], voc.tree.signs[k][at]
 
 
 def windows(ids: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -165,9 +204,13 @@ def log_probs(voc: Vocabulary, net: Net, ids: np.ndarray) -> np.ndarray:
     for s, e in windows(ids):
         kept, h, _ = hidden(net, ids, s, e)
         if len(kept):
-            node, sign, n, first = steps(voc, ids[s:e][kept])
-            z = np.einsum("ij,ij->i", net["out"][node], np.repeat(h, n, axis=0)) + net["out_b"][node]
-            out[s + kept] = np.add.reduceat(-np.logaddexp(np.float32(0), -sign * z), first, dtype=np.float64)
+            leaf = np.minimum(ids[s:e][kept], len(voc.words))
+            order = np.argsort(voc.tree.rank[leaf])
+            h, lp = h[order], np.zeros(len(kept), h.dtype)
+            for on, node, sign in levels(voc, leaf[order]):
+                z = (np.einsum("ij,ij->i", net["out"][node], h[on]) + net["out_b"][node]) * sign
+                lp[on] -= np.log(1 + np.exp(-np.maximum(z, -80)))
+            out[s + kept[order]] = lp
     return out
 
 
@@ -181,7 +224,7 @@ def _by(key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 def zeros(voc: Vocabulary) -> Net:
     """An empty gradient: that of the network, and how often each node and each vector took part."""
-    n, m = voc.blank + 1, len(voc.tree[3])
+    n, m = voc.blank + 1, len(voc.tree.bias)
     shapes = {"emb": (n, DIM), "place": (len(OFFSETS), DIM), "bias": (DIM,), "out": (m, DIM), "out_b": (m,), "emb_n": (n,), "out_n": (m,), "words": (1,)}
     return {k: np.zeros(s, np.float32) for k, s in shapes.items()}
 
@@ -194,17 +237,26 @@ def add_gradient(voc: Vocabulary, net: Net, ids: np.ndarray, into: Net) -> None:
         kept, h, near = hidden(net, ids, s, e)
         if not len(kept):
             continue
-        node, sign, n, first = steps(voc, ids[s:e][kept])
-        w, hs = net["out"][node], np.repeat(h, n, axis=0)
-        z = np.einsum("ij,ij->i", w, hs) + net["out_b"][node]
-        g = sign / (1 + np.exp(np.clip(sign * z, -60, 60)))
-        hs *= g[:, None]
-        at, total, times = _by(node, np.column_stack([hs, g]))
-        into["out"][at] += total[:, :DIM]
-        into["out_b"][at] += total[:, DIM]
-        into["out_n"][at] += times
-        w *= g[:, None]
-        dh = np.add.reduceat(w, first, axis=0) * (1 - h * h)
+        leaf = np.minimum(ids[s:e][kept], len(voc.words))
+        order = np.argsort(voc.tree.rank[leaf])
+        hs, ds, buffer = h[order], np.zeros_like(h), np.empty_like(h)
+        for on, node, sign in levels(voc, leaf[order]):
+            w, x = net["out"][node], hs[on]
+            z = (np.einsum("ij,ij->i", w, x) + net["out_b"][node]) * sign
+            g = sign / (1 + np.exp(np.clip(z, -80, 80)))
+            new = np.empty(len(node), bool)
+            new[0] = True
+            np.not_equal(node[1:], node[:-1], out=new[1:])
+            start = np.flatnonzero(new)
+            at = node[start]
+            into["out"][at] += np.add.reduceat(np.multiply(x, g[:, None], out=buffer[: len(g)]), start, axis=0)
+            into["out_b"][at] += np.add.reduceat(g, start)
+            into["out_n"][at] += np.diff(start, append=len(node))
+            w *= g[:, None]
+            ds[on] += w
+        dh = np.empty_like(ds)
+        dh[order] = ds
+        dh *= np.square(1 - np.abs(h))
         wide = np.zeros((e - s, DIM), np.float32)
         wide[kept] = dh
         grad = np.zeros((len(near), DIM + 1), np.float32)
@@ -241,17 +293,17 @@ def word_counts(df: DataFrame, text_col: str) -> DataFrame:
     """(word, n): every word of the corpus and its count, as a table in the shared folder."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter[str] = Counter()
+        held: list[pa.Array] = []
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
-            total.clear()
-            return out
+            seen = pc.value_counts(pa.chunked_array(held, pa.string()))
+            held.clear()
+            return pa.RecordBatch.from_arrays([seen.field("values"), seen.field("counts")], names=["word", "n"])
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                total.update((t or "").split())
-                if len(total) > 200_000:
+            for text in (batch.column(0).slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                held.append(words_of(text.cast(pa.string()))[0])
+                if sum(map(len, held)) > 2_000_000:
                     yield flush()
         yield flush()
 
@@ -276,14 +328,12 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     own = sorted((-r.n, r.word) for r in told.filter(owned).select("word", "n").collect())
 
     def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
+        total = np.zeros(1 << 16)
         for batch in batches:
-            raw = [f"{w} ".encode("utf-8", "surrogatepass") for w in batch.column(0).to_pylist()]
-            if raw:
-                b = np.frombuffer(b" " + b"".join(raw), np.uint8).astype(np.int64)
-                np.add.at(total, b[:-1] * 256 + b[1:], np.repeat(batch.column(1).to_numpy(), [len(r) for r in raw]))
+            codes, first = spelling(batch.column(0).cast(pa.string()))
+            total += np.bincount(codes, np.repeat(batch.column(1).to_numpy(), np.diff(first, append=len(codes))), 1 << 16)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["pair", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], names=["pair", "n"])
 
     table = np.ones((256, 256))  # every pair once more than it is seen, so no word is impossible
     table[32, 32] = 0  # words are not empty
@@ -297,11 +347,13 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
 def encoded(df: DataFrame, id_col: str, text_col: str, voc: Vocabulary) -> DataFrame:
     """(``id_col``, ids, n_words, spelt, round_) of every row, stored; each round's rows are in a folder of their own."""
+    _ = voc.leaves, voc.tree, voc.ln_spelt  # made once, and sent along
     shared = df.sparkSession.sparkContext.broadcast(voc)
 
-    def fn(texts: list[str]) -> dict[str, list]:
-        ids, n, spelt = zip(*map(shared.value.encode, texts), strict=True)
-        return {"ids_": [i.tobytes() for i in ids], "n_words": list(n), "spelt_": list(spelt)}
+    def fn(texts: list[str]) -> dict[str, list | pa.Array]:
+        ids, n, spelt = shared.value.encode(texts)
+        ends = np.concatenate([[0], 4 * np.cumsum(n + SIDE)]).astype(np.int32)
+        return {"ids_": pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(ids)]), "n_words": pa.array(n, pa.int64()), "spelt_": pa.array(spelt, pa.float64())}
 
     kind = df.schema[id_col].dataType.simpleString()
     out = map_texts(df, [id_col], text_col, fn, {"ids_": pa.binary(), "n_words": pa.int64(), "spelt_": pa.float64()}, f"`{id_col}` {kind}, ids_ binary, n_words long, spelt_ double")
@@ -314,7 +366,7 @@ def _joined(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
     for i, raw in enumerate(column):
         ids.append(np.frombuffer(raw.as_buffer(), np.int32))
         n += len(ids[-1])
-        if n >= 8 * BATCH or i + 1 == len(column):
+        if n >= 2 * BATCH or i + 1 == len(column):
             ends = SIDE + np.cumsum([len(x) for x in ids])
             yield at, i + 1, np.concatenate([ids[-1][-SIDE:], *ids]), ends
             at, ids, n = i + 1, [], 0
