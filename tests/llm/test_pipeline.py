@@ -11,7 +11,7 @@ def tables(spark, tmp_path_factory):
     rng = np.random.default_rng(8)
     word = lambda: "".join(rng.choice(list("abcdefghij"), rng.integers(2, 9)))
     prose = lambda n: " ".join(word() for _ in range(n))
-    passage = prose(120)
+    passage = prose(55)
     rows = []
     for i in range(40):
         rows.append((i, prose(100), "en", f"s{i % 7}"))
@@ -61,3 +61,18 @@ def test_stages(spark, tables):
 
 def test_run(spark, tables):
     assert cp.run(spark, tables[0]).count() >= 49
+
+
+def test_stages_on_an_empty_table_and_very_long_texts(spark, tables, tmp_path):
+    d, _ = tables
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in rng.integers(0, 9000, 200_000)]
+    long = [(1, " ".join(words), "en", "s1"), (2, " ".join(words[:90_000]) + " secret: q7Zk29xLw0PvTr8sYb3N", "en", "s2"), (3, None, None, None)]
+    rows = spark.createDataFrame([(*r, len(r[1] or ""), None) for r in long], docs.schema)
+    for some, ids in ((docs.limit(0), []), (rows, [1, 2])):
+        kept = some
+        for name, stage in cp.STAGES[:-1]:
+            kept = stage(spark, kept, d)
+            assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.select("doc_id").collect()) == ids, name
+        assert sorted({r.doc_id for r in cp.best_fit(spark, kept, d).collect()}) == ids

@@ -171,3 +171,35 @@ def test_odd_tables(spark, tmp_path, name):
         got = queries.QUERIES[name](spark, at)
         assert sorted(r.doc_id for r in got.select("doc_id").collect()) == sorted(r[0] for r in rows[:n])
         assert json.dumps(got.columns).count("doc_id") == 1
+
+
+@pytest.fixture(scope="module")
+def long_table(spark, tmp_path_factory):
+    """A text of over a megabyte, one that shares half of it, and a short one."""
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in rng.integers(0, 5000, 250_000)]
+    long = " ".join(words) + " password=hunter2hunter2"
+    rows = [(1, long), (2, " ".join(words[: len(words) // 2])), (3, "a short text of ten words that has no end.")]
+    at = str(tmp_path_factory.mktemp("long"))
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 1, 0), (3, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    return at, dict(rows)
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_very_long_texts(spark, long_table, name):
+    at, texts = long_table
+    rows = queries.QUERIES[name](spark, at).collect()
+    got = {r.doc_id: r for r in rows}
+    assert set(got) == set(texts)
+    if name.startswith("op1_"):
+        assert got[1].n_words == 250_001
+    elif name.startswith("op2_"):
+        a = len(texts[1])
+        assert (got[1].n_assign, got[1].spans, got[2].n_assign) == (1, f"assign:{a - 23}:{a}", 0)
+    elif name.startswith("op8_"):
+        assert got[1].n_words == 250_001 and got[1].kept and not got[3].base_failed
+    elif name.startswith("op9_"):
+        assert sum(r.length for r in rows if r.doc_id == 1) == len(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(texts[1], add_special_tokens=False).ids) + 1
+    elif name.startswith("op10_"):
+        assert (got[2].n_removed, got[2].n_spans, got[1].n_removed) == (len(texts[2]), 1, len(texts[2]))
