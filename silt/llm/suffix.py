@@ -13,7 +13,7 @@ bucket is sorted. Strings with equal cores are told apart by a multikey quicksor
 that are equal so far; equal neighbours repeat. A splitter never falls between equal keys here.
 
 A core that very many texts hold would meet in one bucket, so cores at the most common anchors go another way: equal
-records are folded into one with a count before the shuffle, and repeat whole; what is left of a contested core is taken
+runs, then equal records, are folded into one with a count before the shuffle, and repeat whole; what is left of a contested core is taken
 apart into its strings, each a suffix of its own (key, place of the core, wings). These are range-partitioned and sorted
 with splitters that may fall between equal ones; every bucket compares neighbours and gives its first and last record,
 and those are compared across the boundaries.
@@ -86,8 +86,8 @@ def anchors(raw: bytes, length: int, start: int = 0, stop: int | None = None) ->
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def records(raw: bytes, runs: list[dict], length: int) -> Iterator[tuple[bytes, int, bytes, int]]:
-    """(leading token and core digest, core start, wings, length of the left wing) of each chunk of each anchor."""
+def records(raw: bytes, runs: list[dict], length: int) -> Iterator[tuple[bytes, int, bytes, int, bool]]:
+    """(leading token and core digest, core start, wings, length of the left wing, whether the run is folded) of each chunk of each anchor."""
     digest = xxhash.xxh3_128_digest
     for r in runs:
         q, lo, hi = r["pos"], r["lo"], r["hi"]
@@ -95,7 +95,7 @@ def records(raw: bytes, runs: list[dict], length: int) -> Iterator[tuple[bytes,
             at = q - c * CHUNK
             first, last = max(lo, at - CHUNK + 1), min(hi, at)
             core = raw[at : at + length - CHUNK + 1]
-            yield core[:8] + digest(core), at, raw[first:at] + raw[at + len(core) : last + length], at - first
+            yield core[:8] + digest(core), at, raw[first:at] + raw[at + len(core) : last + length], at - first, r.get("folded", False)
 
 
 def multikey_equal(code: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
@@ -175,8 +175,8 @@ def spread(batch: pa.RecordBatch, k: int) -> list[list[tuple[int, int]]]:
 
 
 def emitter(length: int, column: int, splitters: list[bytes] | None = None) -> Callable:
-    """Rows (key, node, at, wings, left) of the runs in ``column`` beside node and text_; with splitters, the bucket of each."""
-    kinds = {"key": pa.binary(), "at": pa.int32(), "wings": pa.binary(), "left": pa.int32(), "node": pa.int64()}
+    """Records of the runs in ``column`` beside node and text_; with splitters, the bucket of each."""
+    kinds = {"key": pa.binary(), "at": pa.int32(), "wings": pa.binary(), "left": pa.int32(), "folded": pa.bool_(), "node": pa.int64()}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.array(splitters or [], "S24")
@@ -195,7 +195,7 @@ def emitter(length: int, column: int, splitters: list[bytes] | None = None) -> C
     return run
 
 
-EMITTED = "key binary, at int, wings binary, left int, node long"
+EMITTED = "key binary, at int, wings binary, left int, folded boolean, node long"
 FOUND = "node long, start int, stop int"
 
 
@@ -231,7 +231,7 @@ def in_buckets(held: DataFrame, length: int, n_runs: int) -> DataFrame:
             yield done(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
     dealt = held.select("node", "text_", "runs").mapInArrow(emitter(length, 2, splitters), EMITTED + ", bucket int")
-    return dealt.repartitionById(n, F.col("bucket")).sortWithinPartitions("key").drop("bucket").mapInArrow(bucket, FOUND)
+    return dealt.drop("folded").repartitionById(n, F.col("bucket")).sortWithinPartitions("key").drop("bucket").mapInArrow(bucket, FOUND)
 
 
 def strings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,13 +281,29 @@ def neighbours(length: int) -> Callable:
 
 def of_hot_cores(held: DataFrame, length: int) -> DataFrame:
     """(node, start, stop) of what repeats among the suffixes of the runs in ``hot``, where a core may have any number of records."""
+
+    def digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, text, runs in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                raw = text.encode("utf-8", "surrogatepass")
+                found = [pa.array([r[c] for r in runs], pa.int32()) for c in ("pos", "lo", "hi")]
+                digest = pa.array([xxhash.xxh3_128_digest(raw[r["lo"] : r["hi"] + length]) for r in runs], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([node] * len(runs), pa.int64()), *found, digest], names=["node", "pos", "lo", "hi", "digest"])
+
+    # runs that are the same throughout repeat whole; one of each kind goes on
+    hot = held.filter("hot IS NOT NULL")
+    runs = stored(hot.select("node", "text_", "hot").mapInArrow(digests, "node long, pos int, lo int, hi int, digest binary"), "hot-runs")
+    kinds = stored(runs.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("node", "pos", "lo", "hi")).alias("one")), "hot-run-kinds")
+    whole = joined_by_weight(runs, stored(kinds.filter("n > 1").select("digest", "n"), "hot-whole"), ["digest"], "n").select("node", F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"))
+    left = kinds.select("one.*", F.expr("n > 1 AS folded")).groupBy("node").agg(F.collect_list(F.struct("pos", "lo", "hi", "folded")).alias("left"))
+    # and so with their records
     kind = ["key", "left", "wings"]
-    rows = stored(held.filter("hot IS NOT NULL").select("node", "text_", "hot").mapInArrow(emitter(length, 2), EMITTED), "hot-records")
-    kinds = stored(rows.groupBy(*kind).agg(F.count("*").alias("n"), F.min(F.struct("node", "at")).alias("one")), "hot-kinds")
-    whole = joined_by_weight(rows, stored(kinds.filter("n > 1").select(*kind, "n"), "hot-whole"), kind, "n")
-    whole = whole.select("node", F.expr("at - left AS start"), F.expr(f"at - left + length(wings) + {length - CHUNK + 1} AS stop"))
+    rows = stored(hot.select("node", "text_").join(left, "node").select("node", "text_", "left").mapInArrow(emitter(length, 2), EMITTED), "hot-records")
+    kinds = stored(rows.groupBy(*kind).agg(F.count("*").alias("n"), F.bool_or("folded").alias("folded"), F.min(F.struct("node", "at")).alias("one")), "hot-kinds")
+    same = joined_by_weight(rows.filter("NOT folded").drop("folded"), stored(kinds.filter("n > 1").select(*kind, "n"), "hot-same"), kind, "n")
+    whole = whole.unionByName(same.select("node", F.expr("at - left AS start"), F.expr(f"at - left + length(wings) + {length - CHUNK + 1} AS stop")))
     contested = stored(kinds.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1"), "hot-cores")
-    rivals = joined_by_weight(kinds, contested, ["key"], "k", "left_semi").select("key", "wings", "left", "one.node", "one.at", F.expr("n > 1 AS folded"))
+    rivals = joined_by_weight(kinds, contested, ["key"], "k", "left_semi").select("key", "wings", "left", "one.node", "one.at", F.expr("folded OR n > 1 AS folded"))
     each = stored(rivals.mapInArrow(strings, "suffix binary, node long, start int, folded boolean"), "hot-strings")
     n = max(2, int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = each.repartitionByRange(n, "suffix", F.xxhash64("node", "start")).sortWithinPartitions("suffix")
