@@ -43,7 +43,7 @@ LENGTH, PASSAGE = 400, 240
 GRAM, CHUNK = 64, 33
 PART = 1 << 19  # starts that are handled at once in a very long text
 ROWS = 40_000  # records that are compared at once
-SAMPLED = 50_000  # anchors, about, whose suffixes give the splitters
+SAMPLED = 10_000  # anchors, about, whose suffixes give the splitters; of more than 400 buckets, 25 for each
 HOT_LEAST = 1000  # an anchor of at most so many places is never hot
 
 SPAN = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
@@ -206,9 +206,9 @@ def found_rows(node, start, stop) -> pa.RecordBatch:
 def in_buckets(held: DataFrame, length: int, n_runs: int) -> DataFrame:
     """(node, start, stop) of what repeats among the suffixes of the runs in ``runs``: sampled splitters, sorted buckets."""
     n = max(2, int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    some = F.expr(f"filter(runs, r -> pmod(xxhash64(node, r.pos), {max(1, n_runs // SAMPLED)}) = 0)")
+    some = F.expr(f"filter(runs, r -> pmod(xxhash64(node, r.pos), {max(1, n_runs // max(SAMPLED, 25 * n))}) = 0)")
     drawn = held.select("node", "text_", some.alias("runs")).filter("size(runs) > 0").mapInArrow(emitter(length, 2), EMITTED)
-    sample = sorted(bytes(r.key) for r in drawn.select("key").collect())  # about SAMPLED anchors, a few keys each
+    sample = sorted(drawn.select("key").toArrow().column(0).to_pylist())  # of each anchor a few keys
     splitters = [sample[len(sample) * i // n] for i in range(1, n)] if sample else []
 
     def bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,6 +234,36 @@ def in_buckets(held: DataFrame, length: int, n_runs: int) -> DataFrame:
     return dealt.drop("folded").repartitionById(n, F.col("bucket")).sortWithinPartitions("key").drop("bucket").mapInArrow(bucket, FOUND)
 
 
+def fold(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Of records: (node, start, stop) of those that are the same throughout as others, and one of each kind whose core another kind shares."""
+    kind = ["key", "left", "wings"]
+    kinds = stored(rows.groupBy(*kind).agg(F.count("*").alias("n"), F.bool_or("folded").alias("folded"), F.min(F.struct("node", "at")).alias("one")), "hot-kinds")
+    same = joined_by_weight(rows.filter("NOT folded").drop("folded"), stored(kinds.filter("n > 1").select(*kind, "n"), "hot-same"), kind, "n")
+    contested = stored(kinds.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1"), "hot-cores")
+    rivals = joined_by_weight(kinds, contested, ["key"], "k", "left_semi").select("key", "wings", "left", "one.node", "one.at", F.expr("folded OR n > 1 AS folded"))
+    return same.select("node", F.expr("at - left AS start"), F.expr(f"at - left + length(wings) + {length - CHUNK + 1} AS stop")), rivals
+
+
+FINE = 8
+
+
+def finer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of up to ``FINE`` strings each, from records of more: what these strings share of the wings joins the key."""
+    m = CHUNK - 1
+    for batch in batches:
+        for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+            out = []
+            for key, wings, left, node, at, folded in zip(*(part.column(k).to_pylist() for k in range(6)), strict=True):
+                least = left - (len(wings) - m)  # bytes left of the core in the last string; the first one has all
+                for g in range(least // FINE, left // FINE + 1):
+                    lo, hi = max(least, g * FINE), min(left, g * FINE + FINE - 1)
+                    shared = wings[left - g * FINE : left + max(0, m - g * FINE - FINE + 1)]
+                    out.append((key + bytes([g]) + shared, at, wings[left - hi : left - lo + m], hi, folded, node))
+            cols = zip(*out, strict=True)
+            types = (pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.bool_(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["key", "at", "wings", "left", "folded", "node"])
+
+
 def strings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All strings of records (key, wings, left, node, at, folded): (suffix, node, start, many); folded ones repeat anyway."""
     for batch in batches:
@@ -296,14 +326,11 @@ def of_hot_cores(held: DataFrame, length: int) -> DataFrame:
     kinds = stored(runs.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("node", "pos", "lo", "hi")).alias("one")), "hot-run-kinds")
     whole = joined_by_weight(runs, stored(kinds.filter("n > 1").select("digest", "n"), "hot-whole"), ["digest"], "n").select("node", F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"))
     left = kinds.select("one.*", F.expr("n > 1 AS folded")).groupBy("node").agg(F.collect_list(F.struct("pos", "lo", "hi", "folded")).alias("left"))
-    # and so with their records
-    kind = ["key", "left", "wings"]
+    # and so with their records, and then with finer ones
     rows = stored(hot.select("node", "text_").join(left, "node").select("node", "text_", "left").mapInArrow(emitter(length, 2), EMITTED), "hot-records")
-    kinds = stored(rows.groupBy(*kind).agg(F.count("*").alias("n"), F.bool_or("folded").alias("folded"), F.min(F.struct("node", "at")).alias("one")), "hot-kinds")
-    same = joined_by_weight(rows.filter("NOT folded").drop("folded"), stored(kinds.filter("n > 1").select(*kind, "n"), "hot-same"), kind, "n")
-    whole = whole.unionByName(same.select("node", F.expr("at - left AS start"), F.expr(f"at - left + length(wings) + {length - CHUNK + 1} AS stop")))
-    contested = stored(kinds.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1"), "hot-cores")
-    rivals = joined_by_weight(kinds, contested, ["key"], "k", "left_semi").select("key", "wings", "left", "one.node", "one.at", F.expr("folded OR n > 1 AS folded"))
+    same, rivals = fold(rows, length)
+    fine, rivals = fold(stored(rivals.mapInArrow(finer, EMITTED), "hot-fine"), length)
+    whole = whole.unionByName(same).unionByName(fine)
     each = stored(rivals.mapInArrow(strings, "suffix binary, node long, start int, folded boolean"), "hot-strings")
     n = max(2, int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = each.repartitionByRange(n, "suffix", F.xxhash64("node", "start")).sortWithinPartitions("suffix")

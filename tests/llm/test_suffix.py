@@ -40,7 +40,7 @@ def corpus(seed):
     return texts + edited + [texts[3], texts[3], None, "", "short", "z" * 900, "ab" * 300, exact + "1", "2" + exact, texts[5] + texts[5]]
 
 
-@pytest.mark.parametrize(("seed", "hot"), [(1, False), (2, False), (1, True)])
+@pytest.mark.parametrize(("seed", "hot"), [(2, False), (1, True)])
 def test_equals_brute_force(spark, seed, hot, monkeypatch):
     """Also with every anchor taken for a hot one, so that all cores are taken apart into strings."""
     monkeypatch.setattr(suffix, "ROWS", 500)
