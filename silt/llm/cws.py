@@ -14,7 +14,6 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -128,29 +127,25 @@ def followed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     own = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text_"))
     n = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = own.select(F.percentile_approx("id", [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else None
-    bounds = np.array(sorted(set(cuts or []), reverse=True), np.float64)
+    bounds = np.array(sorted(set(cuts or [])))
 
-    def ranges(ids: pd.Series) -> np.ndarray:
-        x = ids.to_numpy(np.float64, na_value=np.nan)
-        at = np.searchsorted(-bounds, -x, side="left")
-        return np.where(np.isnan(x), len(bounds), at)  # nulls go to the last range, after its ids
+    def ranges(ids: pa.Array) -> np.ndarray:
+        """How many bounds are above each id; nulls go to the last range, after its ids."""
+        x = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        return np.where(ids.is_null().to_numpy(zero_copy_only=False), len(bounds), len(bounds) - np.searchsorted(bounds, x, side="right")).astype(np.int32)
 
-    @F.pandas_udf("int")
-    def part(ids: pd.Series) -> pd.Series:
-        return pd.Series(ranges(ids).astype(np.int32))
+    @F.arrow_udf("int")
+    def part(ids: pa.Array) -> pa.Array:
+        return pa.array(ranges(ids))
 
     heads = {r[0]: r[1] for r in own.select("id").groupBy(part("id").alias("p")).agg(F.max("id")).collect()}
     filled = sorted(heads)
     before = {p: filled[i - 1] for i, p in enumerate(filled)}
 
-    @F.pandas_udf("array<int>")
-    def dests(ids: pd.Series) -> pd.Series:
-        out = []
-        for p, x in zip(ranges(ids).astype(int).tolist(), ids.tolist(), strict=True):
-            head = heads.get(p)
-            first = x == head or (head is None and pd.isna(x))
-            out.append([2 * p, 2 * before[p] + 1] if first else [2 * p])
-        return pd.Series(out)
+    @F.arrow_udf("array<int>")
+    def dests(ids: pa.Array) -> pa.Array:
+        rows = zip(ranges(ids).tolist(), ids.to_pylist(), strict=True)
+        return pa.array([[2 * p, 2 * before[p] + 1] if x == heads.get(p) else [2 * p] for p, x in rows], pa.list_(pa.int32()))
 
     dealt = own.withColumn("d", F.explode(dests("id"))).select(F.expr("shiftright(d, 1)").alias("dest"), F.expr("d % 2").alias("extra"), "id", "text_")
     return dealt.repartition("dest").sortWithinPartitions("dest", "extra", F.col("id").desc_nulls_last(), F.col("text_").asc_nulls_first())

@@ -83,3 +83,18 @@ def test_whole_licenses_are_known(spark):
     documents = df.toPandas()
     want = duckdb.sql(licenses.oracle_sql()).df()
     assert dict(zip(want.doc_id, want.license_id.where(want.license_id.notna(), None))) == {i: k for i, _, k in rows}, documents
+
+
+def test_neighbours_of_ids_beyond_doubles(spark):
+    """Ids that differ by one above 2^53, a null among them, and columns with clashing names."""
+    base = 2**60
+    rows = [(base + i, f"a{i} b{i} c{i} d e f", i) for i in range(60)] + [(None, "null row here now", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fingerprint int").repartition(3)
+    got = {r.doc_id: r for r in cws.fingerprints(df, "doc_id", "text").collect()}
+    assert len(got) == 61
+    ids = [*range(base + 59, base - 1, -1), None]
+    text = {r[0]: r[1] for r in rows}
+    for k, i in enumerate(ids):
+        want = cws.edited(text[i], text[ids[(k + 1) % len(ids)]])
+        assert got[i].edited_sha256 == hashlib.sha256(want.encode()).hexdigest()
+    assert cws.fingerprints(df.limit(0), "doc_id", "text").count() == 0
