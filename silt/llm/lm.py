@@ -32,11 +32,10 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silt.llm.common import discard, map_texts, stored
+from silt.llm.common import discard, map_texts, mix64, stored
 
 #: Leaves are at most ``MOST`` words, so that what is broadcast (words, paths, network) stays under 32 MB.
 LEAST, MOST, SHARED = 1024, 1 << 16, 1024
@@ -45,6 +44,7 @@ OFFSETS = [k for k in range(-SIDE, SIDE + 1) if k]
 ROUNDS, RATE, DAMP = 12, 0.3, 32.0
 BATCH = 16384
 SLICE = 1 << 18  # numbers in a slice of the gradient
+FAN = 32
 BINS = 32  # of counts, to a doubling
 
 
@@ -72,6 +72,16 @@ def spelling(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return s[:-1] * np.uint16(256) + s[1:], np.cumsum(lengths + 1) - lengths - 1
 
 
+POWERS = mix64(np.arange(1, 1025, dtype=np.uint64))
+
+
+def shared_slots(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which of the shared vectors each spelt word has."""
+    place = np.arange(len(codes)) - np.repeat(first, np.diff(first, append=len(codes)))
+    h = np.add.reduceat(codes * POWERS[place % len(POWERS)], first)
+    return (mix64(h) % np.uint64(SHARED)).astype(np.int32)
+
+
 class Tree(NamedTuple):
     """A Huffman tree: nodes and signs of the paths to all leaves, a row a level; how long each is; the order of leaves from left to right; biases that give the counts."""
 
@@ -148,13 +158,14 @@ class Vocabulary:
         words, parent = words_of(pa.array(texts, pa.string()))
         ids = pc.fill_null(pc.index_in(words, value_set=self.leaves), -1).to_numpy(zero_copy_only=False).copy()
         rare = np.flatnonzero(ids < 0)
-        other = words.take(pa.array(rare))
-        kinds = other.dictionary_encode()
-        shared = np.array([xxhash.xxh32_intdigest(w) % SHARED for w in kinds.dictionary.cast(pa.binary()).to_pylist()], np.int32)
-        ids[rare] = len(self.words) + shared[kinds.indices.to_numpy()] if len(rare) else 0
+        codes, first = spelling(words.take(pa.array(rare)))
+        ln = np.zeros(0)
+        if len(rare):
+            ids[rare] = len(self.words) + shared_slots(codes, first)
+            ln = np.add.reduceat(self.pairs.reshape(-1)[codes], first) - self.ln_spelt
         out = np.full(len(words) + SIDE * len(texts), self.blank, np.int32)
         out[np.arange(len(words)) + SIDE * parent] = ids
-        return out, np.bincount(parent, minlength=len(texts)), np.bincount(parent[rare], self.spelt(other) - self.ln_spelt, len(texts))
+        return out, np.bincount(parent, minlength=len(texts)), np.bincount(parent[rare], ln, len(texts))
 
 
 Net = dict[str, np.ndarray]
@@ -214,12 +225,12 @@ def log_probs(voc: Vocabulary, net: Net, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def _by(key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, the sums of their rows, and how many there are of each."""
-    order = np.argsort(key)
-    key = key[order]
-    start = np.flatnonzero(np.diff(key, prepend=-1))
-    return key[start], np.add.reduceat(rows[order], start, axis=0), np.diff(start, append=len(key))
+def starts(key: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.empty(len(key), bool)
+    new[0] = True
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    return np.flatnonzero(new)
 
 
 def zeros(voc: Vocabulary) -> Net:
@@ -244,10 +255,7 @@ def add_gradient(voc: Vocabulary, net: Net, ids: np.ndarray, into: Net) -> None:
             w, x = net["out"][node], hs[on]
             z = (np.einsum("ij,ij->i", w, x) + net["out_b"][node]) * sign
             g = sign / (1 + np.exp(np.clip(z, -80, 80)))
-            new = np.empty(len(node), bool)
-            new[0] = True
-            np.not_equal(node[1:], node[:-1], out=new[1:])
-            start = np.flatnonzero(new)
+            start = starts(node)
             at = node[start]
             into["out"][at] += np.add.reduceat(np.multiply(x, g[:, None], out=buffer[: len(g)]), start, axis=0)
             into["out_b"][at] += np.add.reduceat(g, start)
@@ -259,15 +267,18 @@ def add_gradient(voc: Vocabulary, net: Net, ids: np.ndarray, into: Net) -> None:
         dh *= np.square(1 - np.abs(h))
         wide = np.zeros((e - s, DIM), np.float32)
         wide[kept] = dh
-        grad = np.zeros((len(near), DIM + 1), np.float32)
+        grad, seen = np.zeros_like(near), np.zeros(len(near), near.dtype)
         for j, k in enumerate(OFFSETS):
             part = slice(SIDE + k, SIDE + k + e - s)
-            grad[part, :DIM] += wide * net["place"][j]
-            grad[part, DIM] += 1
+            grad[part] += wide * net["place"][j]
+            seen[part] += 1
             into["place"][j] += np.einsum("ij,ij->j", wide, near[part])
-        at, total, _ = _by(ids[s - SIDE : e + SIDE], grad)
-        into["emb"][at] += total[:, :DIM]
-        into["emb_n"][at] += total[:, DIM]
+        key = ids[s - SIDE : e + SIDE]
+        order = np.argsort(key)
+        start = starts(key[order])
+        at = key[order[start]]
+        into["emb"][at] += np.add.reduceat(grad[order], start, axis=0)
+        into["emb_n"][at] += np.add.reduceat(seen[order], start)
         into["bias"] += dh.sum(axis=0)
         into["words"] += len(kept)
 
@@ -402,6 +413,10 @@ def train(rows: DataFrame, voc: Vocabulary, rounds: int = ROUNDS, rate: float =
         model = spark.sparkContext.broadcast(net)
         local, add = sums(model)
         each = rows.filter(F.col("round_") == k).select("ids_").mapInArrow(local, "slice int, sums binary")
+        groups = -(-each.rdd.getNumPartitions() // FAN)
+        while groups > 1:  # a task adds up about FAN slices, however many tasks there were
+            each = each.repartition(n_slices * groups, "slice", F.pmod(F.spark_partition_id(), F.lit(groups))).mapInArrow(add, "slice int, sums binary")
+            groups = -(-groups // FAN)
         got = {r.slice: r.sums for r in each.repartition(n_slices, "slice").mapInArrow(add, "slice int, sums binary").collect()}
         model.destroy()
         if got:

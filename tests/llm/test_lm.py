@@ -120,12 +120,17 @@ def prose(n=600, seed=3):
 def test_scores_do_not_depend_on_partitions_and_beat_the_unigram(spark, monkeypatch):
     monkeypatch.setattr(lm, "LEAST", 120)
     monkeypatch.setattr(lm, "n_leaves", lambda words: 120)
+    monkeypatch.setattr(lm, "FAN", 2)
+    monkeypatch.setattr(lm, "SLICE", 1000)
     rows = list(enumerate(prose()))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    few, many = ({r.doc_id: r for r in lm.pseudo_likelihood(df.repartition(n), "doc_id", "text").collect()} for n in (2, 16))
+    voc = lm.vocabulary(lm.word_counts(df, "text"))
+    encoded = lm.encoded(df.repartition(2), "doc_id", "text", voc)
+    trained = lm.train(encoded, voc)
+    few = {r.doc_id: r for r in lm.score(encoded, "doc_id", voc, trained).collect()}
+    many = {r.doc_id: r for r in lm.pseudo_likelihood(df.repartition(16), "doc_id", "text").collect()}
     assert all(few[i].log_prob == pytest.approx(many[i].log_prob, rel=3e-4) and few[i].n_words == 80 for i in few)
     counts = Counter(w for _, t in rows for w in t.split())
-    voc = lm.vocabulary(lm.word_counts(df, "text"))
     assert set(voc.words) <= set(counts) and all(voc.counts[i] == counts[w] for i, w in enumerate(voc.words)) and voc.counts.sum() == sum(counts.values())
     net = lm.initial(voc)
     plain = []
@@ -138,7 +143,6 @@ def test_scores_do_not_depend_on_partitions_and_beat_the_unigram(spark, monkeypa
     mixed = [(i, " ".join(rng.permutation((rows[2 * i][1] + " " + rows[2 * i + 1][1]).split())[:80])) for i in range(100)]
     both = spark.createDataFrame(mixed, "doc_id long, text string")
     enc = lm.encoded(both, "doc_id", "text", voc)
-    trained = lm.train(lm.encoded(df, "doc_id", "text", voc), voc)
     assert np.mean([r.mean_log_prob for r in lm.score(enc, "doc_id", voc, trained).collect()]) < np.mean([few[i].mean_log_prob for i in few]) - 0.5
 
 
