@@ -97,6 +97,11 @@ def map_texts(df: DataFrame, keep: list[str], text: str, fn: Callable[[list[str]
     return df.select(*keep, text).mapInArrow(run, schema)
 
 
+def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    """Rows, one or more, as a batch."""
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
 class WordHash(dict):
     """word -> 64-bit hash, the same on every machine; forgets all once it holds too many."""
 

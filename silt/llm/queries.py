@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silt.llm import bpe, cws, licenses, lm, minhash, packing, rules, secrets, suffix, toxicity
+from silt.llm import bpe, cws, dialogue, licenses, lines, lm, minhash, packing, phrases, rules, secrets, suffix, toxicity
 from silt.llm.common import documents, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,52 @@ def op4_prob_minhash(spark, sf_dir):
 @query
 def op10_suffix_repeats(spark, sf_dir):
     return suffix.repeats(documents(spark, sf_dir), "doc_id", "text")
+
+
+@query
+def op11_line_dedup(spark, sf_dir):
+    return lines.deduplicated(documents(spark, sf_dir), "doc_id", "text")
+
+
+ORACLES["op11_line_dedup"] = r"""
+WITH lines AS (
+  SELECT r, doc_id, pos, line, translate(trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT r, doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos
+        FROM (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))),
+again AS (SELECT k, min(doc_id) AS least FROM lines WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) >= 2),
+marked AS (SELECT r, lines.doc_id, pos, line, coalesce(lines.doc_id <> least, false) AS lost FROM lines LEFT JOIN again ON lines.k = again.k)
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE lost) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT lost), '')) AS kept_sha256
+FROM marked GROUP BY r, doc_id
+"""
+
+
+@query
+def op12_conversation_repair(spark, sf_dir):
+    rows = dialogue.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "conv_id", "turn", "role", "text")
+    return dialogue.report(rows, "conv_id", "turn", "role", "text", "present")
+
+
+@query
+def op13_collocations(spark, sf_dir):
+    return phrases.collocations(documents(spark, sf_dir), "text", "lang")
+
+
+ORACLES["op13_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\v\f\r]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS w FROM pieces),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+grams AS (SELECT lang, s, len(s) AS m, count(*) AS f FROM (SELECT lang, unnest([w[i:i], CASE WHEN i + 1 <= len(w) THEN w[i:i+1] END, CASE WHEN i + 2 <= len(w) THEN w[i:i+2] END]) AS s FROM starts) WHERE s IS NOT NULL GROUP BY lang, s),
+total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE m = 1 GROUP BY lang),
+often AS (SELECT * FROM grams WHERE f >= 10),
+cuts AS (SELECT lang, s, m, f, unnest(range(1, m)) AS k FROM often WHERE m > 1),
+scored AS (
+  SELECT c.lang, c.s, c.m, c.f AS a, k, x.f AS l, y.f AS r, CAST((1000000::HUGEINT * c.f * c.f) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM cuts c JOIN often x ON x.lang = c.lang AND x.s = c.s[1:k] JOIN often y ON y.lang = c.lang AND y.s = c.s[k+1:c.m]),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, s ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, p, max(f) AS f FROM (SELECT lang, f, unnest([s[1:2], s[2:3]]) AS p FROM often WHERE m = 3) GROUP BY lang, p),
+kept AS (SELECT b.* FROM best b LEFT JOIN inner_ i ON i.lang = b.lang AND i.p = b.s WHERE i.f IS NULL OR 100 * i.f < 50 * b.a),
+ranked AS (SELECT lang, array_to_string(s, ' ') AS phrase, a, l, r, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(s, ' ')) AS rank FROM kept)
+SELECT ranked.lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
