@@ -66,7 +66,7 @@ def progress_steps(spark, sf_dir):
 
 @query(
     "throttled_rates",
-    """WITH RECURSIVE e AS (SELECT user_id, epoch_ms(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
        w AS (SELECT user_id, k, t, t AS start, t AS shown, true AS visible FROM e WHERE k = 1 UNION ALL
          SELECT e.user_id, e.k, e.t, w.start, CASE WHEN e.t - w.shown >= 86400000 THEN e.t ELSE w.shown END, e.t - w.shown >= 86400000 FROM w JOIN e ON e.user_id = w.user_id AND e.k = w.k + 1)
        SELECT user_id AS "key", t AS at_ms, CAST(floor(k * 1000 / (t - start) + 0.5) AS BIGINT) AS rate FROM w WHERE visible AND t - start >= 100""",

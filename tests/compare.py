@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import sys
 from collections import Counter
+from decimal import Decimal
 from pathlib import Path
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -13,11 +14,15 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def cell(x):
     if x is None or (isinstance(x, float) and math.isnan(x)):
         return None
-    if isinstance(x, bool):
+    if isinstance(x, float):  # only these have a tolerance; whole numbers, decimals and strings are compared exactly
+        return ("float", f"{x:.9g}" if x else "0")
+    if isinstance(x, (bool, int)):
         return int(x)
-    if isinstance(x, (int, float)):
-        return float(f"{float(x):.9g}")
-    return str(x)
+    if isinstance(x, Decimal):
+        return x.normalize()
+    if isinstance(x, (list, tuple)):
+        return tuple(map(cell, x))
+    return x if isinstance(x, (str, bytes)) else str(x)
 
 
 def rows(names, data):

@@ -13,6 +13,8 @@ from tests.compare import compare, duck
 
 load_all()
 SF = "/root/testdata/sf0.001"
+#: Queries without rows at this size.
+MAY_BE_EMPTY = {"stream_rates"}
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +25,7 @@ def con():
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_equals_duckdb(spark, con, name):
     why = compare(spark, con, registry.QUERIES[name], registry.ORACLES[name], SF)
-    assert why in ("", "no rows")
+    assert why == "" or (why == "no rows" and name in MAY_BE_EMPTY)
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
