@@ -1,7 +1,7 @@
 """Snapshot catalogues: redundancy, diffs, integrity, content joins, upserts.
 
-Everything is an equi-join or a partial aggregate, so work follows the rows and no side is collected. Only lists of
-failed directories, which a caller passes as literals, are folded into predicates.
+Everything is an equi-join or a partial aggregate, so work follows the rows and no side is collected. Folders that could
+not be read, or that were scanned, may be a table of any size.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from silt.operators import prefixes
+
 
 def redundancy(files: DataFrame, keys: Sequence[Column], place: str, fewer_than: int, within: Sequence[str] | None = None) -> DataFrame:
     """Keys held in fewer than ``fewer_than`` distinct places; null digests are skipped."""
@@ -41,12 +43,9 @@ def under(path: Column, folder: str) -> Column:
     return F.lit(True) if folder in ("", ".") else (path == folder) | path.startswith(f"{folder}/")
 
 
-def protected_deletes(old: DataFrame, new: DataFrame, path: str, failed: Sequence[str]) -> DataFrame:
-    """Paths that went, but for those below folders that could not be read."""
-    gone = old.select(path).join(new.select(path), path, "left_anti")
-    for folder in failed:
-        gone = gone.filter(~under(F.col(path), folder))
-    return gone
+def protected_deletes(old: DataFrame, new: DataFrame, path: str, failed: DataFrame | Sequence[str], folder: str = "folder") -> DataFrame:
+    """Paths that went, but for those below folders that could not be read: a table with a column ``folder``, or a few names."""
+    return prefixes.not_below(old.select(path).join(new.select(path), path, "left_anti"), path, failed, folder)
 
 
 def integrity(known: DataFrame, found: DataFrame, keys: Sequence[str], digest: str) -> DataFrame:
@@ -91,10 +90,13 @@ def deleted(base: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     return base.join(keys.select(*on).distinct(), list(on), "left_anti")
 
 
-def pruned(base: DataFrame, seen: DataFrame, path: str, root: str) -> DataFrame:
-    """``base`` without rows below ``root`` that were not seen; a sibling whose name starts alike stays."""
-    below = base.filter(under(F.col(path), root)).join(seen.select(path), path, "left_semi")
-    return base.filter(~under(F.col(path), root)).unionByName(below)
+def pruned(base: DataFrame, seen: DataFrame, path: str, root: DataFrame | str, folder: str = "folder") -> DataFrame:
+    """``base`` without rows below the scanned ``root``, or roots (a table), that were not seen; a sibling whose name starts alike stays."""
+    if isinstance(root, str):
+        below = base.filter(under(F.col(path), root)).join(seen.select(path), path, "left_semi")
+        return base.filter(~under(F.col(path), root)).unionByName(below)
+    there = seen.select(path).distinct().withColumn("seen_", F.lit(True))
+    return prefixes.marked_below(base, path, root, folder, "below_").join(there, path, "left").filter("NOT below_ OR seen_").select(*base.columns)
 
 
 def same_place_duplicates(a: DataFrame, b: DataFrame, path: str, tests: Sequence[str]) -> DataFrame:
