@@ -42,6 +42,7 @@ PLAIN = bytes.maketrans(ENDS + BLANKS, b"." * len(ENDS) + b" " * len(BLANKS))
 
 SLICE = 4 << 20  # bytes of text that are counted before a shuffle
 CROWD = 1 << 20  # suffixes, about, that a bucket may hold
+PARTS = 64  # of a language's phrases, ranked on their own before all are
 SAMPLED = 256  # of so many places one is sampled
 
 
@@ -292,7 +293,9 @@ def collocations(df: DataFrame, text_col: str, lang_col: str, max_n: int = 3, le
     found = stored(scored(grams(rows, max_n, least, seed, max(8, 2 * total // crowd), crowds), share), "phrases")
 
     order = [F.desc("score"), F.desc("a")]
-    first = stored(found.withColumn("place", F.rank().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("place") <= top), "first")
+    best = lambda df, *within: df.withColumn("place", F.rank().over(Window.partitionBy("lang", *within).orderBy(*order))).filter(F.col("place") <= top).drop("place")
+    # the best of each part first, so that what meets in a language's task is bounded
+    first = stored(best(best(found, F.expr(f"pmod(xxhash64(ids), {PARTS})"))), "first")
     each = first.select("lang", "ids", F.posexplode("ids").alias("pos", "id")).join(words.filter(F.col("f") >= least).select("id", "word"), "id")
     spelt = each.groupBy("lang", "ids").agg(F.sort_array(F.collect_list(F.struct("pos", F.col("word").cast("string").alias("word")))).alias("w")).withColumn("phrase", F.array_join("w.word", " "))
     named = first.join(spelt.select("lang", "ids", "phrase"), ["lang", "ids"])
