@@ -42,8 +42,8 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Keys with over one in HOT of all uses count as hot: there are fewer than HOT of them, so they may be broadcast.
-HOT = 1000
+#: Keys with over one in HOT of all uses count as hot: there are fewer than HOT of them, so they may be broadcast (some MB).
+HOT = 100_000
 
 
 def joined_by_weight(rows: DataFrame, keys: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:

@@ -244,16 +244,16 @@ def classes(df: DataFrame, id_col: str, text_col: str, threshold: float = THRESH
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
     """(``id_col``, class_id) for every row of ``df``."""
-    found = classes(df, id_col, text_col, threshold)
+    found = stored(classes(df, id_col, text_col, threshold).select("key", "class_id", "copies"), "found")
     rows = df.select(id_col, F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("key"))
-    return rows.join(found.select("key", "class_id"), "key").select(id_col, "class_id")
+    return joined_by_weight(rows, found, ["key"], "copies").select(id_col, "class_id")
 
 
 def one_of_each(df: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
     """``df`` with one row of each class: of the least id, then of the least key; of repeated rows, one."""
     found = classes(df, id_col, text_col, threshold)
-    chosen = found.groupBy("root").agg(F.min(F.struct("first_id", "key")).alias("m")).select(F.col("m.first_id").alias("first_"), F.col("m.key").alias("key_"))
-    rows = df.withColumn("k_", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-    kept = rows.join(chosen, (F.col("k_") == F.col("key_")) & F.col(id_col).eqNullSafe(F.col("first_")))
-    first = F.row_number().over(Window.partitionBy("k_", id_col).orderBy(F.lit(0)))
-    return kept.withColumn("n_", first).filter("n_ = 1").select(*df.columns)
+    chosen = found.groupBy("root").agg(F.min(F.struct("first_id", "key")).alias("m")).select("m.first_id", "m.key")
+    rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("key"))
+    kept = rows.join(chosen, (rows["key"] == chosen["key"]) & rows["id"].eqNullSafe(chosen["first_id"])).select("row", "id", rows["key"])
+    first = F.row_number().over(Window.partitionBy("key", "id").orderBy(F.lit(0)))
+    return kept.withColumn("n", first).filter("n = 1").select("row.*")

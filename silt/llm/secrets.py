@@ -34,17 +34,17 @@ KINDS = ("assign", "access", "hex", "live")
 #: Other candidates: maximal runs of token characters, with a digit and a letter, 20 long at least.
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 PLACEHOLDER = re.compile(r"example|sample|dummy|changeme|placeholder|your|xxxx|1234|abcd|0000", re.IGNORECASE)
-PLACEHOLDER_CHARS = 512  # longer values hold such short words by chance
+PLACEHOLDER_SHARE = 128  # such words count where they make up at least one in so many characters: long values hold them by chance
 
 SPAN = pa.struct([("start", pa.int64()), ("order", pa.int32()), ("stop", pa.int64()), ("value", pa.int64()), ("digest", pa.binary()), ("random", pa.bool_())])
 SPAN_SQL = "array<struct<start:bigint,order:int,stop:bigint,value:bigint,digest:binary,random:boolean>>"
 
 
 def random_looking(value: str) -> bool:
-    """Mixed characters, over 3 bits of entropy a character, no placeholder word in a value of at most ``PLACEHOLDER_CHARS``."""
-    n = len(value)
+    """Mixed characters, over 3 bits of entropy a character, and placeholder words in less than one in ``PLACEHOLDER_SHARE`` of them."""
+    n, words = len(value), sum(len(m) for m in PLACEHOLDER.findall(value))
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    return entropy > 3 and any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and not (n <= PLACEHOLDER_CHARS and PLACEHOLDER.search(value))
+    return entropy > 3 and any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and words * PLACEHOLDER_SHARE < max(n, 1)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:

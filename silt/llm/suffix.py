@@ -35,7 +35,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silt.llm import common
 from silt.llm.common import discard, joined_by_weight, map_texts, mix64, stored
 
 #: Bytes of a repeated string, and of one that counts as a passage: about 50 words.
@@ -44,7 +43,7 @@ GRAM, CHUNK = 64, 33
 PART = 1 << 19  # starts that are handled at once in a very long text
 ROWS = 40_000  # records that are compared at once
 SAMPLED = 10_000  # anchors, about, whose suffixes give the splitters; of more than 400 buckets, 25 for each
-HOT_LEAST = 1000  # an anchor of at most so many places is never hot
+HOT_LEAST, HOT_MOST = 1000, 20_000  # an anchor of at most so many places is never hot; of more than so many, always
 
 SPAN = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
 SPANS = "array<struct<start:int,stop:int>>"
@@ -347,7 +346,7 @@ def spans_of(each: DataFrame, texts: Callable[[DataFrame], DataFrame], length: i
     """
     often = stored(each.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "grams")
     total = often.agg(F.sum("n")).first()[0] or 0
-    hot = F.col("n") > max(HOT_LEAST, total // common.HOT)
+    hot = F.col("n") > min(HOT_MOST, max(HOT_LEAST, total // 1000))  # so the records of one core in one task have a bound
     met = joined_by_weight(each, often, ["gram"], "n").withColumn("hot_", hot)
     run = F.struct("pos", "lo", "hi")
     runs = met.groupBy("node").agg(F.collect_list(F.when(~F.col("hot_"), run)).alias("runs"), F.collect_list(F.when(F.col("hot_"), run)).alias("hot"))
@@ -464,14 +463,14 @@ def repeats(df: DataFrame, id_col: str, text_col: str, length: int = LENGTH, pas
     many = lambda n: F.expr(f"copies > 1 AND n_bytes >= {n}")
     whole = many(length)
     each = nodes.join(some, "node", "left").join(under, "node", "left").select(
-        "key", "n_bytes",
+        "key", "copies", "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),
         F.when(whole, F.lit(1)).otherwise(F.coalesce("runs", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
         F.when(many(passage), F.col("n_bytes")).otherwise(F.coalesce("under", F.lit(0))).alias("n_passage_bytes"),
     )
     rows = df.select(id_col, F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("key"))
-    return rows.join(each, "key").select(id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes")
+    return joined_by_weight(rows, stored(each, "found"), ["key"], "copies").select(id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes")
 
 
 def without_repeats(df: DataFrame, id_col: str, text_col: str, length: int = LENGTH) -> DataFrame:
@@ -484,7 +483,8 @@ def without_repeats(df: DataFrame, id_col: str, text_col: str, length: int = LEN
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string())], names=["node", "new_"])
 
     some = spans.mapInArrow(cut, "node long, new_ string")
-    changed = some.join(nodes.filter("copies = 1").select("node", "key"), "node").select("key", "new_").union(nodes.filter(f"copies > 1 AND n_bytes >= {length}").select("key", F.lit("").alias("new_")))
-    rows = df.withColumn("key_", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-    joined = rows.join(changed.withColumnRenamed("key", "key_"), "key_", "left")
-    return joined.withColumn(text_col, F.coalesce("new_", F.col(text_col))).select(*df.columns)
+    once = some.join(nodes.filter("copies = 1").select("node", "key"), "node").select("key", "new_", F.lit(1).cast("long").alias("copies"))
+    changed = once.unionByName(nodes.filter(f"copies > 1 AND n_bytes >= {length}").select("key", F.lit("").alias("new_"), "copies"))
+    rows = df.select(F.struct("*").alias("row"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("key"))
+    joined = joined_by_weight(rows, stored(changed, "changed"), ["key"], "copies", "left")
+    return joined.select(*[F.coalesce("new_", F.col(f"row.`{c}`")).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in df.columns])

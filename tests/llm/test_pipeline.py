@@ -76,3 +76,28 @@ def test_stages_on_an_empty_table_and_very_long_texts(spark, tables, tmp_path):
             kept = stage(spark, kept, d)
             assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.select("doc_id").collect()) == ids, name
         assert sorted({r.doc_id for r in cp.best_fit(spark, kept, d).collect()}) == ids
+
+
+def test_columns_of_any_name(spark, tables):
+    """Every name that a stage's module gives to a column of its own may be a column of the documents; they come out as they went in."""
+    import re
+    from pathlib import Path
+
+    d, _ = tables
+    names = {"row", "new_", "key_", "first_", "n_", "k_"}
+    for m in ("common", "rules", "minhash", "suffix", "secrets", "packing"):
+        source = Path(cp.__file__).with_name("silt").joinpath("llm", f"{m}.py").read_text()
+        names |= {x for found in re.findall(r'alias\("(\w+)"\)|withColumn\("(\w+)"| AS (\w+)\b', source) for x in found if x}
+    names = sorted({n.lower() for n in names} - {"doc_id", "text", "lang", "source", "n_chars"})
+    assert {"key", "node", "n", "root", "first_id"} <= set(names)
+    docs = spark.read.parquet(f"{d}/documents.parquet").drop("n_words")
+    extra = docs.selectExpr("*", *[f"concat('{n}', doc_id) AS `{n}`" for n in names])
+    kept = extra
+    for name, stage in cp.STAGES[:-1]:
+        plain = {r.doc_id: r.text for r in stage(spark, kept.select(docs.columns), d).collect()}
+        kept = stage(spark, kept, d)
+        assert kept.columns == extra.columns, name
+        rows = kept.collect()
+        assert {r.doc_id: r.text for r in rows} == plain, name
+        assert all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names), name
+    assert cp.best_fit(spark, kept, d).count() > 0
