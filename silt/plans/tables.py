@@ -1,10 +1,10 @@
-"""Queries whose filters are tables: folders, roots, patterns."""
+"""Queries whose filters are tables (folders, roots, patterns), and aggregates of a caller's own."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from silt.operators import catalog, prefixes
+from silt.operators import aggregates, catalog, prefixes
 from silt.plans.registry import query
 from silt.sources.tables import table
 
@@ -62,3 +62,24 @@ def pattern_totals(spark, sf_dir):
         concat('?', substr(p_name, 2)), repeat('?', length(p_name)), concat(substr(p_name, 1, 3), '?', substr(p_name, 5, 1), '*'))"""
     patterns = parts.filter("p_partkey % 11 = 0").select(F.explode(F.expr(made)).alias("pattern"))
     return prefixes.pattern_sums(parts, "p_name", "p_size", patterns, "pattern")
+
+
+@query(
+    "user_moments",
+    """SELECT l_returnflag, l_suppkey, count(l_quantity) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS sd_pop, round(coalesce(stddev_samp(l_quantity), CASE WHEN count(l_quantity) > 0 THEN 0 END), 6) AS sd_samp FROM lineitem GROUP BY 1, 2""",
+)
+def user_moments(spark, sf_dir):
+    got = aggregates.aggregated(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_suppkey"], ["l_quantity"], aggregates.Welford())
+    return got.withColumns({c: F.round(c, 6) for c in ("mean", "sd_pop", "sd_samp")})
+
+
+@query(
+    "user_weighted",
+    """WITH r AS (SELECT l_linestatus, CAST(l_extendedprice AS DECIMAL(18,2)) AS x, CAST(round(l_extendedprice * 100) AS HUGEINT) AS c, CAST(l_quantity AS BIGINT) AS w FROM lineitem)
+       SELECT l_linestatus, CAST(sum(w) AS DECIMAL(38,0)) AS weight, CAST(sum(x * w) AS DECIMAL(38,6)) AS total, round(CAST(sum(x * w) AS DOUBLE) / sum(w), 3) AS mean,
+       round(sqrt(CAST(sum(w) * sum(c * c * w) - sum(c * w) * sum(c * w) AS DOUBLE)) / sum(w) / 100, 3) AS sd FROM r GROUP BY 1""",
+)
+def user_weighted(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_linestatus", F.col("l_extendedprice").cast("decimal(18,2)").alias("x"), F.col("l_quantity").cast("long").alias("w"))
+    got = aggregates.aggregated(rows, ["l_linestatus"], ["x", "w"], aggregates.WeightedDecimals())
+    return got.select("l_linestatus", "weight", "total", F.round(F.col("mean").cast("double"), 3).alias("mean"), F.round(F.sqrt(F.col("var_pop").cast("double")), 3).alias("sd"))

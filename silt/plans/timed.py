@@ -1,4 +1,4 @@
-"""Streams with timers, over events that arrive in four slices and out of order; each query equals SQL over all rows."""
+"""Streams with timers, over events that arrive in three slices and out of order; each query equals SQL over all rows."""
 
 from __future__ import annotations
 
@@ -17,15 +17,14 @@ _DELAY, LATE = "pmod(xxhash64(event_id), 3600)", "2 hours"
 
 
 def _sliced(spark, sf_dir, stream):
-    """Run ``stream`` over four slices of events by time of arrival, then over a row of a later time that closes everything."""
+    """Run ``stream`` over three slices of events by time of arrival, then over a row of a later time that closes everything."""
     at = f"{shared.root(spark)}/timed/{uuid.uuid4().hex}"
     events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value").withColumn("arrival", F.unix_seconds("ts") + F.expr(_DELAY))
     a, b, last = events.agg(F.min("arrival"), F.max("arrival"), F.max("ts")).first()
-    part = F.expr(f"least(3, CAST((arrival - {a or 0}) * 4 DIV {max(1, (b or 0) - (a or 0))} AS int))")
+    part = F.expr(f"least(2, CAST((arrival - {a or 0}) * 3 DIV {max(1, (b or 0) - (a or 0))} AS int))")
     put = lambda rows: rows.drop("arrival").write.mode("append").parquet(f"{at}/rows")
-    ends = [(None, last + timedelta(days=d), None, None, None) for d in (400, 401)] if last else []
-    close = lambda row: lambda: put(spark.createDataFrame([row], events.drop("arrival").schema).withColumn("arrival", F.lit(0)))
-    slices = [lambda k=k: put(events.filter(part == k)) for k in range(4)] + [close(row) for row in ends]
+    end = spark.createDataFrame([(None, last + timedelta(days=400) if last else None, None, None, None)], events.drop("arrival").schema)
+    slices = [lambda k=k: put(events.filter(part == k)) for k in range(3)] + [lambda: put(end)]
     run = lambda: stateful.run_once(stream(stateful.file_stream(spark, f"{at}/rows")), "append", f"{at}/state", f"{at}/out")
     return timed.in_slices(slices, run).drop("batch_")
 
