@@ -47,6 +47,31 @@ def kept_edges(edges: DataFrame, touched: DataFrame, node: str) -> DataFrame:
     return edges.join(t.withColumnRenamed(node, "a"), "a", "left_anti").join(t.withColumnRenamed(node, "b"), "b", "left_anti")
 
 
+def updated_components(labels: DataFrame, left: DataFrame, removed: DataFrame, added: DataFrame, cut: Callable[[DataFrame], DataFrame] = _cut) -> tuple[DataFrame, DataFrame]:
+    """(labels, touched): the components after edges went and came, from those before.
+
+    ``labels`` (node, component: its least node) are of the graph before; ``left`` are its edges (a, b) without the ``removed``
+    ones, ``added`` those to put in. Only components that lost an edge are computed anew, from their own edges; the rest keep
+    their labels. Added edges then join whole components: the labels are the nodes of that step, so it has as many edges as
+    were added, however large the components are. Nodes without edges have no label. ``touched`` are the nodes of the
+    components that were computed anew.
+    """
+    labels = cut(labels.select("node", "component"))
+    ends = lambda e: e.selectExpr("a AS node").union(e.selectExpr("b AS node")).distinct()
+    hurt = cut(labels.join(ends(removed), "node").select("component").distinct())
+    touched = cut(labels.join(hurt, "component", "left_semi").select("node"))
+    inside = left.join(touched.withColumnRenamed("node", "a"), "a", "left_semi")
+    base = cut(labels.join(hurt, "component", "left_anti").select("node", "component").unionByName(components(inside, cut)))
+    # labels as nodes: a node that is new is its own label
+    named = base.selectExpr("node", "component AS label")
+    first = added.join(named.withColumnRenamed("node", "a"), "a", "left").select(F.coalesce("label", "a").alias("x"), "a", "b")
+    both = cut(first.join(named.withColumnRenamed("node", "b"), "b", "left").select("a", "b", "x", F.coalesce("label", "b").alias("y")))
+    joined = components(both.selectExpr("x AS a", "y AS b"), cut).selectExpr("node AS component", "component AS joined")
+    new = ends(both).join(base, "node", "left_anti").select("node", F.col("node").alias("component"))
+    after = base.unionByName(new).join(joined, "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
+    return after, touched
+
+
 def nearest_marked(paths: DataFrame, node: str, path: str, marked: DataFrame, folder: str) -> DataFrame:
     """(node, found): the nearest marked folder of each path, itself included, or null. Every path meets only its own ancestors."""
     parts = F.split(path, "/")

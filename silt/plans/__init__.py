@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: Modules that register queries when imported.
-MODULES = ("catalog", "statistics", "texts", "similar", "series", "telemetry", "lines", "formats", "tables", "stored", "timed")
+MODULES = ("catalog", "statistics", "texts", "similar", "series", "telemetry", "lines", "formats", "tables", "stored", "timed", "looked_up")
 
 
 def load_all() -> None:
