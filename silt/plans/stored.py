@@ -1,4 +1,4 @@
-"""Queries over what earlier steps of them have written: versioned catalogues."""
+"""Queries over what earlier steps of them have written: versioned catalogues, captures, logs, lists and trees of files."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from silt.operators import shared
 from silt.plans.registry import query
+from silt.sources import captures, committed, readers, sinks, walk
 from silt.sources.tables import table
 from silt.sources.versions import Catalogue
 
@@ -51,3 +52,82 @@ def versioned_earlier(spark, sf_dir):
 )
 def versioned_history(spark, sf_dir):
     return _catalogue(spark, sf_dir).history().drop("buckets")
+
+
+def _local(path: str) -> str:
+    """A path as Arrow and the machine's own calls take it."""
+    return path.removeprefix("file://") if path.startswith("file:///") else path
+
+
+def _little(column: str) -> str:
+    """SQL for four bytes of a whole number, the least first."""
+    h = f"lpad(hex({column}), 8, '0')"
+    return f"unhex(concat(substr({h}, 7, 2), substr({h}, 5, 2), substr({h}, 3, 2), substr({h}, 1, 2)))"
+
+
+@query("capture_frames", "SELECT p_brand, CAST(1700000000 + p_partkey AS DOUBLE) AS seconds, md5(p_name || p_type) AS md5 FROM part")
+def capture_frames(spark, sf_dir):
+    """A capture file for each brand, written all or none, and read back in ranges of 4 KiB."""
+    at = _local(_folder(spark, "captures"))
+    parts = table(spark, sf_dir, "part").select("p_brand", F.expr("CAST(1700000000 + p_partkey AS bigint)").alias("s"), F.encode(F.concat("p_name", "p_type"), "utf-8").alias("f"))
+    record = F.expr(f"concat({_little('s')}, {_little('0')}, {_little('octet_length(f)')}, {_little('octet_length(f)')}, f)")
+    head = F.expr("unhex('D4C3B2A1020004000000000000000000FFFF000001000000')")
+    whole = parts.groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("s", record.alias("r")))).alias("rs")).select(F.concat("p_brand", F.lit(".pcap")).alias("name"), F.concat(head, F.expr("aggregate(rs.r, X'', (a, x) -> concat(a, x))")).alias("content"))
+    committed.write_files(whole, at, "name", "content")
+    captures.register(spark)
+    got = spark.read.format("silt_captures").option("path", at).option("split", 4096).load()
+    return got.select(F.regexp_extract("path", "([^/]*)\\.pcap$", 1).alias("p_brand"), "seconds", F.md5("frame").alias("md5"))
+
+
+@query("merged_logs", "SELECT event_type AS stream, CAST(event_id AS VARCHAR) AS line, true AS in_order FROM events WHERE event_type IS NOT NULL UNION ALL SELECT 'merged', CAST(event_id AS VARCHAR), true FROM events WHERE event_type IS NOT NULL")
+def merged_logs(spark, sf_dir):
+    """Events as a log for each type beside the log of all; each line is checked against the time of the line before it in its file."""
+    at = _local(_folder(spark, "logs"))
+    events = table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    committed.write_logs(events, at, "event_type", "at", F.concat_ws(" ", F.lpad(F.col("at").cast("string"), 20, "0"), F.col("event_id").cast("string")), parts=6)
+    read = spark.read.option("pathGlobFilter", "*.log").option("recursiveFileLookup", True).option("wholetext", True).text(at)
+    lines = read.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("stream"), F.split(F.rtrim("value", F.lit("\n")), "\n").alias("ls"))
+    each = lines.select("stream", F.posexplode("ls").alias("i", "l"), "ls")
+    return each.select("stream", F.split("l", " ")[1].alias("line"), F.expr("i = 0 OR ls[greatest(i - 1, 0)] <= l").alias("in_order"))
+
+
+@query("csv_round_trip", """SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, 'a;"' || p_name || '"' AS name, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_type END AS p_type FROM part""")
+def csv_round_trip(spark, sf_dir):
+    at = _folder(spark, "csv")
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit('a;"'), "p_name", F.lit('"')).alias("name"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_type")).alias("p_type"))
+    sinks.semicolon_csv(parts, at)
+    return readers.csv_strings(spark, at, ";").withColumn("name", F.replace("name", F.lit('\\"'), F.lit('"')))
+
+
+@query("nul_list", "SELECT 'src' || chr(10) || p_name || ' ' || p_partkey AS path FROM part")
+def nul_list(spark, sf_dir):
+    at = _folder(spark, "nul")
+    sinks.lines(table(spark, sf_dir, "part"), at, F.concat(F.lit("src\n"), "p_name", F.lit(" "), F.col("p_partkey").cast("string")), "\0")
+    return spark.read.option("lineSep", "\0").text(at).select(F.col("value").alias("path"))
+
+
+@query("walked_files", "SELECT 'd' || (doc_id % 7) || '/' || source || '/' || doc_id || '.txt' AS path, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM documents WHERE text IS NOT NULL")
+def walked_files(spark, sf_dir):
+    """Documents as files of a tree, found again by the walk."""
+    at = _local(_folder(spark, "tree"))
+    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    name = F.concat(F.lit("d"), (F.col("doc_id") % 7).cast("string"), F.lit("/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    committed.write_files(docs.select(name.alias("name"), F.encode("text", "utf-8").alias("content")), at, "name", "content")
+    found, _ = walk.walk(spark, at)
+    return found.select(F.expr(f"substr(path, {len(at) + 2})").alias("path"), "size")
+
+
+@query(
+    "caption_files",
+    """SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS pos, '00:' || lpad(CAST(turn % 60 AS VARCHAR), 2, '0') || ':00.000' AS start, 'turn ' || turn || ' & ' || role AS text FROM conversations""",
+)
+def caption_files(spark, sf_dir):
+    """Conversations as caption files with headers, tags and escapes, read back as cues."""
+    at = _local(_folder(spark, "captions"))
+    clock = F.concat(F.lit("00:"), F.lpad((F.col("turn") % 60).cast("string"), 2, "0"), F.lit(":00.000"))
+    cue = F.concat(clock, F.lit(" --> 00:59:59.000 align:start\n<c.x>turn</c> <00:00:01.000>"), F.col("turn").cast("string"), F.lit(" &amp; "), "role", F.lit("\n"))
+    whole = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", cue.alias("c")))), lambda x: x["c"]), "\n").alias("cues"))
+    text = F.concat(F.lit("WEBVTT\nKind: captions\n\n"), "cues")
+    committed.write_files(whole.select(F.concat(F.col("conv_id").cast("string"), F.lit(".vtt")).alias("name"), F.encode(text, "utf-8").alias("content")), at, "name", "content")
+    got = readers.captions(spark, at)
+    return got.select(F.regexp_extract("path", "([0-9]+)\\.vtt$", 1).cast("long").alias("conv_id"), "pos", "start", "text")
