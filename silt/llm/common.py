@@ -42,8 +42,9 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Keys with over one in HOT of all uses count as hot: there are fewer than HOT of them, so they may be broadcast (some MB).
-HOT = 100_000
+#: Keys with over one in HOT of all uses, and over FEW (in a small table over a thousandth of all), count as hot: there are fewer
+#: than HOT of them, so they may be broadcast. A key that only one row meets never does, so what comes with it is not sent.
+HOT, FEW = 100_000, 1000
 
 
 def joined_by_weight(rows: DataFrame, keys: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
@@ -52,7 +53,8 @@ def joined_by_weight(rows: DataFrame, keys: DataFrame, on: list[str], weight: st
     Rows of hot keys would meet in one task of a shuffled join; they meet a broadcast of fewer than ``HOT`` keys instead.
     """
     total = keys.agg(F.sum(weight)).first()[0] or 0
-    hot, cold = keys.filter(F.col(weight) > total / HOT), keys.filter(F.col(weight) <= total / HOT)
+    most = max(1, total / HOT, min(FEW, total / 1000))
+    hot, cold = keys.filter(F.col(weight) > most), keys.filter(F.col(weight) <= most)
     rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
     return rows.join(F.broadcast(hot), on, "inner" if how == "left" else how).unionByName(rest.join(cold, on, how))
 
