@@ -354,38 +354,36 @@ def _ansi_html(text: str) -> str:
 ansi_html = _decoder(_ansi_html)
 
 
-def _laid_out(text: str, pad: int = 0) -> str:
-    def close(at: int) -> int:
-        depth = 0
-        for k in range(at, len(text)):
-            depth += (text[k] == "<") - (text[k] == ">")
-            if depth == 0:
-                return k
-        return -1
-
-    parts, at = [""], 0
+def _laid_out(text: str) -> str:
+    ends: dict[int, int] = {}  # where each < that is closed is closed
+    commas: dict[int, int] = {}  # of those directly inside it
+    open_: list[int] = []
+    for at, c in enumerate(text):
+        if c == "<":
+            open_.append(at)
+        elif c == ">" and open_:
+            ends[open_.pop()] = at
+        elif c == "," and open_:
+            commas[open_[-1]] = commas.get(open_[-1], 0) + 1
+    out, closing, at = [], [], 0  # closing: ends of the templates that are laid out around this place
     while at < len(text):
-        end = close(at) if text[at] == "<" else -1
-        if end > 0:
-            inner, depth, begin = [], 0, at + 1
-            for k in range(at + 1, end + 1):
-                if depth == 0 and (text[k] == "," or k == end):
-                    inner.append(text[begin:k])
-                    begin = k + 1
-                depth += (text[k] == "<") - (text[k] == ">")
-            if len(inner) == 1:
-                parts[-1] += text[at : end + 1]
-            else:
-                gap = "\n" + " " * (pad + 2)
-                parts[-1] += "<" + gap + f",{gap}".join(_laid_out(p.removeprefix(" ") if i else p, pad + 2) for i, p in enumerate(inner)) + "\n" + " " * pad + ">"
-            at = end + 1
+        line = "\n" + " " * (2 * len(closing))
+        if at in ends and not commas.get(at):
+            out.append(text[at : ends[at] + 1])
+            at = ends[at]
+        elif at in ends:
+            out.append(f"<{line}  ")
+            closing.append(ends[at])
+        elif closing and at == closing[-1]:
+            closing.pop()
+            out.append(line[:-2] + ">")
         elif text[at] == ",":
-            at += 2 if text[at + 1 : at + 2] == " " else 1
-            parts.append("")
+            out.append(f",{line}")
+            at += text[at + 1 : at + 2] == " "
         else:
-            parts[-1] += text[at]
-            at += 1
-    return (",\n" + " " * pad).join(parts)
+            out.append(text[at])
+        at += 1
+    return "".join(out)
 
 
 #: Template types over several lines, two blanks a level; a template of one argument stays on its line.

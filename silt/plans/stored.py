@@ -131,3 +131,27 @@ def caption_files(spark, sf_dir):
     committed.write_files(whole.select(F.concat(F.col("conv_id").cast("string"), F.lit(".vtt")).alias("name"), F.encode(text, "utf-8").alias("content")), at, "name", "content")
     got = readers.captions(spark, at)
     return got.select(F.regexp_extract("path", "([0-9]+)\\.vtt$", 1).cast("long").alias("conv_id"), "pos", "start", "text")
+
+
+def _lengths(path: str):
+    """(line, chars) of a text file; odd ids are refused."""
+    if int(path.rpartition("/")[2].removesuffix(".txt")) % 2:
+        raise ValueError("odd")
+    with open(path, encoding="utf-8", newline="") as f:
+        for k, line in enumerate(f.read().split("\n")):
+            yield k, len(line)
+
+
+@query(
+    "visited_files",
+    """SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS line, CAST(length(unnest(l)) AS BIGINT) AS chars, NULL AS error FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL AND doc_id % 2 = 0)
+       UNION ALL SELECT doc_id, NULL, NULL, 'ValueError: odd' FROM documents WHERE text IS NOT NULL AND doc_id % 2 = 1""",
+)
+def visited_files(spark, sf_dir):
+    """A visitor over documents as files: it counts, and its errors are rows too."""
+    at = _local(_folder(spark, "visited"))
+    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    committed.write_files(docs.select(F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.encode("text", "utf-8").alias("content")), at, "name", "content")
+    found, failed = walk.visited(spark, at, _lengths, "line int, chars long")
+    key = F.regexp_extract("path", "([0-9]+)\\.txt$", 1).cast("long").alias("doc_id")
+    return found.select(key, "line", "chars", F.lit(None).cast("string").alias("error")).unionByName(failed.select(key, F.lit(None).cast("int").alias("line"), F.lit(None).cast("long").alias("chars"), "error"))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import os
 import stat
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from silt.operators import graph
 
@@ -70,6 +72,31 @@ def walk(spark: SparkSession, top: str, without: Sequence[str] = (), excluded: S
     return rows.filter("kind = 'file'").drop("kind"), rows.filter("kind = 'failed'").select("path")
 
 
+def visited(spark: SparkSession, top: str, action: Callable[[str], Iterable[tuple]], schema: str, **scope) -> tuple[DataFrame, DataFrame]:
+    """(rows, failed): what ``action`` yields for each file of a walk, behind its path, and (path, error) of files that it failed on.
+
+    ``schema`` names and types the columns of its tuples; ``scope`` are the bounds of ``walk``. Files are visited by many tasks; a
+    task that is run again visits its files again, so an action must not mind that.
+    """
+    files, _ = walk(spark, top, **scope)
+    kind = StructType([StructField("path", StringType()), StructField("found", ArrayType(StructType.fromDDL(schema))), StructField("error", StringType())])
+    arrow = to_arrow_schema(kind)
+    names = StructType.fromDDL(schema).names
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                found, error = [], None
+                try:
+                    found = [dict(zip(names, row, strict=True)) for row in action(path)]
+                except Exception as e:  # noqa: BLE001 - one file's fault is a row, not the end of the walk
+                    found, error = [], f"{type(e).__name__}: {e}"
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((path, found, error), arrow.types, strict=True)], schema=arrow)
+
+    seen = graph._cut(files.select("path").repartition("path").mapInArrow(run, kind))
+    return seen.select("path", F.inline("found")), seen.filter("error IS NOT NULL").select("path", "error")
+
+
 def latest(files: DataFrame, by: str = "modified", n: int | None = None) -> DataFrame:
     """Files by one of their times, newest last; of the newest n if asked for."""
     return files.orderBy(by, "path") if n is None else files.orderBy(F.desc(by), "path").limit(n).orderBy(by, "path")

@@ -109,3 +109,50 @@ def test_changed_files_come_once(spark, tmp_path):
     assert seen() == ["a.txt", "b.txt"]
     (tmp_path / "in/d.txt").write_text("d")
     assert seen() == ["a.txt", "b.txt", "d.txt"]
+
+
+def slow_layout(text, pad=0):
+    """Templates by recursion, as a check of the layout by a stack."""
+
+    def close(at):
+        depth = 0
+        for k in range(at, len(text)):
+            depth += (text[k] == "<") - (text[k] == ">")
+            if depth == 0:
+                return k
+        return -1
+
+    parts, at = [""], 0
+    while at < len(text):
+        end = close(at) if text[at] == "<" else -1
+        if end > 0:
+            inner, depth, begin = [], 0, at + 1
+            for k in range(at + 1, end + 1):
+                if depth == 0 and (text[k] == "," or k == end):
+                    inner.append(text[begin:k])
+                    begin = k + 1
+                depth += (text[k] == "<") - (text[k] == ">")
+            gap = "\n" + " " * (pad + 2)
+            parts[-1] += text[at : end + 1] if len(inner) == 1 else "<" + gap + f",{gap}".join(slow_layout(p.removeprefix(" ") if i else p, pad + 2) for i, p in enumerate(inner)) + "\n" + " " * pad + ">"
+            at = end + 1
+        elif text[at] == ",":
+            at += 2 if text[at + 1 : at + 2] == " " else 1
+            parts.append("")
+        else:
+            parts[-1] += text[at]
+            at += 1
+    return (",\n" + " " * pad).join(parts)
+
+
+def test_template_layout_of_any_depth():
+    import random
+
+    from silt.functions.text import _laid_out
+
+    rng = random.Random(3)
+    for _ in range(3000):
+        t = "".join(rng.choice("<>,, ab") for _ in range(rng.randrange(18)))
+        assert _laid_out(t) == slow_layout(t), t
+    deep = _laid_out("a<b," * 3000 + ">" * 3000)
+    assert deep.count("\n") == 9000
+    assert len(_laid_out("<" * 100_000)) == 100_000  # none is closed
