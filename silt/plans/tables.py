@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from silt.operators import aggregates, catalog, prefixes
+from silt.operators import aggregates, catalog, prefixes, ranks
 from silt.plans.registry import query
 from silt.sources.tables import table
 
@@ -83,3 +83,26 @@ def user_weighted(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_linestatus", F.col("l_extendedprice").cast("decimal(18,2)").alias("x"), F.col("l_quantity").cast("long").alias("w"))
     got = aggregates.aggregated(rows, ["l_linestatus"], ["x", "w"], aggregates.WeightedDecimals())
     return got.select("l_linestatus", "weight", "total", F.round(F.col("mean").cast("double"), 3).alias("mean"), F.round(F.sqrt(F.col("var_pop").cast("double")), 3).alias("sd"))
+
+
+PS = (97, 95, 90, 75, 50, 25)
+QS = (0.25, 0.5, 0.75, 0.9, 0.99, 0.999)
+
+
+@query("ranks_nearest", " UNION ALL ".join(f"SELECT l_linestatus, {p} AS p, quantile_disc(l_extendedprice, {p / 100}) AS value FROM lineitem GROUP BY 1" for p in PS))
+def ranks_nearest(spark, sf_dir):
+    return ranks.nearest_ranks(table(spark, sf_dir, "lineitem"), ["l_linestatus"], "l_extendedprice", PS)
+
+
+@query("ranks_interpolated", " UNION ALL ".join(f"SELECT event_type, CAST({p} AS DOUBLE) AS p, round(quantile_cont(value, {p}), 6) AS value FROM events WHERE value IS NOT NULL GROUP BY 1" for p in QS))
+def ranks_interpolated(spark, sf_dir):
+    return ranks.interpolated(table(spark, sf_dir, "events"), ["event_type"], "value", QS).withColumn("value", F.round("value", 6))
+
+
+@query(
+    "ranks_outliers",
+    """WITH m AS (SELECT l_returnflag, median(l_extendedprice) AS med FROM lineitem GROUP BY 1), o AS (SELECT lineitem.*, abs(l_extendedprice - med) AS off FROM lineitem JOIN m USING (l_returnflag)),
+       d AS (SELECT l_returnflag, median(off) AS mad FROM o GROUP BY 1) SELECT l_orderkey, l_linenumber FROM o JOIN d USING (l_returnflag) WHERE CASE WHEN mad = 0 THEN off > 0 ELSE 0.6745 * off / mad > 1.2 END""",
+)
+def ranks_outliers(spark, sf_dir):
+    return ranks.mad_outliers(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", 1.2).select("l_orderkey", "l_linenumber")
