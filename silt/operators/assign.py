@@ -1,4 +1,4 @@
-"""Sequential decisions: greedy one-to-one matching, subset sums, folds of captions. Each runs inside groups of bounded size."""
+"""Sequential decisions: greedy one-to-one matching, subset sums, folds of captions. Rows stream; a task holds what a group has taken, or said, so far."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from silt.operators import fold
+
 
 def scored(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_tokens: Column, right_tokens: Column, score, floor: float, within: Sequence[str] = ()) -> DataFrame:
     """(l, r, score) of pairs that share a token, and the columns ``within`` which come first, and reach the floor. A pair without one scores 0, so none is lost."""
@@ -28,18 +30,17 @@ def best_match(pairs: DataFrame) -> DataFrame:
 def greedy_assignment(pairs: DataFrame, group: str) -> DataFrame:
     """One-to-one matches: left rows in order take their best right row that is left, ties the least; within each group."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for l, part in rows.sort_values(["l", "score", "r"], ascending=[True, False, True]).groupby("l", sort=True):
-            for r, s in zip(part["r"], part["score"], strict=True):
-                if r not in taken:
-                    taken.add(r)
-                    out.append((part[group].iloc[0], l, r, s))
-                    break
-        return pd.DataFrame(out, columns=[group, "l", "r", "score"])
+    def step(state, row):
+        taken, done = state or (set(), None)
+        left, right, score = row
+        if (left,) == done or right in taken:
+            return (taken, done), []
+        taken.add(right)
+        return (taken, (left,)), [(left, right, score)]
 
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
-    return pairs.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, l {kinds['l']}, r {kinds['r']}, score double")
+    order = [F.col("l"), -F.col("score"), F.col("r")]
+    return fold.folded(pairs, [group], order, ["l", "r", "score"], step, f"l {kinds['l']}, r {kinds['r']}, score double")
 
 
 def subset_sum(items: DataFrame, keys: Sequence[str], size: str, capacity: int, item: str | None = None) -> DataFrame:
@@ -93,12 +94,9 @@ def overlap(a: str, b: str) -> int:
 def merged_captions(df: DataFrame, key: str, order: str, text: str) -> DataFrame:
     """Each entity's captions as one text; what a caption repeats of the text so far is dropped."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out = ""
-        for t in rows.sort_values(order)[text]:
-            t = t or ""
-            tail = out[-len(t) :] if t else ""
-            out += t[overlap(tail, t) :] if not out or overlap(tail, t) else " " + t
-        return pd.DataFrame({key: [rows[key].iloc[0]], "text": [out]})
+    def step(said, row):
+        said, t = said or "", row[0] or ""
+        n = overlap(said[-len(t) :] if t else "", t)
+        return said + (t[n:] if n or not said else " " + t), []
 
-    return df.select(key, order, text).groupBy(key).applyInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, text string")
+    return fold.folded(df, [key], [F.col(order), F.col(text)], [text], step, "text string", lambda said: [(said,)])

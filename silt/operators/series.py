@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from silt.operators import fold
+
 
 def by(keys: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(*keys).orderBy(*order)
@@ -119,20 +120,16 @@ def progress_steps(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
 def throttled_rates(df: DataFrame, key: str, at_ms: str, amount: str, every_ms: int = 250, from_ms: int = 100) -> DataFrame:
     """(key, at_ms, rate): amount a second since the key's first row, shown at most once in ``every_ms``.
 
-    What is shown depends on what was shown before, so a key's rows are walked in order; a key is one message, whose size is
-    bounded. Rows without amount, or before ``from_ms``, show nothing but still hold the next ones back.
+    What is shown depends on what was shown before, so a key's rows are walked in order; two times are remembered. Rows without
+    amount, or before ``from_ms``, show nothing but still hold the next ones back.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([at_ms, amount])
-        start, shown, out = None, None, []
-        for at, n in zip(rows[at_ms], rows[amount], strict=True):
-            start = at if start is None else start
-            if shown is None or at - shown >= every_ms:
-                shown = at
-                if n > 0 and at - start >= from_ms:
-                    out.append((rows[key].iloc[0], at, int(n * 1000 / (at - start) + 0.5)))
-        return pd.DataFrame(out, columns=["key", "at_ms", "rate"])
-
-    rows = df.select(key, at_ms, amount).dropna()
-    return rows.groupBy(key).applyInPandas(run, f"key {df.schema[key].dataType.simpleString()}, at_ms long, rate long")
+    def step(state, row):
+        at, n = row
+        start, shown = state or (at, None)
+        if shown is not None and at - shown < every_ms:
+            return (start, shown), []
+        return (start, at), [(at, int(n * 1000 / (at - start) + 0.5))] if n > 0 and at - start >= from_ms else []
+
+    rows = df.select(F.col(key).alias("key"), at_ms, amount).dropna()
+    return fold.folded(rows, ["key"], [F.col(at_ms), F.col(amount)], [at_ms, amount], step, "at_ms long, rate long")
