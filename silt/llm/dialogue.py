@@ -170,7 +170,7 @@ def signatures(rows: DataFrame) -> DataFrame:
         def done() -> tuple:
             r, f = "".join(roles), "".join(faults)
             sign = "".join("D" if y in "bd" else x.upper() if y == "t" else x for x, y in zip(r, f, strict=True))
-            gaps = turns[1] - turns[0] + 1 - turns[2] if turns[2] else 0
+            gaps = min(turns[1] - turns[0] + 1 - turns[2], 2**63 - 1) if turns[2] else 0
             pairs = sum(r.count(p) for p in LEGAL)  # none overlaps itself
             return at, sign, gaps, f.count("b"), f.count("d"), f.count("t"), max(len(r) - 1, 0) - pairs
 

@@ -53,7 +53,7 @@ def words_of(raw: bytes) -> list[bytes]:
 
 def number(lang: bytes, words: list[bytes], seed: int) -> np.ndarray:
     """64-bit numbers of words, never 0."""
-    start = lang + b"\0"
+    start = len(lang).to_bytes(4, "little") + lang
     return np.maximum(np.array([xxhash.xxh3_64_intdigest(start + w, seed) for w in words], np.uint64), np.uint64(1))
 
 
@@ -286,6 +286,8 @@ def collocations(df: DataFrame, text_col: str, lang_col: str, max_n: int = 3, le
         words = counted.filter("word IS NOT NULL").select("lang", F.col("w0").alias("id"), "word", "f")
         if words.groupBy("id").count().filter("count > 1").isEmpty():
             break
+    else:
+        raise RuntimeError("two words share a number under every digest")
     sizes = words.groupBy("lang").agg(F.sum("f").alias("n"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     crowd = max(crowd, total >> 20)  # so there are at most 2**20 crowded runs of a length
