@@ -96,8 +96,8 @@ mime_decoded = _decoder(lambda t: "".join(p.decode(c or "ascii", "replace") if i
 
 
 def url_decoded(text: Column) -> Column:
-    """%XX decoded; a plus sign stays."""
-    return F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+    """%XX decoded; a plus sign stays, and so does a percent sign without two digits."""
+    return F.try_url_decode(F.regexp_replace(F.replace(text, F.lit("+"), F.lit("%2B")), "%(?![0-9a-fA-F]{2})", "%25"))
 
 
 def hex_of(n: Column) -> Column:
@@ -328,6 +328,9 @@ def _styled(state: dict[str, str], codes: list[int]) -> dict[str, str]:
         elif c in (38, 48) and codes[at + 1 : at + 2] == [5] and len(codes) > at + 2:
             state[name] = _palette(codes[at + 2] % 256)
             at += 2
+        elif c in (38, 48) and codes[at + 1 : at + 2] == [2] and len(codes) > at + 4:
+            state[name] = "#" + "".join(f"{x % 256:02x}" for x in codes[at + 2 : at + 5])
+            at += 4
         elif 30 <= c <= 37 or 40 <= c <= 47:
             state[name] = COLOURS[c % 10]
         elif 90 <= c <= 97 or 100 <= c <= 107:
