@@ -201,6 +201,16 @@ def cross_links(rows: DataFrame, threshold: float) -> DataFrame:
     return dealt.groupBy("bkey", "band", "lo", "hi").applyInArrow(run, "a long, b long")
 
 
+def joined_roots(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, root) after further links: these join whole components, so the graph of this step has their roots as nodes."""
+    known = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+    linked = more.join(known("a"), "a", "left").join(known("b"), "b", "left")
+    ends = stored(linked.select("a", F.coalesce("a_root", "a").alias("x"), "b", F.coalesce("b_root", "b").alias("y")), "root-links")
+    joined = components(ends.selectExpr("x AS a", "y AS b"), "minhash").selectExpr("node AS root", "root AS joined")
+    new = ends.selectExpr("a AS node", "x AS root").union(ends.selectExpr("b AS node", "y AS root")).distinct().join(roots.select("node"), "node", "left_anti")
+    return stored(roots.unionByName(new).join(joined, "root", "left").select("node", F.coalesce("joined", "root").alias("root")), "roots")
+
+
 def classes(df: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
     """(key binary, class_id, first_id, copies, root): one row for each distinct text, with its class; key is its MD5.
 
@@ -234,7 +244,7 @@ def classes(df: DataFrame, id_col: str, text_col: str, threshold: float = THRESH
         size = rows.join(sets.select("node", F.length("h").alias("bytes")), "node").groupBy("bkey", "band").agg(F.sum("bytes").alias("bytes"))
         more = stored(cross_links(rows.join(size, ["bkey", "band"]).join(sets, "node"), threshold).distinct(), "links")
         if not more.isEmpty():
-            roots = components(links.union(more), "minhash")
+            roots = joined_roots(roots, more)
 
     rooted = nodes.select("node", "key", "first_id", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = stored(rooted, "classes")
