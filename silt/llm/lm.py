@@ -314,7 +314,7 @@ def word_counts(df: DataFrame, text_col: str) -> DataFrame:
         for batch in batches:
             for text in (batch.column(0).slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 held.append(words_of(text.cast(pa.string()))[0])
-                if sum(map(len, held)) > 2_000_000:
+                if sum(map(len, held)) > 6_000_000:
                     yield flush()
         yield flush()
 
