@@ -14,10 +14,13 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 def file_stream(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet file or folder as a stream, with the batch schema."""
-    schema = spark.read.parquet(path).schema
+    """A Parquet file or folder as a stream, with the batch schema; a folder may be named like a file."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return reader.option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(path)
     folder, _, name = path.rpartition("/")
-    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(path) if not name.endswith(".parquet") else spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    return reader.option("pathGlobFilter", name).parquet(folder or ".")
 
 
 def changed_files(spark: SparkSession, folder: str, pattern: str = "*", at_once: int | None = None) -> DataFrame:
@@ -161,7 +164,7 @@ def ticks(stream: DataFrame, at: str, key: str, counter: str, every: str, late:
 
 
 def run_once(df: DataFrame, mode: str, checkpoint: str, sink: str) -> DataFrame:
-    """Run a stream over what is there and give what it wrote; batches are files in the shared folder."""
+    """Run a stream over what is there and give what it wrote; batches are files in the shared folder. Without any batch there are no rows."""
     spark = df.sparkSession
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
@@ -174,4 +177,7 @@ def run_once(df: DataFrame, mode: str, checkpoint: str, sink: str) -> DataFrame:
             spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
         else:
             spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-    return spark.read.schema(StructType([*df.schema.fields, StructField("batch_", IntegerType())])).parquet(sink)
+    schema, at = StructType([*df.schema.fields, StructField("batch_", IntegerType())]), spark._jvm.org.apache.hadoop.fs.Path(sink)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(sink)
