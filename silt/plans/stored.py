@@ -72,7 +72,7 @@ def capture_frames(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select("p_brand", F.expr("CAST(1700000000 + p_partkey AS bigint)").alias("s"), F.encode(F.concat("p_name", "p_type"), "utf-8").alias("f"))
     record = F.expr(f"concat({_little('s')}, {_little('0')}, {_little('octet_length(f)')}, {_little('octet_length(f)')}, f)")
     head = F.expr("unhex('D4C3B2A1020004000000000000000000FFFF000001000000')")
-    whole = parts.groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("s", record.alias("r")))).alias("rs")).select(F.concat("p_brand", F.lit(".pcap")).alias("name"), F.concat(head, F.expr("aggregate(rs.r, X'', (a, x) -> concat(a, x))")).alias("content"))
+    whole = parts.groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("s", record.alias("r")))).alias("rs")).select(F.concat("p_brand", F.lit(".pcap")).alias("name"), F.concat(head, F.expr("unhex(array_join(transform(rs.r, x -> hex(x)), ''))")).alias("content"))
     committed.write_files(whole, at, "name", "content")
     captures.register(spark)
     got = spark.read.format("silt_captures").option("path", at).option("split", 4096).load()

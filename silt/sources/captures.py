@@ -3,8 +3,11 @@
 ``silt_captures`` reads the classic capture format, of either byte order and with micro- or nanoseconds. A file is cut into
 ranges of ``split`` bytes; a reader streams the records that begin in its range, in buffers of bounded size, so many tasks
 read one large file. A range that begins inside a record finds the next one: the first place from which ``CHAIN`` plausible
-record headers (of times within ``SPAN`` of the first record) follow one another, or lead to the file's end. Every reader also checks that the reader after it would begin
-where its own last record ends; if not, the read fails rather than give other rows than one task would. A cut-off
+record headers (of times not long before the first record's) follow one another, or lead to the file's end. It looks from
+``BACK`` bytes before the range on and follows what it finds into the range: bytes across two records may look like a header
+whose length happens to lead to a record, and such a chain is on true records long before the range begins. Every reader also
+checks that the reader after it would begin where its own last record ends; if not, the read fails rather than give other rows
+than one task would. A cut-off
 last record is left out, a file without the format's header has no records.
 
 ``silt_archives`` lists what zip and jar archives hold, from their directories alone: contents are not read.
@@ -32,8 +35,10 @@ MARKS = {b"\xa1\xb2\xc3\xd4": (">", 1_000_000), b"\xd4\xc3\xb2\xa1": ("<", 1_000
 FILE_HEADER, RECORD_HEADER = 24, 16
 
 CHAIN = 64
-SPAN = 1 << 26  # seconds from the first record to a plausible one: two years
+SPAN = 1 << 26  # seconds that a plausible record may be before the first one: two years, or half of the first one's time
 LONGEST = 1 << 18  # bytes of a record, where the file's own bound is 0 or greater
+BACK = LONGEST + RECORD_HEADER  # bytes before a range in which at least one record begins
+MOST = 1024  # ranges of all files, about; of more, neighbours are read as one
 BUFFER, ROWS = 1 << 20, 4096
 
 
@@ -86,11 +91,19 @@ class Format:
 
     def plausible(self, raw: bytes) -> bool:
         seconds, part, held, sent = self.header(raw)
-        return abs(seconds - self.first) <= SPAN and part < self.fraction and held <= self.longest and held <= sent <= 1 << 24
+        return seconds >= self.first - max(SPAN, self.first // 2) and part < self.fraction and held <= self.longest and held <= sent <= 1 << 24
 
 
 def next_record(stream: Stream, form: Format, place: int) -> int:
     """The first record that begins at ``place`` or later; the file's end if there is none."""
+    at = FILE_HEADER if place - BACK <= FILE_HEADER else chained(stream, form, place - BACK)
+    while at < place and at + RECORD_HEADER <= stream.size:
+        at += RECORD_HEADER + form.header(stream.at(at, RECORD_HEADER))[2]
+    return at if at + RECORD_HEADER <= stream.size else stream.size
+
+
+def chained(stream: Stream, form: Format, place: int) -> int:
+    """The first place from ``place`` on that begins a chain of plausible headers; the file's end if there is none."""
     while place + RECORD_HEADER <= stream.size:
         at, links = place, 0
         while links < CHAIN:
@@ -153,10 +166,11 @@ class CaptureReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
-        for path, size in listed(self.path):
-            if self.pushed.path(path):
-                step = self.split or max(size, 1)
-                out += [Range(path, self.path, size, a, min(a + step, size)) for a in range(0, size, step)]
+        files = [(path, size) for path, size in listed(self.path) if self.pushed.path(path)]
+        together = max(1, -(-sum(size for _, size in files) // (MOST * self.split))) if self.split else 1
+        for path, size in files:
+            step = self.split * together or max(size, 1)
+            out += [Range(path, self.path, size, a, min(a + step, size)) for a in range(0, size, step)]
         return out or [Range("", self.path, 0, 0, 0)]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
@@ -193,7 +207,7 @@ class CaptureReader(DataSourceReader):
 
 
 class Captures(DataSource):
-    """(path, at: the record's place in the file, seconds, frame). Options: path, and split, the bytes of a range (64 MiB; 0: whole files)."""
+    """(path, at: the record's place in the file, seconds, frame). Options: path, and split, the bytes of a range (64 MiB; 0: whole files); over ``MOST`` ranges are joined."""
 
     @classmethod
     def name(cls) -> str:
