@@ -1,10 +1,11 @@
 """Streams with event-time timers: unmatched openings are flushed, silent entities are given up, period baselines move on.
 
 Rows may come in any order within the watermark's delay. They wait in state until the watermark has passed them and are
-then taken in order of time (ties by ``what``), so results do not depend on how the stream was cut into batches. Every key
-has one timer at the next moment at which something can happen to it: a waiting row becomes final, or a deadline passes.
-State goes with the last deadline, so a key that has been silent for long enough costs nothing. Rows later than the
-watermark are dropped by Spark. Rows without key or time are left out.
+then taken in order of time (ties by ``what``), so results do not depend on how the stream was cut into batches. A call of
+Python costs far more than a row, so keys share ``BUCKETS`` states by hash: a bucket reads and writes the rows and states of
+its keys at once, and has one timer at the next moment at which something can happen to one of them: a waiting row becomes
+final, or a deadline passes. State goes with the last deadline, so a key that has been silent for long enough costs nothing.
+Rows later than the watermark are dropped by Spark. Rows without key or time are left out.
 """
 
 from __future__ import annotations
@@ -18,8 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
+#: Groups of keys that share a state, at most. A stream must always run with as many as it was begun with.
+BUCKETS = 1024
+
+
 class Ordered(StatefulProcessor):
-    """Feeds a key's rows, in order of time, to ``take``; subclasses say what happens.
+    """Feeds each key's rows, in order of time, to ``take``; subclasses say what happens.
 
     ``state`` is any JSON value, None at first and when nothing is to be remembered. Times are microseconds.
     """
@@ -38,27 +43,64 @@ class Ordered(StatefulProcessor):
     #: Output columns behind the key, with pandas types.
     columns: dict[str, str] = {}
 
+    #: The key's type.
+    key_type = "string"
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, what string, amount double")
-        self.kept = handle.getValueState("kept", "state string")
+        self.waiting = handle.getListState("waiting", f"key {self.key_type}, at long, what string, amount double")
+        self.kept = handle.getListState("kept", f"key {self.key_type}, state string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(a), None if pd.isna(w) else str(w), None if pd.isna(x) else float(x)) for part in rows for a, w, x in part[["at", "what", "amount"]].itertuples(index=False)]
-        self.waiting.appendList(new)
-        yield from self._advance(key, timerValues)
+        new = [(k, int(a), None if pd.isna(w) else str(w), None if pd.isna(x) else float(x)) for part in rows for k, a, w, x in zip(*(part[c].tolist() for c in ("key", "at", "what", "amount")), strict=True)]
+        yield from self._advance(new, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._advance(key, timerValues)
+        yield from self._advance([], timerValues)
 
-    def _advance(self, key, timer_values) -> Iterator[pd.DataFrame]:
+    def _advance(self, new: list[tuple], timer_values) -> Iterator[pd.DataFrame]:
         passed = timer_values.getCurrentWatermarkInMs() * 1000
-        state = json.loads(self.kept.get()[0]) if self.kept.exists() else None
-        rows = sorted(self.waiting.get() if self.waiting.exists() else [], key=lambda r: (r[0], r[1] or ""))
-        final = [r for r in rows if r[0] <= passed]
-        left = rows[len(final) :]
+        states = {k: json.loads(s) for k, s in self.kept.get()} if self.kept.exists() else {}
+        held = self.waiting.exists()
+        final: dict[object, list[tuple]] = {k: [] for k in states}
+        left: list[tuple] = []
+        for r in [*(self.waiting.get() if held else ()), *new]:
+            if r[1] <= passed:
+                final.setdefault(r[0], []).append(r)
+            else:
+                left.append(tuple(r))
         out: list[tuple] = []
-        for at, what, amount in final:
+        live: list[tuple] = []
+        moments = [r[1] for r in left]
+        for key, rows in final.items():
+            state, found = self._taken(states.get(key), sorted(rows, key=lambda r: (r[1], r[2] or "")), passed)
+            out += [(key, *o) for o in found]
+            if state is not None:
+                live.append((key, json.dumps(state)))
+                due = self.deadline(state)
+                moments += [] if due is None else [due]
+        if live:
+            self.kept.put(live)
+        elif states:
+            self.kept.clear()
+        if left:
+            self.waiting.put(left)
+        elif held:
+            self.waiting.clear()
+        at = [max(min(moments), passed) // 1000 + 1] if moments else []
+        timers = list(self.handle.listTimers())
+        if timers != at:
+            for old in timers:
+                self.handle.deleteTimer(old)
+            for t in at:
+                self.handle.registerTimer(t)
+        if out:
+            yield pd.DataFrame({"key": pd.Series([o[0] for o in out], dtype=object)} | {c: pd.array([o[i] for o in out], t) for i, (c, t) in enumerate(self.columns.items(), 1)})
+
+    def _taken(self, state, rows: list[tuple], passed: int) -> tuple[object, list[tuple]]:
+        """A key's state and output once time has passed its rows, which are in order."""
+        out: list[tuple] = []
+        for _, at, what, amount in rows:
             while (due := self.deadline(state)) is not None and due < at:
                 state, more = self.expire(state)
                 out += more
@@ -67,20 +109,7 @@ class Ordered(StatefulProcessor):
         while (due := self.deadline(state)) is not None and due <= passed:
             state, more = self.expire(state)
             out += more
-        if state is None:
-            self.kept.clear()
-        else:
-            self.kept.update((json.dumps(state),))
-        if left:
-            self.waiting.put(left)
-        else:
-            self.waiting.clear()
-        moments = [t for t in (left[0][0] if left else None, self.deadline(state)) if t is not None]
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        if moments:
-            self.handle.registerTimer(max(min(moments) // 1000 + 1, passed // 1000 + 1))
-        yield pd.DataFrame({"key": pd.Series([key[0]] * len(out), dtype=object)} | {c: pd.array([o[i] for o in out], t) for i, (c, t) in enumerate(self.columns.items())})
+        return state, out
 
     def close(self) -> None:
         pass
@@ -155,7 +184,9 @@ def _timed(stream: DataFrame, key: str, at: str, what, amount, late: str, proces
     held = F.col(key).isNotNull() & (F.lit(True) if keep is None else F.coalesce(keep, F.lit(False)))
     # a condition on the time is not pushed below the watermark, so rows that are left out move it on
     rows = timed.filter(F.when(F.col("time_").isNotNull(), held).otherwise(False)).select(F.col(key).alias("key"), "time_", F.unix_micros("time_").alias("at"), what.cast("string").alias("what"), amount.cast("double").alias("amount"))
-    return rows.groupBy("key").transformWithStateInPandas(processor, f"key {rows.schema['key'].dataType.simpleString()}, {schema}", "Append", "EventTime")
+    processor.key_type = rows.schema["key"].dataType.simpleString()
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)))
+    return dealt.groupBy("bucket").transformWithStateInPandas(processor, f"key {processor.key_type}, {schema}", "Append", "EventTime")
 
 
 def calls(stream: DataFrame, key: str, kind: str, at: str, opens: str, closes: str, wait_s: int, late: str) -> DataFrame:
