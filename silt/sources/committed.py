@@ -25,6 +25,10 @@ from pyspark.sql.types import StructType
 from silt.sources.captures import opened
 
 
+#: Files that a task holds at once.
+AT_ONCE = 256
+
+
 @dataclass
 class Written(WriterCommitMessage):
     """What one task attempt wrote: its folder, and files in it."""
@@ -141,9 +145,15 @@ def register(spark: SparkSession) -> None:
 
 
 def write_files(df: DataFrame, path: str, name: str, content: str, mode: str = "overwrite") -> None:
-    """One file a row, all or none."""
-    register(df.sparkSession)
-    df.select(F.col(name).cast("string").alias("name"), F.col(content).cast("binary").alias("content")).write.format("silt_files").mode(mode).option("path", path).save()
+    """One file a row, all or none. Tasks are handed ``AT_ONCE`` whole files at a time."""
+    spark, size = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    register(spark)
+    before = spark.conf.get(size)
+    spark.conf.set(size, min(AT_ONCE, int(before)) if int(before) > 0 else AT_ONCE)
+    try:
+        df.select(F.col(name).cast("string").alias("name"), F.col(content).cast("binary").alias("content")).write.format("silt_files").mode(mode).option("path", path).save()
+    finally:
+        spark.conf.set(size, before)
 
 
 def write_logs(df: DataFrame, path: str, stream: str, at: str, line: Column, parts: int | None = None, mode: str = "overwrite") -> None:

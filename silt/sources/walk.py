@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import stat
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import batched
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from silt.operators import graph
 
+ROWS = 4096  # entries in one batch
 FIELDS = {"kind": pa.string(), "path": pa.string(), "size": pa.int64(), "modified": pa.float64(), "accessed": pa.float64(), "changed": pa.float64()}
 
 
@@ -21,31 +23,27 @@ def _lister(without: Sequence[str], excluded: Sequence[str], one_device: bool, l
     def out_of_scope(path: str) -> bool:
         return any(part in path for part in without) or any(path == e or path.startswith(f"{e.rstrip('/')}/") for e in excluded)
 
-    def listed(folder: str) -> list[tuple]:
+    def listed(folder: str) -> Iterator[tuple]:
         try:
             with os.scandir(folder) as entries:
-                found = list(entries)
+                for e in entries:
+                    try:
+                        s = e.stat(follow_symlinks=links)
+                    except OSError:
+                        continue
+                    if stat.S_ISDIR(s.st_mode) and not e.is_symlink():
+                        if not out_of_scope(e.path) and not (one_device and os.path.ismount(e.path)):
+                            yield "folder", e.path, None, s.st_mtime, s.st_atime, s.st_ctime
+                    elif stat.S_ISREG(s.st_mode) and not out_of_scope(e.path):
+                        yield "file", e.path, s.st_size, s.st_mtime, s.st_atime, s.st_ctime
         except OSError:
-            return [("failed", folder, None, None, None, None)]
-        out = []
-        for e in found:
-            try:
-                s = e.stat(follow_symlinks=links)
-            except OSError:
-                continue
-            if stat.S_ISDIR(s.st_mode) and not e.is_symlink():
-                if not out_of_scope(e.path) and not (one_device and os.path.ismount(e.path)):
-                    out.append(("folder", e.path, None, s.st_mtime, s.st_atime, s.st_ctime))
-            elif stat.S_ISREG(s.st_mode) and not out_of_scope(e.path):
-                out.append(("file", e.path, s.st_size, s.st_mtime, s.st_atime, s.st_ctime))
-        return out
+            yield "failed", folder, None, None, None, None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for folder in batch.column(0).to_pylist():
-                rows = listed(folder)
-                cols = zip(*rows, strict=True) if rows else [[]] * len(FIELDS)
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, FIELDS.values(), strict=True)], names=list(FIELDS))
+                for rows in batched(listed(folder), ROWS):  # a folder may have any number of entries
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), FIELDS.values(), strict=True)], names=list(FIELDS))
 
     return run
 

@@ -1,8 +1,10 @@
-"""Ranges of captures begin at records, whatever looks like a header."""
+"""Sources of any size: ranges of captures begin at records, whatever looks like a header; folders are listed in batches."""
 
 import struct
 
-from silt.sources import captures
+import pyarrow as pa
+
+from silt.sources import captures, walk
 
 
 def test_headers_by_chance_begin_no_range(tmp_path):
@@ -30,3 +32,10 @@ def test_captures_of_many_years(tmp_path):
 def test_ranges_are_bounded_in_number(tmp_path):
     (tmp_path / "a.pcap").write_bytes(bytes(1_000_000))
     assert len(captures.CaptureReader(str(tmp_path), 97).partitions()) <= captures.MOST + 1
+
+
+def test_a_folder_is_listed_in_bounded_batches(tmp_path):
+    for i in range(2 * walk.ROWS + 5):
+        (tmp_path / f"{i}.txt").touch()
+    found = [b.num_rows for b in walk._lister((), (), False, False)([pa.RecordBatch.from_arrays([pa.array([str(tmp_path)])], names=["path"])])]
+    assert sum(found) == 2 * walk.ROWS + 5 and max(found) <= walk.ROWS
