@@ -21,7 +21,7 @@ def pivot_names(spark, sf_dir):
 @query("pivot_hashes", f"WITH {_H} SELECT DISTINCT q.front AS query, v.front AS value, CAST(bit_count(xor(q.front, v.front)) AS INTEGER) AS distance FROM h q JOIN h v ON bit_count(xor(q.front, v.front)) <= 6 WHERE q.doc_id % 100 = 0")
 def pivot_hashes(spark, sf_dir):
     hashes = _hashed(spark, sf_dir)
-    return metric.PivotIndex.of(hashes, "front", metric.hamming, 8).within(hashes.filter("doc_id % 100 = 0"), "front", 6)
+    return metric.PivotIndex.of(hashes, "front", metric.hamming, 8, metric.hamming_keys).within(hashes.filter("doc_id % 100 = 0"), "front", 6)
 
 
 _EDGES = f"e AS ({_pairs_sql('front')}), g AS (SELECT a, b FROM e WHERE (a + b) % 7 <> 3)"  # some edges go, others come
