@@ -18,6 +18,9 @@ from pyspark.sql.window import Window
 
 from silt.operators import graph
 
+#: Keys whose medians, a row each, are sent to all tasks; the rows of more keys are shuffled.
+FEW = 10_000
+
 
 def ranked(df: DataFrame, keys: Sequence[str], x: str, cut: Callable[[DataFrame], DataFrame] = graph._cut) -> DataFrame:
     """``keys``, ``x``, ``first_``, ``last_`` and ``n_``: each distinct value with its first and last rank from 1, and the key's rows."""
@@ -68,10 +71,15 @@ def medians(df: DataFrame, keys: Sequence[str], x: str, name: str = "median") ->
     return got.select(*keys, ((F.col("a_") + F.col("b_")) / 2).alias(name))
 
 
-def mad_outliers(df: DataFrame, keys: Sequence[str], x: str, above: float = 3.5) -> DataFrame:
+def mad_outliers(df: DataFrame, keys: Sequence[str], x: str, above: float = 3.5, cut: Callable[[DataFrame], DataFrame] = graph._cut) -> DataFrame:
     """Rows whose modified z-score 0.6745 |x - median| / MAD exceeds ``above``; where MAD is 0, all rows off the median. The two medians are exact and held in no task."""
+
+    def joined(rows: DataFrame, other: DataFrame) -> DataFrame:
+        own = cut(other.withColumnsRenamed({k: f"{k}_k_" for k in keys}))
+        own = F.broadcast(own) if own.limit(FEW + 1).count() <= FEW else own  # with few keys, sorted rows of one would fill a task
+        return rows.join(own, [F.col(k).eqNullSafe(F.col(f"{k}_k_")) for k in keys]).drop(*[f"{k}_k_" for k in keys])
+
     mid = medians(df, keys, x, "med_")
-    joined = lambda rows, other: rows.join(other.withColumnsRenamed({k: f"{k}_k_" for k in keys}), [F.col(k).eqNullSafe(F.col(f"{k}_k_")) for k in keys]).drop(*[f"{k}_k_" for k in keys])
     off = joined(df, mid).withColumn("off_", F.abs(F.col(x) - F.col("med_")))
     mad = medians(off, keys, "off_", "mad_")
     far = F.when(F.col("mad_") == 0, F.col("off_") > 0).otherwise(F.lit(0.6745) * F.col("off_") / F.col("mad_") > above)
