@@ -13,10 +13,10 @@ bucket is sorted. Strings with equal cores are told apart by a multikey quicksor
 that are equal so far; equal neighbours repeat. A splitter never falls between equal keys here.
 
 A core that very many texts hold would meet in one bucket, so cores at the most common anchors go another way: equal
-runs, then equal records, are folded into one with a count before the shuffle, and repeat whole; what is left of a contested core is taken
-apart into its strings, each a suffix of its own (key, place of the core, wings). These are range-partitioned and sorted
-with splitters that may fall between equal ones; every bucket compares neighbours and gives its first and last record,
-and those are compared across the boundaries.
+runs, inside each text and then of all texts, then equal records, are folded into one with a count before the shuffle, and
+repeat whole; what is left of a contested core is taken apart into its strings, each a suffix of its own (key, place of
+the core, wings). These are range-partitioned and sorted with splitters that may fall between equal ones; every bucket
+compares neighbours and gives its first and last record, and those are compared across the boundaries.
 
 Equal texts are one node: a text with copies repeats whole. Null texts are empty. Texts shorter than the length have no
 strings. Matches never cross texts. Repeated rows count as copies. An empty table gives no rows. Results are exact up to
@@ -315,16 +315,23 @@ def of_hot_cores(held: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for node, text, runs in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                found = [pa.array([r[c] for r in runs], pa.int32()) for c in ("pos", "lo", "hi")]
-                digest = pa.array([xxhash.xxh3_128_digest(raw[r["lo"] : r["hi"] + length]) for r in runs], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([node] * len(runs), pa.int64()), *found, digest], names=["node", "pos", "lo", "hi", "digest"])
-
-    # runs that are the same throughout repeat whole; one of each kind goes on
+                at: dict[bytes, list[dict]] = {}
+                for r in runs:
+                    at.setdefault(xxhash.xxh3_128_digest(raw[r["lo"] : r["hi"] + length]), []).append(r)
+                own = [[{"start": a, "stop": b} for a, b in merged((r["lo"], r["hi"] + length) for r in same)] if len(same) > 1 else None for same in at.values()]
+                first = [pa.array([same[0][c] for same in at.values()], pa.int32()) for c in ("pos", "lo", "hi")]
+                cols = [pa.array([node] * len(at), pa.int64()), *first, pa.array(list(at), pa.binary()), pa.array(own, pa.list_(SPAN))]
+                yield pa.RecordBatch.from_arrays(cols, names=["node", "pos", "lo", "hi", "digest", "own"])
+
+    # runs that are the same throughout repeat whole; one of each kind goes on. A text's own repeats are found in the text, so a
+    # run that it holds at many places is one row, with the spans of all of them
     hot = held.filter("hot IS NOT NULL")
-    runs = stored(hot.select("node", "text_", "hot").mapInArrow(digests, "node long, pos int, lo int, hi int, digest binary"), "hot-runs")
-    kinds = stored(runs.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("node", "pos", "lo", "hi")).alias("one")), "hot-run-kinds")
-    whole = joined_by_weight(runs, stored(kinds.filter("n > 1").select("digest", "n"), "hot-whole"), ["digest"], "n").select("node", F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"))
-    left = kinds.select("one.*", F.expr("n > 1 AS folded")).groupBy("node").agg(F.collect_list(F.struct("pos", "lo", "hi", "folded")).alias("left"))
+    runs = stored(hot.select("node", "text_", "hot").mapInArrow(digests, f"node long, pos int, lo int, hi int, digest binary, own {SPANS}"), "hot-runs")
+    kinds = stored(runs.groupBy("digest").agg(F.count("*").alias("n"), F.bool_or(F.col("own").isNotNull()).alias("own"), F.min(F.struct("node", "pos", "lo", "hi")).alias("one")), "hot-run-kinds")
+    once = runs.filter("own IS NULL").drop("own")
+    whole = joined_by_weight(once, stored(kinds.filter("n > 1").select("digest", "n"), "hot-whole"), ["digest"], "n").select("node", F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"))
+    whole = whole.unionByName(runs.filter("own IS NOT NULL").select("node", F.inline("own")))
+    left = kinds.select("one.*", F.expr("own OR n > 1 AS folded")).groupBy("node").agg(F.collect_list(F.struct("pos", "lo", "hi", "folded")).alias("left"))
     # and so with their records, and then with finer ones
     rows = stored(hot.select("node", "text_").join(left, "node").select("node", "text_", "left").mapInArrow(emitter(length, 2), EMITTED), "hot-records")
     same, rivals = fold(rows, length)

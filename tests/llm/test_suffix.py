@@ -97,6 +97,29 @@ def test_long_texts_are_handled_in_parts(monkeypatch):
     assert spread(whole) == spread(parts)
 
 
+def test_a_run_at_many_places_of_a_text_joins_once(spark, monkeypatch):
+    """A short phrase over and over has equal runs at all its places; the text's own repeats need no join."""
+    met = []
+
+    def joined(rows, keys, on, *more):
+        out = common.joined_by_weight(rows, keys, on, *more)
+        if on == ["digest"]:
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(suffix, "joined_by_weight", joined)
+    monkeypatch.setattr(suffix, "HOT_LEAST", 1)
+    rng = np.random.default_rng(5)
+    prose = lambda n: "".join(rng.choice(list("abcdefghij "), n))
+    texts = [prose(300) + "word pair " * (150 + i) + prose(300) for i in range(12)]
+    texts += [prose(100) + "alone é " * 200, prose(250) + "once more " * 30 + prose(250), prose(500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passage_bytes) for r in suffix.repeats(df.repartition(3), "doc_id", "text").collect()}
+    want, passages = slow(texts), slow(texts, 240)
+    assert [got[i] for i in range(len(texts))] == [(*w, p[1]) for w, p in zip(want, passages, strict=True)]
+    assert len(met) == 2 and sum(met) < 10 * len(texts)  # 3,298 when each place is a row
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert suffix.repeats(df, "doc_id", "text").count() == 0
